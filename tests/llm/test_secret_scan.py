@@ -1,0 +1,64 @@
+import hashlib
+import math
+import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ledgerlight.llm import secret_scan as S
+
+PLAIN = {
+    "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII),
+    "access": re.compile("AKIA[A-Z0-9]+"),
+    "hex": re.compile("[0-9a-f]+"),
+}
+LEAST = {"assign": 6, "access": 20, "hex": 24}
+
+
+def plain(text):
+    out = []
+    for kind, regex in PLAIN.items():
+        for m in regex.finditer(text):
+            if len(m[2] if kind == "assign" else m[0]) >= LEAST[kind]:
+                out.append((kind, m.start(), m.end()))
+    return sorted(out, key=lambda x: (x[1], S.KINDS.index(x[0])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "Secret", " ", "=", ":", "'", "AKIA", "A1B2", "deadbeef01", "ſecret", "xyz", "é", "api_key", "\n", "00ff"]), max_size=25).map("".join))
+def test_known_forms_equal_the_plain_expressions(text):
+    assert [x for x in S.find_secrets(text) if x[0] != "entropy"] == plain(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abc01", min_size=20, max_size=60))
+def test_entropy_by_counts_equals_entropy_from_scratch(text):
+    for start, bits in S.entropy_windows(text):
+        w = text[start : start + S.WINDOW]
+        p = [w.count(c) / len(w) for c in set(w)]
+        assert abs(bits + sum(x * math.log2(x) for x in p)) < 1e-9
+
+
+def test_entropy_finds_random_keys_and_leaves_words():
+    rng = random.Random(5)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/") for _ in range(44))
+    assert any(k == "entropy" for k, *_ in S.find_secrets(f"it is {key} here"))
+    for clean in ("https://example.org/some/path/to/a_page", "internationalization_of_everything", "123e4567-e89b-12d3-a456-426614174000", "2024-01-01-2025-01-01-2026"):
+        assert not [x for x in S.find_secrets(clean) if x[0] == "entropy"]
+
+
+def test_rows_nulls_and_masking(spark):
+    text = "a password = hunter22 b " + "0af" * 10 + " é token: abcdefg"
+    rows = [(1, text, 0, "x"), (2, None, None, "y"), (3, "", 0, None), (3, "", 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
+    got = {r["doc_id"]: r for r in S.scan_secrets(docs).collect()}
+    expected = ",".join(f"{k}:{a}:{b}" for k, a, b in plain(text))
+    assert (got[1]["n_assign"], got[1]["n_access"], got[1]["n_hex"]) == (2, 0, 1)
+    assert got[1]["base_sha256"] == hashlib.sha256(expected.encode()).hexdigest()
+    assert got[2]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    masked = {(r["doc_id"], r["text"], r["n_chars"]) for r in S.mask_secrets(docs).collect()}
+    clean = "a [SECRET] b [SECRET] é [SECRET]"
+    assert masked == {(1, clean, len(clean)), (2, None, None), (3, "", 0)}
+    assert S.mask_secrets(docs).count() == 4
+    assert S.scan_secrets(docs.limit(0)).count() == 0
