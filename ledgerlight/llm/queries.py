@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import chat_format, language_id, packing, secret_scan, source_mixing
+from ledgerlight.llm import chat_format, language_id, near_dedup, packing, secret_scan, source_mixing
 from ledgerlight.llm.common import documents, held_out
 
 
@@ -25,6 +25,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, sf_dir))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -39,7 +43,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op6_secret_scan, op8_chat_format, op10_source_mixing)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op6_secret_scan, op7_minhash_near_dedup, op8_chat_format, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
