@@ -75,3 +75,15 @@ def window_hashes(w: np.ndarray, k: int) -> np.ndarray:
         out += w[i : i + n] * p
     return mix(out)
 
+
+#: Ids of which a set may be broadcast (8 bytes each, some 100 MB as a hash table); beyond it, a shuffle join does the same.
+BROADCAST_IDS = 2_000_000
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of docs whose doc_id is among ids (how: left_semi) or is not (left_anti).
+
+    The set of ids is broadcast only after its size was checked.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)

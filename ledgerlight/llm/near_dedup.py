@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import WordHash, as_bytes, mix, stored, window_hashes, words
+from ledgerlight.llm.common import WordHash, as_bytes, mix, only_ids, stored, window_hashes, words
 from ledgerlight.llm.components import connected_components
 
 SHINGLE = 5
@@ -116,7 +116,7 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b) with the overlap of their full sets; texts: doc_id, text of all documents."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = stored(texts.join(ids, "doc_id", "left_semi"), "texts")
+    own = stored(only_ids(texts, stored(ids, "ids")), "texts")
     with_b = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(overlaps, "a long, b long, inter long, total long")

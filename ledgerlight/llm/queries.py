@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import chat_format, language_id, near_dedup, packing, secret_scan, source_mixing
+from ledgerlight.llm import chat_format, language_id, near_dedup, packing, secret_scan, source_mixing, substring_dedup
 from ledgerlight.llm.common import documents, held_out
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -43,7 +48,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op6_secret_scan, op7_minhash_near_dedup, op8_chat_format, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op6_secret_scan, op7_minhash_near_dedup, op8_chat_format, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
