@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import chat_format, language_id, near_dedup, packing, secret_scan, source_mixing, substring_dedup
+from ledgerlight.llm import ann_forest, chat_format, exact_topk, language_id, near_dedup, packing, secret_scan, source_mixing, substring_dedup
 from ledgerlight.llm.common import documents, held_out
 
 
@@ -26,6 +26,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, sf_dir))
 
@@ -41,6 +45,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.parse(chat_format.format_conversations(rows.unionByName(extra))))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = source_mixing.mix_plan(documents(spark, sf_dir))
     rows = plan.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
@@ -48,7 +56,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op6_secret_scan, op7_minhash_near_dedup, op8_chat_format, op10_source_mixing)}
+    found = (
+        op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_nearest_neighbours, op6_secret_scan,
+        op7_minhash_near_dedup, op8_chat_format, op9_exact_top_k, op10_source_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
