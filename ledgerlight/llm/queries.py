@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import ann_forest, chat_format, exact_topk, language_id, near_dedup, packing, secret_scan, source_mixing, substring_dedup
+from ledgerlight.llm import ann_forest, chat_format, exact_topk, language_id, lm_scoring, near_dedup, packing, secret_scan, source_mixing, substring_dedup
 from ledgerlight.llm.common import documents, held_out
 
 
@@ -30,6 +30,11 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scoring.score(documents(spark, sf_dir), ~held_out(7))
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, sf_dir))
 
@@ -57,7 +62,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_nearest_neighbours, op6_secret_scan,
+        op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_nearest_neighbours, op5_lm_scoring, op6_secret_scan,
         op7_minhash_near_dedup, op8_chat_format, op9_exact_top_k, op10_source_mixing,
     )
     return {f.__name__: f for f in found}
