@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +40,36 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Lower case of these depends on their place in the word.
+SIGMA = frozenset("σς")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable bytes for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class WordTokens:
-    """Token ids of white-space separated words, remembered up to a bound of words.
+    """Token ids of words, remembered up to a bound of words.
 
-    The tokenizer drops white space and no token reaches over it, so a text's
-    ids are its words' ids one after another.
+    The tokenizer ignores case, drops white space, and no token reaches over
+    white space or from a letter or digit into punctuation, so a text's ids are
+    its words' ids one after another. Only strings like <|endoftext|> depend on case.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
     _loaded: dict[str, WordTokens] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.clear()
 
     @classmethod
@@ -62,26 +80,51 @@ class WordTokens:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def learn(self, new: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        ends = self.starts[-1] + np.cumsum([len(x) for x in encoded], dtype=np.int64)
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, ends])
-        self.flat = np.concatenate([self.flat, np.array([i for x in encoded for i in x], np.uint32)])
+        self.starts, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32)  # both grow by doubling
+
+    def ids(self, word: bytes) -> list[int]:
+        """Of one word. A run of letters is one unit of the tokenizer's: its model alone gives the ids."""
+        if (at := self.index.get(word)) is not None:
+            return self.flat[self.starts[at] : self.starts[at + 1]].tolist()
+        stem = word.rstrip(b".,;:!?")
+        if stem and len(stem) < len(word) and stem[-1:].isalnum() and b"<|" not in word:
+            marks = word[len(stem) :]
+            if marks not in self.index:
+                self.learn([marks])
+            return self.ids(stem) + self.ids(marks)
+        text = word.decode("utf-8", "replace")
+        low = text.lower()
+        if low.isalpha() and (text.isascii() or not SIGMA & set(low) and is_normalized("NFC", text) and is_normalized("NFC", low)):
+            return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, words: list[bytes]) -> None:
+        for word in words:
+            if word not in self.index:
+                ids = self.ids(word)
+                n, size = len(self.index), len(ids)
+                start = int(self.starts[n])
+                if n + 2 > len(self.starts):
+                    self.starts = np.resize(self.starts, 2 * len(self.starts))
+                while start + size > len(self.flat):
+                    self.flat = np.resize(self.flat, 2 * len(self.flat))
+                self.flat[start : start + size] = ids
+                self.index[word], self.starts[n + 1] = n, start + size
 
     def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        split = [t.split() if t else [] for t in texts]
-        if new := list(dict.fromkeys(w for ws in split for w in set(ws) - self.index.keys())):
-            if len(self.index) + len(new) > self.LIMIT:
-                self.clear()
-                new = list(dict.fromkeys(w for ws in split for w in ws))
-            self.learn(new)
-        for ws in split:
-            at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-            first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        for text in texts:
+            words = (text if b"<|" in text else text.lower()).split() if text else []
+            at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+            if len(new := np.flatnonzero(at < 0)):
+                if len(self.index) + len(new) > self.LIMIT:
+                    self.clear()
+                    new = np.arange(len(words))
+                missed = [words[i] for i in new]
+                self.learn(missed)
+                at[new] = [self.index[w] for w in missed]
+            first = self.starts[at]
+            n = self.starts[at + 1] - first
             ends = np.cumsum(n)
             yield self.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 

@@ -92,3 +92,15 @@ def test_nulls_repeats_long_and_empty(spark):
     assert sorted((r["doc_id"] or 0, r["piece"], r["length"]) for r in got if r["doc_id"] != 4) == [(0, 0, 3), (1, 0, 1), (1, 0, 1), (2, 0, 4096), (2, 1, 4096), (2, 2, 809), (3, 0, 1)]
     check_layout(got)
     assert P.pack(docs.limit(0)).count() == 0
+
+
+WORDS = ["naïve", "NAÏVE", "ΑΣ", "İstanbul", "e\u0301t", "don't", "it's", "x1y", "ñ", "ﬁn", "日本", "ß", "<|endoftext|>", "<|ENDOFTEXT|>", "a,b.", "--", "É.", "\u00a0z", "ǅ", "aͅ", "K"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(WORDS), st.text(max_size=8)), max_size=12), st.sampled_from([" ", "\t", "\n ", ""]))
+def test_ids_word_by_word_equal_ids_of_the_text(words, joint):
+    text = joint.join(words).encode("utf-8", "ignore").decode()
+    tokens = P.WordTokens.of(P.tokenizer_path())
+    want = tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    assert next(tokens.encode([text.encode()])).tolist() == want
