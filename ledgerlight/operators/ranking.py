@@ -26,3 +26,70 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rk") -> D
     starts = rows.groupBy("_part").agg((F.max("_row") + 1).alias("_n"))
     starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_row") + 1).drop("_part", "_row", "_start")
+
+
+def table_size(df: DataFrame, name: str = "_size") -> DataFrame:
+    """One row, one column: the number of rows."""
+    return df.agg(F.count(F.lit(1)).alias(name))
+
+
+def quartiles(df: DataFrame, column: str, tie: str, name: str) -> DataFrame:
+    """1..4 by rank of the column, ties broken by another column: the upper edges lie at 1 + k (n - 1) / 4."""
+    ranked = global_row_number(df, [F.col(column).asc(), F.col(tie).asc()], "_rk")
+    n = F.col("_size")
+    edge = F.when(n > 1, F.expr("(4 * (_rk - 1) + _size - 2) div greatest(_size - 1, 1)")).otherwise(1)
+    return ranked.crossJoin(F.broadcast(table_size(ranked))).withColumn(name, F.greatest(F.lit(1), edge).cast("int")).drop("_rk", "_size")
+
+
+def percent_rank_average(ranked: DataFrame, column: str, name: str, rank: str = "_rk") -> DataFrame:
+    """(rank averaged over equal values) / n, given global row numbers."""
+    ties = ranked.groupBy(column).agg(((F.min(rank) + F.max(rank)) / F.lit(2.0)).alias("_mean")).withColumnRenamed(column, "_value")
+    out = ranked.join(ties, F.col(column) == F.col("_value")).crossJoin(F.broadcast(table_size(ranked)))
+    return out.withColumn(name, F.col("_mean") / F.col("_size")).drop("_mean", "_size", "_value")
+
+
+def exact_quantiles(ranked: DataFrame, column: str, shares: dict[str, float], rank: str = "_rk") -> DataFrame:
+    """One row of linearly interpolated quantiles, given global row numbers: an aggregate over the two ranks beside each."""
+    sized = ranked.crossJoin(F.broadcast(table_size(ranked)))
+    picks, out = [], []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_size") - 1)
+        low = F.floor(at)
+        picks += [
+            F.max(F.when(F.col(rank) == low + 1, F.col(column))).alias(f"_a_{name}"),
+            F.max(F.when(F.col(rank) == F.least(low + 2, F.col("_size")), F.col(column))).alias(f"_b_{name}"),
+            F.max(at - low).alias(f"_f_{name}"),
+        ]
+        out.append((F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * F.col(f"_f_{name}")).alias(name))
+    return sized.agg(*picks).select(*out)
+
+
+def temporal_split(df: DataFrame, time: str, tie: str, share: float = 0.8) -> DataFrame:
+    """Adds `split`: train for the oldest share of rows (at least one, and not all), else test."""
+    ranked = global_row_number(df, [F.col(time).asc(), F.col(tie).asc()], "_rk")
+    n = F.col("_size")
+    cut = F.greatest(F.lit(1), F.least(F.floor(n * F.lit(share)), n - 1))
+    sized = ranked.crossJoin(F.broadcast(table_size(ranked)))
+    return sized.withColumn("split", F.when(F.col("_rk") <= cut, "train").otherwise("test")).drop("_rk", "_size")
+
+
+def hash_order(key: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(key))
+
+
+def ranked_within_label(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """_at: 0, 1, .. inside each label, in an order drawn by hash, and _n: the label's rows."""
+    ranked = global_row_number(df, [F.col(label).asc(), hash_order(key, seed).asc(), F.col(key).asc()], "_rk")
+    firsts = ranked.groupBy(label).agg(F.min("_rk").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumnRenamed(label, "_label")
+    out = ranked.join(F.broadcast(firsts), F.col(label) == F.col("_label"))  # one row for each label
+    return out.withColumn("_at", F.col("_rk") - F.col("_first")).drop("_rk", "_first", "_label")
+
+
+def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    out = ranked_within_label(df, label, key, seed)
+    return out.withColumn("split", F.when(F.col("_at") < F.round(F.col("_n") * F.lit(share)), "train").otherwise("test")).drop("_at", "_n")
+
+
+def stratified_folds(df: DataFrame, label: str, key: str, folds: int, seed: int = 42) -> DataFrame:
+    """Adds `fold`, 0..folds-1, whose labels are as even as can be."""
+    return ranked_within_label(df, label, key, seed).withColumn("fold", F.pmod("_at", F.lit(folds)).cast("int")).drop("_at", "_n")
