@@ -5,13 +5,16 @@ Circulant MinHash takes two permutations: the first scatters the elements over
 2^32 places, the second is shifted by k places to give signature coordinate k.
 BANDS bands of ROWS coordinates make the buckets.
 
-Equal sets become one class, whose smallest doc_id stands for it. In a bucket
-every class is compared with the bucket's pivot (its smallest id), so a bucket
-of n classes costs n - 1 pairs. Where that leaves a bucket in several
-components, the classes outside the pivot's component are compared with the
-bucket's other classes, unless sizes or the triangle inequality of the Jaccard
-distance to the pivot exclude a link. Pairs are confirmed on full sets, read
-again from the whole texts. Links give connected components.
+Equal sets become one class, whose smallest doc_id stands for it. Buckets join
+their classes into groups: a bucket of n classes gives n - 1 meetings with its
+smallest, and groups are components of these. A group's hub is the class that
+most others met. Each class of a group is compared with the hub. Classes that
+have no link with it are then compared with others of the group, but only with
+those that share a shingle outside the hub among the first few (a prefix
+filter), or that may have all that a link takes inside the hub. Other pairs
+cannot be linked, so near copies whose edits differ cost no pair. Pairs are
+confirmed on full sets, read again from the whole texts. Links give connected
+components.
 
 Defined cases: null or wordless text has no shingle and is linked with nothing;
 fewer words than a shingle make one shingle of them all; a null doc_id is
@@ -99,18 +102,28 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) -> (a, b, inter, total): sizes of the intersection and the union of full sets."""
+    """(a, b, text_a, text_b) -> sizes of b's full set, of the intersection and of the union, and b's keys against a.
+
+    Keys are shingles of b outside a. Let y share a link with b, and b none with a. Then b and y have at least
+    0.85 |b| shingles in common, at most |b and a| of them inside a, so they share `need` outside a, and one of the first
+    |b outside a| - need + 1 in any fixed order. Where b is linked with a, all shingles outside a are keys.
+    """
     hashes, last, one = WordHash(), None, np.empty(0, np.uint64)
+    names = ["a", "b", "size", "inter", "total", "keys"]
     for batch in batches:
-        inter, total = [], []
+        rows = []
         for ta, tb in zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b")), strict=True):
             if ta != last:
                 last, one = ta, shingle_set(ta, hashes)
             other = shingle_set(tb, hashes)
-            n = len(np.intersect1d(one, other, assume_unique=True))
-            inter.append(n)
-            total.append(len(one) + len(other) - n)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "inter", "total"])
+            outside = np.setdiff1d(other, one, assume_unique=True)
+            n = len(other) - len(outside)
+            total = len(one) + len(outside)
+            need = 1 if n * 100 >= total * THRESHOLD else max(1, -(-len(other) * THRESHOLD // 100) - n)
+            rows.append((len(other), n, total, outside[: max(0, len(outside) - need + 1)].view(np.int64)))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        types = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -119,7 +132,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     own = stored(only_ids(texts, stored(ids, "ids")), "texts")
     with_b = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(overlaps, "a long, b long, inter long, total long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(overlaps, "a long, b long, size long, inter long, total long, keys array<long>")
 
 
 def linked(overlap: DataFrame) -> DataFrame:
@@ -140,15 +153,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(classes, "classes")
     buckets = classes.select(F.explode("bands").alias("key"), "rep", "n")
     pivots = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = buckets.join(pivots, "key").select("key", "rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    members = stored(members, "members")
-
-    star = members.where((F.col("rep") != F.col("pivot")) & sizes_fit(F.col("n"), F.col("pivot_n")))
-    star = stored(confirmed(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts), "overlaps")
+    meet = stored(buckets.join(pivots, "key").where("rep <> p.rep").select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct(), "meetings")
+    groups = stored(connected_components(meet), "groups")
+    often = meet.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(groups, F.col("a") == F.col("node"))
+    hubs = often.groupBy("component").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("hub"))
+    pairs = groups.join(hubs, "component").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    star = stored(confirmed(stored(pairs, "pairs"), texts), "overlaps")
     links = linked(star)
     found = stored(connected_components(links), "components")
 
-    rest = stored(residual_pairs(members, star, found), "rest")
+    rest = stored(residual_pairs(star, found), "rest")
     if not rest.isEmpty():
         links = links.unionByName(linked(confirmed(rest, texts)))
         found = stored(connected_components(links), "components")
@@ -159,34 +173,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def residual_pairs(members: DataFrame, star: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a bucket that the pivot left in different components and that may still be linked.
+def residual_pairs(star: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of a group, in different components, that may still be linked: one of them, x, has no link with the hub.
 
-    With d the Jaccard distance, a link of x and y means |d(x, pivot) - d(y, pivot)| <= d(x, y) <= 1 - THRESHOLD / 100.
+    They share a key, or else all that they need to share may lie inside the hub, for which both must be short:
+    (100 + THRESHOLD) / THRESHOLD * |x and hub| >= |x| + |y|, and the same for y.
     """
     label = lambda df, of, to: df.join(found.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col(of) == F.col("_n"), "left").withColumn(to, F.coalesce("_c", of)).drop("_n", "_c")
-    far = star.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("inter") / F.col("total")).alias("d"))
-    m = label(label(members, "rep", "comp"), "pivot", "pivot_comp")
-    m = m.join(far, (F.col("pivot") == F.col("_a")) & (F.col("rep") == F.col("_b")), "left").drop("_a", "_b")
-    m = m.where("rep <> pivot").withColumn("cell", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / THRESHOLD)))
-    outside = m.where("comp <> pivot_comp")
-    some = outside.select("key").distinct()
-    m = stored(m.join(some, "key", "left_semi"), "open")
-    x = m.where("comp <> pivot_comp").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    x, y = x.alias("x"), m.alias("y")
-    gap = F.abs(F.col("x.d") - F.col("y.d"))
-    on = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.cell") == F.col("y.cell"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & ((F.col("y.comp") == F.col("y.pivot_comp")) | (F.col("x.rep") < F.col("y.rep")))
-        & sizes_fit(F.col("x.n"), F.col("y.n"))
-        & (gap.isNull() | (gap <= 1 - THRESHOLD / 100 + 1e-9))
+    m = label(label(star, "b", "comp"), "a", "hub_comp")
+    open_ = F.col("comp") != F.col("hub_comp")
+    some = m.where(open_).select("a").distinct()
+    m = stored(m.join(some, "a", "left_semi").withColumn("cell", F.floor(F.log(F.col("size").cast("double")) / math.log(100 / THRESHOLD))), "open")
+    may = (
+        (F.col("x.comp") != F.col("y.comp"))
+        & ((F.col("y.comp") == F.col("y.hub_comp")) | (F.col("x.b") < F.col("y.b")))
+        & sizes_fit(F.col("x.size"), F.col("y.size"))
     )
-    return x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    pair = lambda df: df.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+    keyed = m.select("a", "b", "comp", "hub_comp", "size", F.explode("keys").alias("key"))
+    x, y = keyed.where(open_).alias("x"), keyed.alias("y")
+    by_key = pair(x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.key") == F.col("y.key")) & may))
+
+    short = m.where(F.col("inter") * 100 >= F.col("size") * THRESHOLD).select("a", "b", "comp", "hub_comp", "size", "inter", "cell")
+    x = short.where(open_).withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).alias("x")
+    both = F.col("x.size") + F.col("y.size")
+    room = lambda c: F.col(c) * (100 + THRESHOLD) >= both * THRESHOLD
+    inside = pair(x.join(short.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.cell") == F.col("y.cell")) & may & room("x.inter") & room("y.inter")))
+    return by_key.unionByName(inside).distinct()
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their component; columns as given."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    gone = stored(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    return only_ids(docs, gone, "left_anti").select(*docs.columns)
