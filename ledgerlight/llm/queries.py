@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import ann_forest, chat_format, exact_topk, language_id, lm_scoring, near_dedup, packing, secret_scan, source_mixing, substring_dedup
+from ledgerlight.llm import ann_forest, chat_format, exact_topk, language_id, lm_scoring, near_dedup, oracles, packing, secret_scan, source_mixing, substring_dedup
 from ledgerlight.llm.common import documents, held_out
 
 
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
