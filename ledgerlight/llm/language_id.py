@@ -168,5 +168,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, training: Column) -> DataFrame:
-    """The rows of docs whose language is not rejected; columns as given."""
-    return predict(docs, fit(docs, training)).where("not rejected").select(*docs.columns)
+    """The rows of docs whose language is not rejected; columns as given, whatever their names."""
+    aside = {c: f"_given_{c}" for c in ("lang_pred", "score", "rejected") if c in docs.columns}
+    found = predict(docs.withColumnsRenamed(aside), fit(docs, training)).where("not rejected")
+    return found.drop("lang_pred", "score", "rejected").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)

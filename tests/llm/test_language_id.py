@@ -26,7 +26,8 @@ def test_defined_cases(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in L.predict(docs, model).collect() if r["doc_id"] >= 90}
     assert got == {90: ("und", True), 91: ("und", True), 92: ("und", True), 93: ("de", False), 94: ("en", False)}
     assert L.predict(docs, model).count() == 66
-    assert L.keep_identified(docs, F.lit(True)).columns == docs.columns
+    kept = L.keep_identified(docs, F.lit(True))
+    assert kept.columns == docs.columns and {r["score"] for r in kept.where("doc_id < 60").collect()} == {"a", "b"}
     empty = L.fit(docs.limit(0), F.lit(True))
     assert empty.languages == [] and {r["lang_pred"] for r in L.predict(docs, empty).collect()} == {"und"}
     assert L.predict(docs.limit(0), model).count() == 0
