@@ -325,7 +325,7 @@ def stream_scores(s, d):
 def request_metrics(s, d):
     out = jobs.new_folder(s, "metrics")
     jobs.metrics_table(jobs.table_stream(s, written(s, T.request_log(s, d), "requests")), out)
-    m = jobs.last_batch(s, out)
+    m = jobs.latest_windows(s, out)
     return m.select("endpoint", "status", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", F.round("mean_latency", 6).alias("mean_latency"), "last_latency")
 
 

@@ -50,15 +50,18 @@ def request_metrics(requests: DataFrame, width: str = "1 hour", lateness: str =
 
 
 def metrics_table(stream: DataFrame, out: str, **options) -> None:
-    """Windows still open when the input ends are written too: each batch replaces the windows' last state."""
+    """Each batch adds the windows that it changed; windows behind the watermark leave the state. See latest_windows."""
     metrics = request_metrics(stream, **options)
 
-    def latest(batch: DataFrame, number: int) -> None:
+    def changed(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    metrics.writeStream.outputMode("complete").foreachBatch(latest).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    metrics.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
 
 
-def last_batch(spark: SparkSession, out: str) -> DataFrame:
-    df = spark.read.parquet(out)
-    return df.where(F.col("batch") == df.agg(F.max("batch")).first()[0]).drop("batch")
+def latest_windows(spark: SparkSession, out: str) -> DataFrame:
+    """Each window as its last batch left it."""
+    df, key = spark.read.parquet(out), ["endpoint", "status", "window_start"]
+    values = [c for c in df.columns if c not in (*key, "batch")]
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(*key, *[F.col(f"v.{c}").alias(c) for c in values])

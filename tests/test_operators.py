@@ -200,3 +200,13 @@ def test_summary_csv(spark, tmp_path):
     assert [(r["customer_id"], r["segment"], r["recency_days"]) for r in got] == [(101, "Enterprise", 25), (102, "SMB", 30), (103, "SMB", 1)]
     assert got[2]["_corrupt_record"] is not None
     assert len(files.load_published(spark, f"file://{tmp_path}", [])) == 0
+
+
+def test_windows_of_a_growing_stream_equal_those_of_the_table(spark, tmp_path):
+    path, out = f"file://{tmp_path}/requests", f"file://{tmp_path}/windows"
+    log = fixtures.request_log(spark, D)
+    for part in (0, 1):
+        log.where(F.pmod(F.xxhash64("ts", "latency"), 2) == part).write.mode("append").parquet(path)
+        jobs.metrics_table(jobs.table_stream(spark, path), out, lateness="10000 days")
+    shown = lambda df: sorted((r["endpoint"], r["status"] or "", r["window_start"], r["requests"], round(r["mean_latency"], 6), r["last_latency"]) for r in df.collect())
+    assert shown(jobs.latest_windows(spark, out)) == shown(jobs.request_metrics(log))
