@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,6 +26,13 @@ def held_out(modulus: int, remainder: int = 2, column: str = "doc_id") -> Column
     return F.crc32(text) % modulus == remainder
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: Python objects and results are made for so many texts at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column of an Arrow batch."""
     return column.cast(pa.binary()).to_pylist()
@@ -37,7 +46,7 @@ def words(text: bytes | None) -> list[bytes]:
 class WordHash(dict):
     """64-bit hashes of words, remembered up to a bound of entries."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

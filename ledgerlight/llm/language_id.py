@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.llm.common import as_bytes
+from ledgerlight.llm.common import as_bytes, small
 
 DIM_BITS = 11
 DIMS = 1 << DIM_BITS
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, training: Column) -> LanguageModel:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, langs = np.zeros(DIMS, np.int64), 0, {}
-        for b in batches:
+        for b in small(batches):
             for text, lang in zip(as_bytes(b.column("text")), b.column("lang").to_pylist(), strict=True):
                 total += term_counts(text) > 0
                 n += 1
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, training: Column) -> LanguageModel:
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), 1 << 30) < F.element_at(share, F.col("lang")) * (1 << 30))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             v = [vector(t, idf).astype(np.float16).tobytes() for t in as_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(v, pa.binary())], ["lang", "v"])
 
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [shared.value.predict(x) for x in as_bytes(b.column("text"))]
             columns = list(zip(*found, strict=True)) if found else [[], [], []]
             extra = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)]

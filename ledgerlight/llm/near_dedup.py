@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import WordHash, as_bytes, mix, only_ids, stored, window_hashes, words
+from ledgerlight.llm.common import WordHash, as_bytes, mix, only_ids, small, stored, window_hashes, words
 from ledgerlight.llm.components import connected_components
 
 SHINGLE = 5
@@ -82,7 +82,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHash()
-    for b in batches:
+    for b in small(batches):
         texts, ids = as_bytes(b.column("text")), b.column("doc_id")
         lo = 0
         while lo < len(texts):
@@ -110,7 +110,7 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     hashes, last, one = WordHash(), None, np.empty(0, np.uint64)
     names = ["a", "b", "size", "inter", "total", "keys"]
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for ta, tb in zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b")), strict=True):
             if ta != last:

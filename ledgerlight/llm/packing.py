@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import as_bytes, stored
+from ledgerlight.llm.common import as_bytes, small, stored
 from ledgerlight.llm.packing_plan import plan
 
 CAPACITY, END_ID = 4096, 1
@@ -55,14 +55,14 @@ BYTE_LETTERS = byte_letters()
 
 
 class WordTokens:
-    """Token ids of words, remembered up to a bound of words.
+    """Token ids of words, remembered up to a bound of words: a full store becomes the old one, which still answers.
 
     The tokenizer ignores case, drops white space, and no token reaches over
     white space or from a letter or digit into punctuation, so a text's ids are
     its words' ids one after another. Only strings like <|endoftext|> depend on case.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
     _loaded: dict[str, WordTokens] = {}
 
     def __init__(self, path: str) -> None:
@@ -71,6 +71,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.clear()
+        self.old = self.index, self.starts, self.flat
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -86,6 +87,9 @@ class WordTokens:
         """Of one word. A run of letters is one unit of the tokenizer's: its model alone gives the ids."""
         if (at := self.index.get(word)) is not None:
             return self.flat[self.starts[at] : self.starts[at + 1]].tolist()
+        index, starts, flat = self.old
+        if (at := index.get(word)) is not None:
+            return flat[starts[at] : starts[at + 1]].tolist()
         stem = word.rstrip(b".,;:!?")
         if stem and len(stem) < len(word) and stem[-1:].isalnum() and b"<|" not in word:
             marks = word[len(stem) :]
@@ -117,7 +121,8 @@ class WordTokens:
             words = (text if b"<|" in text else text.lower()).split() if text else []
             at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
             if len(new := np.flatnonzero(at < 0)):
-                if len(self.index) + len(new) > self.LIMIT:
+                if len(self.index) + len(new) > self.LIMIT and len(self.index) > self.LIMIT // 2:
+                    self.old = self.index, self.starts, self.flat
                     self.clear()
                     new = np.arange(len(words))
                 missed = [words[i] for i in new]
@@ -138,7 +143,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         tokens = WordTokens.of(path)
-        for b in batches:
+        for b in small(batches):
             rows, texts, ids = [], as_bytes(b.column("text")), b.column("doc_id").to_pylist()
             for lo in range(0, len(texts), 256):
                 for doc, own in zip(ids[lo : lo + 256], tokens.encode(texts[lo : lo + 256]), strict=True):

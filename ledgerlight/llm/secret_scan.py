@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerlight.llm.common import small
+
 #: The forms of known secrets, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -112,7 +114,7 @@ def shown(spans: list[tuple[str, int, int]]) -> str:
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for text in batch.column("text").to_pylist():
             spans = find_secrets(text)
@@ -148,7 +150,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     has_count = "n_chars" in docs.columns
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [masked(x, mask) for x in batch.column("text").to_pylist()]
             columns = {n: batch.column(n) for n in batch.schema.names}
             columns["text"] = pa.array(texts, pa.string())

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.llm.common import as_bytes, stored, words
+from ledgerlight.llm.common import as_bytes, small, stored, words
 from ledgerlight.operators.ranking import global_row_number
 
 #: Weights of the sources in their order, repeating.
@@ -38,7 +38,7 @@ NEWTON_STEPS, TOLERANCE = 40, 1e-7
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         sizes = pa.array([len(words(x)) for x in as_bytes(b.column("text"))], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), sizes], ["doc_id", "source", "size"])
 
@@ -160,7 +160,7 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     )
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             n = pa.array([len(words(x)) for x in as_bytes(b.column("text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, n], [*b.schema.names, "_words"])
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import WordHash, as_bytes, mix, only_ids, stored, words
+from ledgerlight.llm.common import WordHash, as_bytes, mix, only_ids, small, stored, words
 
 WIDTH, EDGE = 50, 10
 POSITION_BITS = 28
@@ -100,7 +100,7 @@ def signed(x: np.ndarray) -> pa.Array:
 
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, powers = WordHash(), Powers()
-    for b in batches:
+    for b in small(batches):
         docs, edges, paths = [], [], []
         for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), strict=True):
             if (p := paths_of(words(text), hashes, powers)) is not None:
@@ -115,7 +115,7 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def windows_of_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, paths) -> (doc_id, window): the windows of the paths asked for, read at their source coordinates."""
     hashes, powers = WordHash(), Powers()
-    for b in batches:
+    for b in small(batches):
         docs, found = [], []
         for doc, text, asked in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("paths").to_pylist(), strict=True):
             if (p := paths_of(words(text), hashes, powers)) is not None:
@@ -130,7 +130,7 @@ def windows_of_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, paths, windows) -> (doc_id, n_words, n_removed, kept); paths and windows are those that go, or null."""
     hashes, powers = WordHash(), Powers()
-    for b in batches:
+    for b in small(batches):
         totals, removed, kept = [], [], []
         for text, paths, windows in zip(as_bytes(b.column("text")), b.column("paths").to_pylist(), b.column("windows").to_pylist(), strict=True):
             tokens = words(text)
