@@ -15,8 +15,11 @@ and the groups' results of a query are merged.
 Defined cases: vectors that are null or hold null or non-finite components take
 no part; shorter vectors count as filled up with zeros; scores are exact below
 2 ** 53; with fewer than k candidates all are returned; ties go to the smaller
-id; rows that share a query's id count as the query's own; an empty table gives
-an empty result; further columns are ignored.
+id; rows that share a query's id count as the query's own; each row counts, as in
+a join of queries and rows: a row that is there n times takes n ranks, and a
+query that is there n times finds each row n times; an empty table gives an
+empty result; further columns are ignored. Repeats of id and integers are one
+entry with their number, so that they take one place in a cell's search.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.common import stored
 from ledgerlight.llm.vectors import SCHEMA, finite_vectors, matrix
 
+FOUND = "query_id long, vec_id long, score long, times long"
+
 SCALE = 64
 BLOCK, CHUNK = 1024, 2048
 LEAST_PIVOTS, MOST_PIVOTS = 4, 256
@@ -65,13 +70,13 @@ def in_cells(pivots: np.ndarray):
             squares = (x * x).sum(axis=1)[:, None] - 2 * x @ p.T + (p * p).sum(axis=1)
             cell = squares.argmin(axis=1) if len(x) else np.zeros(0, np.int64)
             far = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.sqrt((x * x).sum(axis=1)))], ["vec_id", "v", "cell", "far", "size"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.sqrt((x * x).sum(axis=1)))], [*b.schema.names, "cell", "far", "size"])
 
     return run
 
 
 def least_scores(pivots: np.ndarray, query_far: np.ndarray, data_far: np.ndarray, data_rows: np.ndarray, k: int) -> np.ndarray:
-    """For each cell of queries a bound that the k-th best score of each of its queries reaches."""
+    """For each cell of queries a bound that the k-th best score of each of its queries reaches; data_rows: no id counts twice."""
     size = np.sqrt((pivots * pivots).sum(axis=1))
     bound = pivots @ pivots.T - size[:, None] * data_far - query_far[:, None] * size - query_far[:, None] * data_far
     out = np.full(len(pivots), -np.inf)
@@ -83,7 +88,7 @@ def least_scores(pivots: np.ndarray, query_far: np.ndarray, data_far: np.ndarray
     return out
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+def best_of(queries: np.ndarray, query_ids: np.ndarray, query_times: np.ndarray, x: np.ndarray, ids: np.ndarray, times: np.ndarray, k: int) -> pd.DataFrame:
     """The k highest scores of each query; ids ascend."""
     scores = queries @ x.T
     n = len(ids)
@@ -95,29 +100,33 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
     got = np.take_along_axis(scores, best, axis=1)
     keep = np.isfinite(got)
-    return pd.DataFrame({"query_id": np.repeat(query_ids, keep.sum(axis=1)), "vec_id": ids[best][keep], "score": got[keep].astype(np.int64)})
+    each = keep.sum(axis=1)
+    return pd.DataFrame({"query_id": np.repeat(query_ids, each), "vec_id": ids[best][keep], "score": got[keep].astype(np.int64), "times": np.repeat(query_times, each) * times[best][keep]})
 
 
 def solve(group: pd.DataFrame, k: int) -> pd.DataFrame:
     q, rows = group[group["is_query"]], group[~group["is_query"]].sort_values("vec_id")
     if not len(q) or not len(rows):
-        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+        return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score", "times")})
     width = max(len(v) for v in group["v"]) // 8
-    return best_of(matrix(q["v"], width=width), q["vec_id"].to_numpy(), matrix(rows["v"], width=width), rows["vec_id"].to_numpy(), k)
+    ids, times = (lambda t: t["vec_id"].to_numpy()), (lambda t: t["times"].to_numpy())
+    return best_of(matrix(q["v"], width=width), ids(q), times(q), matrix(rows["v"], width=width), ids(rows), times(rows), k)
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (integer inner product)."""
     spark = table.sparkSession
     rows = finite_vectors(table).mapInArrow(scaled, SCHEMA)
-    rows = stored(rows.withColumn("is_query", is_query), "integers")
+    rows = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
+    once = F.row_number().over(W.partitionBy("vec_id").orderBy("v")) == 1
+    rows = stored(rows.withColumns({"once": once, "is_query": is_query}), "integers")
     total, asked = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
     pivots = chosen_pivots(rows, min(MOST_PIVOTS, max(LEAST_PIVOTS, -(-asked // BLOCK))))
-    cells = rows.select("vec_id", "v").mapInArrow(in_cells(pivots), SCHEMA + ", cell int, far double, size double").withColumn("is_query", is_query)
+    cells = rows.mapInArrow(in_cells(pivots), SCHEMA + ", times long, once boolean, is_query boolean, cell int, far double, size double")
     cells = stored(cells, "cells")
     n = len(pivots)
     query_far, data_far, data_rows, query_rows = np.zeros((4, n))
-    for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q"), F.max("far").alias("far"), F.max(F.when(F.col("is_query"), F.col("far"))).alias("query_far")).collect():
+    for r in cells.groupBy("cell").agg(F.count_if("once").alias("n"), F.count_if("is_query").alias("q"), F.max("far").alias("far"), F.max(F.when(F.col("is_query"), F.col("far"))).alias("query_far")).collect():
         data_rows[r["cell"]], query_rows[r["cell"]], data_far[r["cell"]], query_far[r["cell"]] = r["n"], r["q"], r["far"], r["query_far"] or 0
     least = least_scores(pivots, query_far, data_far, data_rows, k) if n else np.zeros(0)
     blocks = -(-query_rows.astype(np.int64) // BLOCK)
@@ -131,17 +140,19 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             most = x @ filled(pivots, x.shape[1]).T + b.column("size").to_numpy()[:, None] * far
             needed = (most >= least - 1e-6 * (1 + np.abs(least, where=np.isfinite(least), out=np.zeros_like(least)))) & (blocks > 0)
             to = [[f"{c}/{j}" for c in np.flatnonzero(r) for j in range(blocks[c])] for r in needed]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(to, pa.list_(pa.string()))], ["vec_id", "v", "to"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("times"), pa.array(to, pa.list_(pa.string()))], ["vec_id", "v", "times", "to"])
 
     chunks = max(1, -(-total // CHUNK))
     number = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), n)
-    data = cells.select("vec_id", "v", "size").mapInArrow(goes_to, SCHEMA + ", to array<string>")
-    data = data.select("vec_id", "v", F.lit(False).alias("is_query"), F.explode("to").alias("to"), number(F.lit(chunks), 1).cast("int").alias("chunk"))
+    data = cells.select("vec_id", "v", "times", "size").mapInArrow(goes_to, SCHEMA + ", times long, to array<string>")
+    data = data.select("vec_id", "v", "times", F.lit(False).alias("is_query"), F.explode("to").alias("to"), number(F.lit(chunks), 1).cast("int").alias("chunk"))
     split = F.element_at(F.array(*[F.lit(int(max(1, x))) for x in blocks]) if n else F.array(F.lit(1)), F.col("cell") + 1)
     queries = cells.where("is_query").select(
-        "vec_id", "v", "is_query", F.concat_ws("/", "cell", number(split, 2)).alias("to"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+        "vec_id", "v", "times", "is_query", F.concat_ws("/", "cell", number(split, 2)).alias("to"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
     )
-    found = data.unionByName(queries).groupBy("to", "chunk").applyInPandas(lambda g: solve(g, k), "query_id long, vec_id long, score long")
+    found = data.unionByName(queries).groupBy("to", "chunk").applyInPandas(lambda g: solve(g, k), FOUND)
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    merged = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)  # entries; each has a row at least
+    each = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))))
+    merged = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

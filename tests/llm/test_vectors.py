@@ -100,3 +100,20 @@ def test_bounds_prune_but_lose_nothing():
         assert np.sort(np.delete(scores[i], i))[-10] >= least[cell[i]]
     most = x @ centres.T + np.sqrt((x * x).sum(axis=1))[:, None] * far
     assert (most < least).any()
+
+
+def test_repeated_rows_take_ranks_of_their_own(spark):
+    """As the query's SQL has it: rows repeated, ids with several vectors, a query repeated."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((300, 6)).round(2)
+    rows = [(i, [float(y) for y in v], "x") for i, v in enumerate(x)]
+    rows += [(41, [3.0] * 6, "x")] * 7 + [(43, [5.0] * 6, "x")] * 30 + [(47, [float(j)] * 6, "x") for j in range(9)] * 2
+    rows += [rows[60]] * 2 + [(80, [float(j), 1.0, 0.0, 0.0, 0.0, -1.0], "x") for j in range(25)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    z, ids = np.floor(64 * np.array([np.float32(r[1]) for r in rows], float)).astype(np.int64), np.array([r[0] for r in rows])
+    for k in (5, 20):
+        want = {}
+        for q in {int(i) for i in ids if i % 20 == 0}:
+            all_ = [(int(-s), int(i)) for v in z[ids == q] for s, i in zip(z @ v, ids, strict=True) if i != q]
+            want[q] = [(i, -s) for s, i in sorted(all_)[:k]]
+        assert by_query(exact_topk.top_k(df, F.col("vec_id") % 20 == 0, k).collect()) == want
