@@ -4,9 +4,12 @@ A candidate is a run of 20 or more characters of the base64 and identifier
 alphabets. A window of WINDOW characters moves over it; its Shannon entropy is
 kept up by counts, of which one goes down and one goes up at each step, so a
 candidate costs time in proportion to its length whatever the window. The
-window's character class (hex digits, or letters and digits in general) sets
-the entropy it must reach. Windows that do are merged into spans. Strings on
-the allow-list (paths, identifiers of words, UUIDs, placeholders, runs) give none.
+window's character class sets the entropy it must reach: hex digits, digits and
+letters of one case without separators (as in base36 and base32), or both cases
+and digits. Windows without a digit or without a letter do not count, and those
+of one case not with a separator, as names and paths have. Windows that reach it
+are merged into spans. Candidates on the allow-list (paths, identifiers of
+words, UUIDs) give none, nor do windows that hold a whole placeholder or run.
 
 Defined cases: null text counts as empty and has no span; spans of one kind
 never overlap; spans of different kinds may; positions are code points, end
@@ -35,7 +38,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Bits a character that a window must reach, by character class.
-HEX_BITS, MIXED_BITS = 3.0, 3.7
+HEX_BITS, ONE_CASE_BITS, MIXED_BITS = 3.0, 3.6, 3.7
 #: Allow-list: whole candidates that are no secrets.
 ALLOWED = re.compile(
     r"""[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}  # UUID
@@ -44,7 +47,8 @@ ALLOWED = re.compile(
     """,
     re.VERBOSE,
 )
-PLACEHOLDER = re.compile(r"example|placeholder|changeme|redacted|xxxx|0000|abcdef|123456|lorem", re.IGNORECASE)
+#: Overlapping ones are all found.
+PLACEHOLDER = re.compile(r"(?=(example|placeholder|changeme|redacted|xxxx|0000|abcdef|123456|lorem))", re.IGNORECASE)
 STEP = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 
@@ -66,16 +70,23 @@ def entropy_windows(text: str, width: int = WINDOW) -> Iterator[tuple[int, float
             yield i - width + 1, math.log2(width) - weight / width
 
 
-def allowed(text: str) -> bool:
-    return bool(ALLOWED.fullmatch(text) or PLACEHOLDER.search(text))
+def least_bits(hex_only: bool, upper: int, lower: int, digit: int) -> float:
+    """What a window with so many letters and digits must reach."""
+    if hex_only:
+        return HEX_BITS
+    if upper and lower:
+        return MIXED_BITS
+    return ONE_CASE_BITS if upper + lower + digit == WINDOW else math.inf
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if allowed(s):
+        if ALLOWED.fullmatch(s):
             continue
+        holders = {p.end(1): p.start(1) for p in PLACEHOLDER.finditer(s)}
+        held = -1  # where the last placeholder so far begins
         other = digit = upper = lower = 0  # of the window, kept up like the counts
         bits = dict(entropy_windows(s))
         for i, c in enumerate(s):
@@ -87,9 +98,10 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
                     upper += sign * ("A" <= c <= "Z")
                     lower += sign * ("a" <= c <= "z")
             start = i - WINDOW + 1
-            if start < 0 or not digit or not upper + lower:
+            held = max(held, holders.get(i + 1, -1))
+            if start < 0 or held >= start or not digit or not upper + lower:
                 continue
-            if bits[start] >= (MIXED_BITS if other else HEX_BITS) and (not other or upper and lower):
+            if bits[start] >= least_bits(not other, upper, lower, digit):
                 a, b = m.start() + start, m.start() + i + 1
                 if spans and a <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], b)
