@@ -58,6 +58,11 @@ def cohort_matrix(cohorts: DataFrame, indexes: list[int]) -> DataFrame:
     return wide.select("cohort_month", *[F.col(f"`{i}`").alias(f"m{i}".replace("-", "_")) for i in indexes])
 
 
+def cohort_cells(cohorts: DataFrame) -> DataFrame:
+    """The matrix in long form, with every month index that there is: cohort_month, cohort_index, retention_pct."""
+    return cohorts.select("cohort_month", "cohort_index", (F.col("retention_rate") * 100).alias("retention_pct"))
+
+
 def zero_if_undefined(c: Column) -> Column:
     return F.coalesce(F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c), F.lit(0.0))
 

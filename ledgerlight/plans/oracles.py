@@ -140,6 +140,7 @@ QUERIES = {
       WHEN r_score <= 2 THEN 'At Risk' ELSE 'Hibernating' END AS segment FROM rfm_2""",
     "cohort_retention": "SELECT * FROM cohorts",
     "cohort_matrix": "SELECT cohort_month, " + ", ".join(f"max(retention_rate * 100) FILTER (cohort_index = {i}) AS m{i}" for i in COHORT_MONTHS) + " FROM cohorts GROUP BY cohort_month",
+    "cohort_matrix_cells": "SELECT cohort_month, cohort_index, retention_rate * 100 AS retention_pct FROM cohorts",
     "recommendations": f"SELECT {REC} FROM rec",
     "executive_kpis": """SELECT count(DISTINCT customer_id) AS customers_in_scope, count(*) AS rows_in_recommendation_table, round(avg(ltv), 6) AS avg_ltv, round(avg(cac), 6) AS avg_cac,
       round(avg(ltv_cac_ratio), 6) AS avg_ltv_cac_ratio, round(avg(churn_probability), 6) AS avg_churn_probability, round(avg(next_purchase_probability), 6) AS avg_next_purchase_probability FROM rec""",

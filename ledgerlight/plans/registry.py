@@ -143,6 +143,12 @@ def cohort_matrix(s, d):
     return metrics.cohort_matrix(cohort_retention(s, d), list(oracles.COHORT_MONTHS))
 
 
+@query
+def cohort_matrix_cells(s, d):
+    """All cells; cohort_matrix and its SQL have the indexes 0 to 12 only."""
+    return metrics.cohort_cells(cohort_retention(s, d))
+
+
 @query
 def recommendations(s, d):
     return rec(s, d)
