@@ -130,6 +130,21 @@ def action_board(part: DataFrame, n: int = 120) -> DataFrame:
     return part.orderBy(F.col("potential_impact").desc_nulls_last(), "customer_id").limit(n)
 
 
+def action_board_by_score(part: DataFrame, n: int = 120) -> DataFrame:
+    return part.orderBy(F.col("strategic_score").desc_nulls_last(), "customer_id").limit(n)
+
+
+def portfolio_leaders(part: DataFrame) -> DataFrame:
+    """One row: the customer of the highest potential impact, the riskiest segment, the commonest action; ties go to what is first in order."""
+    first = lambda df, key, by: df.orderBy(F.col(by).desc_nulls_last(), key).limit(1)
+    customer = part.where("potential_impact is not null").agg(
+        F.max_by("customer_id", F.struct("potential_impact", -F.col("customer_id"))).alias("top_customer"), F.round(F.max("potential_impact"), 6).alias("top_impact")
+    )
+    segment = first(mean_by(part, "segment", "churn_probability", "avg_risk"), "segment", "avg_risk").select(F.col("segment").alias("riskiest_segment"), "avg_risk")
+    action = first(action_mix(part), "action", "n").select(F.col("action").alias("top_action"), F.col("pct").alias("action_pct"))
+    return customer.crossJoin(segment).crossJoin(action)
+
+
 def slicer_values(rec: DataFrame) -> DataFrame:
     names = {"segments": "segment", "channels": "channel", "actions": "recommended_action"}
     return rec.agg(*[F.array_sort(F.collect_set(c)).alias(n) for n, c in names.items()])

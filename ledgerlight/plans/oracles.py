@@ -161,6 +161,11 @@ QUERIES = {
     "segment_risk": "SELECT segment, round(avg(churn_probability), 6) AS avg_risk FROM rec GROUP BY segment",
     "channel_next_purchase": "SELECT channel, round(avg(next_purchase_probability), 6) AS avg_next_purchase FROM rec GROUP BY channel",
     "action_board": f"SELECT {REC}, expected_uplift AS potential_impact FROM sim ORDER BY expected_uplift DESC, customer_id LIMIT 120",
+    "action_board_by_score": f"SELECT {REC}, expected_uplift AS potential_impact FROM sim ORDER BY strategic_score DESC, customer_id LIMIT 120",
+    "portfolio_leaders": """SELECT * FROM (SELECT customer_id AS top_customer, round(expected_uplift, 6) AS top_impact FROM sim ORDER BY expected_uplift DESC, customer_id LIMIT 1)
+      CROSS JOIN (SELECT segment AS riskiest_segment, round(avg(churn_probability), 6) AS avg_risk FROM rec GROUP BY segment ORDER BY 2 DESC, 1 LIMIT 1)
+      CROSS JOIN (SELECT recommended_action AS top_action, CAST(round_even(count(*) / CAST((SELECT count(*) FROM rec) AS DOUBLE) * 100, 1) AS DOUBLE) AS action_pct
+        FROM rec GROUP BY recommended_action ORDER BY count(*) DESC, 1 LIMIT 1)""",
     "slicer_values": """SELECT array_to_string(list_sort(list(DISTINCT segment)), '|') AS segments, array_to_string(list_sort(list(DISTINCT channel)), '|') AS channels,
       array_to_string(list_sort(list(DISTINCT recommended_action)), '|') AS actions FROM rec""",
     "gold_contract_report": " UNION ALL ".join(

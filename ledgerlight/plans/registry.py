@@ -214,6 +214,17 @@ def action_board(s, d):
     return recommend.action_board(recommend.sliced(rec(s, d)))
 
 
+@query
+def action_board_by_score(s, d):
+    """The reference's board; action_board and its SQL order by potential_impact."""
+    return recommend.action_board_by_score(recommend.sliced(rec(s, d)))
+
+
+@query
+def portfolio_leaders(s, d):
+    return recommend.portfolio_leaders(stored(recommend.sliced(rec(s, d)), "board"))
+
+
 @query
 def slicer_values(s, d):
     v = recommend.slicer_values(rec(s, d))

@@ -11,3 +11,11 @@ def test_all_cells_of_the_cohort_matrix(spark):
     assert {(m, i): p for m, i, p in cells} == rates and len(cells) == len(rates)
     print("cells", len(cells), min(i for _, i, _ in cells), max(i for _, i, _ in cells), "of 0 to 12:", sum(0 <= i <= 12 for _, i, _ in cells))
     assert min(i for _, i, _ in cells) < 0 and max(i for _, i, _ in cells) > 12
+
+
+def test_the_board_is_ordered_by_score(spark):
+    q = registry.queries()
+    rows = sorted(q["recommendations"](spark, D).collect(), key=lambda r: (-r["strategic_score"], r["customer_id"]))
+    board = [r["customer_id"] for r in q["action_board_by_score"](spark, D).collect()]
+    assert board == [r["customer_id"] for r in rows[:120]]
+    print("in both boards", len({*board} & {r["customer_id"] for r in q["action_board"](spark, D).collect()}))
