@@ -301,7 +301,7 @@ def next_purchase_scores(s, d):
 @query
 def model_metrics(s, d):
     f = stored(feature_table(s, d), "features")
-    churn, following = models(s, f, folds=3)
+    churn, following = models(s, f, folds=ml.MOST_FOLDS)
     return metrics_table(s, {"churn": churn, "next_purchase_30d": following})
 
 

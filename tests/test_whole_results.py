@@ -19,3 +19,11 @@ def test_the_board_is_ordered_by_score(spark):
     board = [r["customer_id"] for r in q["action_board_by_score"](spark, D).collect()]
     assert board == [r["customer_id"] for r in rows[:120]]
     print("in both boards", len({*board} & {r["customer_id"] for r in q["action_board"](spark, D).collect()}))
+
+
+def test_registered_models_have_the_reference_s_folds_and_depth(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registry.ml, "train", lambda f, name, target, folds: asked.append(folds))
+    monkeypatch.setattr(registry, "metrics_table", lambda s, trained: trained)
+    registry.queries()["model_metrics"](spark, D)
+    assert asked == [5, 5] and registry.ml.churn_pipeline().getStages()[-1].getMaxDepth() == 30
