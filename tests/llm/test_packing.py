@@ -57,6 +57,30 @@ def test_near_the_lower_bound():
     assert L.plan(histogram, 4096).sequences <= sum(lengths) / 4096 * 1.005 + 1
 
 
+@pytest.mark.parametrize("n, mu", [(3000, 6.5), (40_000, 6.5), (40_000, 5.0)])
+def test_the_program_places_nearly_all_items_near_its_bound(n, mu):
+    rng = np.random.default_rng(n)
+    lengths = np.minimum(4096, rng.lognormal(mu, 1.2, n).astype(int) + 1)
+    histogram = {int(x): int(c) for x, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    plan = L.plan(histogram, 4096)
+    print(n, mu, plan.sequences, plan.bound, plan.configurations, plan.by_program / n)
+    assert plan.by_program >= 0.9 * n
+    assert plan.bound <= plan.sequences <= plan.bound * (1 + 2 * L.TOLERANCE) + 1 <= plan.bound + plan.configurations
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 9), min_size=1, max_size=5))
+def test_dearest_configuration_equals_brute_force_and_the_bound_holds(histogram):
+    lengths = np.array(sorted(histogram))
+    prices = np.random.default_rng(len(histogram)).random(len(lengths))
+    value = [0.0]
+    for c in range(1, 25):  # brute force: any number of each
+        value.append(max([value[c - 1], *(value[c - x] + p for x, p in zip(lengths.tolist(), prices, strict=True) if x <= c)]))
+    assert L.dearest(prices, lengths, 24) == pytest.approx(value[24])
+    plan = L.plan(histogram, 24)
+    assert plan.bound <= plan.sequences + 1e-9
+
+
 def test_query_over_the_whole_table(spark):
     d = "/root/testdata/sf0.001"
     t = Tokenizer.from_file(P.tokenizer_path())
