@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 from unicodedata import is_normalized
 
 import numpy as np
@@ -54,6 +54,10 @@ def byte_letters() -> dict[int, str]:
 BYTE_LETTERS = byte_letters()
 
 
+#: What may follow a word without changing its ids.
+MARKS = ".,;:!?"
+
+
 class WordTokens:
     """Token ids of words, remembered up to a bound of words: a full store becomes the old one, which still answers.
 
@@ -70,6 +74,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.marks: dict[str, list[int]] = {}
         self.clear()
         self.old = self.index, self.starts, self.flat
 
@@ -83,55 +88,82 @@ class WordTokens:
         self.index: dict[bytes, int] = {}
         self.starts, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32)  # both grow by doubling
 
-    def ids(self, word: bytes) -> list[int]:
+    def tokenized(self, word: bytes) -> list[int]:
         """Of one word. A run of letters is one unit of the tokenizer's: its model alone gives the ids."""
-        if (at := self.index.get(word)) is not None:
-            return self.flat[self.starts[at] : self.starts[at + 1]].tolist()
-        index, starts, flat = self.old
-        if (at := index.get(word)) is not None:
-            return flat[starts[at] : starts[at + 1]].tolist()
-        stem = word.rstrip(b".,;:!?")
-        if stem and len(stem) < len(word) and stem[-1:].isalnum() and b"<|" not in word:
-            marks = word[len(stem) :]
-            if marks not in self.index:
-                self.learn([marks])
-            return self.ids(stem) + self.ids(marks)
         text = word.decode("utf-8", "replace")
+        stem = text.rstrip(MARKS)
+        if stem and len(stem) < len(text) and stem[-1].isalnum() and "<|" not in text:
+            marks = text[len(stem) :]
+            if marks not in self.marks:
+                if len(self.marks) > self.LIMIT // 10:
+                    self.marks.clear()
+                self.marks[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+            return self.of_stem(stem) + self.marks[marks]
+        return self.of_stem(text)
+
+    def of_stem(self, text: str) -> list[int]:
         low = text.lower()
-        if low.isalpha() and (text.isascii() or not SIGMA & set(low) and is_normalized("NFC", text) and is_normalized("NFC", low)):
-            return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        if low.isalpha():
+            if text.isascii():
+                return [t.id for t in self.model.tokenize(low)]
+            if not SIGMA & set(low) and is_normalized("NFC", text) and is_normalized("NFC", low):
+                return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(BYTE_LETTERS))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def remembered(self, word: bytes) -> list[int]:
+        index, starts, flat = self.old
+        at = index.get(word)
+        return self.tokenized(word) if at is None else flat[starts[at] : starts[at + 1]].tolist()
+
     def learn(self, words: list[bytes]) -> None:
-        for word in words:
-            if word not in self.index:
-                ids = self.ids(word)
-                n, size = len(self.index), len(ids)
-                start = int(self.starts[n])
-                if n + 2 > len(self.starts):
-                    self.starts = np.resize(self.starts, 2 * len(self.starts))
-                while start + size > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.flat[start : start + size] = ids
-                self.index[word], self.starts[n + 1] = n, start + size
+        """Different words that are not in the store."""
+        found = [*map(self.remembered if self.old[0] is not self.index else self.tokenized, words)]
+        n, sizes = len(self.index), np.fromiter(map(len, found), np.int64, len(found))
+        ends = int(self.starts[n]) + np.cumsum(sizes)
+        while n + len(words) + 1 > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * len(self.starts))
+        while ends[-1] > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[int(self.starts[n]) : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.starts[n + 1 : n + 1 + len(words)] = ends
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for text in texts:
-            words = (text if b"<|" in text else text.lower()).split() if text else []
-            at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-            if len(new := np.flatnonzero(at < 0)):
-                if len(self.index) + len(new) > self.LIMIT and len(self.index) > self.LIMIT // 2:
-                    self.old = self.index, self.starts, self.flat
-                    self.clear()
-                    new = np.arange(len(words))
-                missed = [words[i] for i in new]
-                self.learn(missed)
-                at[new] = [self.index[w] for w in missed]
-            first = self.starts[at]
-            n = self.starts[at + 1] - first
-            ends = np.cumsum(n)
-            yield self.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        split = [(text if b"<|" in text else text.lower()).split() if text else [] for text in texts]
+        words = [*chain.from_iterable(split)]
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(at < 0)):
+            missed = {words[i] for i in new.tolist()}
+            if len(self.index) + len(missed) > self.LIMIT and len(self.index) > self.LIMIT // 2:
+                self.old = self.index, self.starts, self.flat
+                self.clear()
+                missed = set(words)
+            self.learn([*missed])
+            if len(missed) == len(self.index):
+                new = np.arange(len(words))
+            at[new] = np.fromiter(map(self.index.__getitem__, map(words.__getitem__, new.tolist())), np.int64, len(new))
+        first = self.starts[at]
+        n = self.starts[at + 1] - first
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.cumsum([len(w) for w in split])
+        ends = np.append(ends, 0)[last - 1]  # of each text, unless no word is before its end
+        ends[last == 0] = 0
+        yield from np.split(ids, ends[:-1])
+
+
+#: Texts whose words are looked up together: so many, and of so many bytes but for a longer last one.
+TOGETHER, TOGETHER_BYTES = 256, 1 << 21
+
+
+def together(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    lo = size = 0
+    for hi, text in enumerate(texts, start=1):
+        size += len(text or b"")
+        if hi - lo == TOGETHER or size >= TOGETHER_BYTES or hi == len(texts):
+            yield lo, hi
+            lo, size = hi, 0
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
@@ -145,8 +177,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         tokens = WordTokens.of(path)
         for b in small(batches):
             rows, texts, ids = [], as_bytes(b.column("text")), b.column("doc_id").to_pylist()
-            for lo in range(0, len(texts), 256):
-                for doc, own in zip(ids[lo : lo + 256], tokens.encode(texts[lo : lo + 256]), strict=True):
+            for lo, hi in together(texts):
+                for doc, own in zip(ids[lo:hi], tokens.encode(texts[lo:hi]), strict=True):
                     own = np.append(own, np.uint32(end_id)).astype("<u4")
                     for k, start in enumerate(range(0, len(own), capacity)):
                         piece = own[start : start + capacity]
