@@ -67,6 +67,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, as far as they were needed."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            n = 1 << n.bit_length()
+            steps = np.full(n, self.BASE, np.uint64), np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64)
+            for s in steps:
+                s[0] = 1
+            self.up, self.down = (np.multiply.accumulate(s) for s in steps)
+
+
 def powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """base ** n, ..., base ** 0, modulo 2 ** 64."""
     out = [1]

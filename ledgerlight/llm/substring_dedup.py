@@ -33,26 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import WordHash, as_bytes, mix, only_ids, small, stored, words
+from ledgerlight.llm.common import Powers, WordHash, as_bytes, mix, only_ids, small, stored, words
 
 WIDTH, EDGE = 50, 10
 POSITION_BITS = 28
-BASE = 0x9E3779B97F4A7C15
-
-
-class Powers:
-    """Powers of BASE and of its inverse modulo 2 ** 64, as far as a document needed them."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def reach(self, n: int) -> None:
-        if len(self.up) < n:
-            n = 1 << n.bit_length()
-            steps = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-            for s in steps:
-                s[0] = 1
-            self.up, self.down = (np.multiply.accumulate(s) for s in steps)
 
 
 @dataclass
