@@ -1,14 +1,19 @@
 """Language identification by nearest centroid.
 
-Features are byte n-grams (2, 3 and 4 bytes, ASCII lower-cased) of the whole
-text, hashed to DIMS cells; a cell weighs log(1 + tf) * idf and the vector has
-length 1. The document frequencies count all training rows. Each language gets
-CENTROIDS centroids by spherical k-means over at most about SAMPLE training
-rows, drawn by hash (the documented bound of the fit). A text takes the
-language of the centroid with the highest cosine, which is the score. It is
-rejected where its distance, 1 - cosine, is more than what the fit saw: its
-cosine is under REJECT times the lowest cosine of the language's sample, and
-under FLOOR.
+Features are byte n-grams (2, 3 and 4 bytes) of the whole text, of whose ASCII
+only letters count: they are lower-cased, and what lies between words becomes
+one blank. They are hashed to DIMS cells; a cell weighs log(1 + tf) * idf and
+the vector has length 1. The document frequencies count all training rows. Each
+language gets CENTROIDS centroids by spherical k-means over at most about SAMPLE
+training rows, drawn by hash (the documented bound of the fit). A text takes the
+language of the centroid with the highest cosine, which is the score.
+
+It is rejected where its distance, 1 - cosine, is more than clean texts of its
+language and length have: thresholds are a share of a low quantile of the
+sample's cosines by language and class of length (a doubling each). Classes with
+few sample rows take the quantile over all languages, else that of the next
+longer class, less what half the length takes away. Texts with fewer than LEAST
+bytes of letters and blanks are too short to be told apart and are kept.
 
 Defined cases: null text, or text without a letter, gets `und`, score 0 and is
 rejected; null languages teach nothing; if nothing can be learnt, all get `und`;
@@ -30,37 +35,59 @@ from pyspark.sql import types as T
 
 from ledgerlight.llm.common import as_bytes, small
 
-DIM_BITS = 11
+DIM_BITS = 14
 DIMS = 1 << DIM_BITS
 CENTROIDS, SAMPLE, ROUNDS = 3, 1000, 8
-#: A text is rejected under this share of the lowest cosine in its language's sample, and never at FLOOR or above:
-#: texts of a word or two lie far from every centroid, yet not that far.
-REJECT, FLOOR = 0.5, 0.1
+#: A threshold is this share of this quantile of the sample's cosines, if as many rows are there, and MOST at most.
+SHARE, QUANTILE, ENOUGH, MOST = 0.65, 0.005, 20, 0.25
+LEAST, SIZES = 16, 40
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 
+#: ASCII letters in lower case, blanks for other ASCII, and other bytes as they are.
+LETTERS = bytes(ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(128)) + bytes(range(128, 256))
+
+
+def letters(text: bytes) -> bytes:
+    return b" " + b" ".join(text.translate(LETTERS).split()) + b" "
+
+
 def term_counts(text: bytes) -> np.ndarray:
-    b = np.frombuffer(text.lower(), np.uint8).astype(np.uint32)
-    out, gram = np.zeros(DIMS, np.int64), b
+    b = np.frombuffer(text, np.uint8).astype(np.uint32)
+    cells, gram = [], b
     for n, m in enumerate(MULTIPLIERS, start=2):
         if len(b) < n:
             break
         gram = (gram[:-1] << np.uint32(8)) | b[n - 1 :]
-        out += np.bincount((gram * np.uint32(m)) >> np.uint32(32 - DIM_BITS), minlength=DIMS)
-    return out
+        cells.append((gram * np.uint32(m)) >> np.uint32(32 - DIM_BITS))
+    return np.bincount(np.concatenate(cells), minlength=DIMS) if cells else np.zeros(DIMS, np.int64)
 
 
-def vector(text: bytes, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(term_counts(text)) * idf
+def sparse(text: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and their weights, of a text of letters()."""
+    counts = term_counts(text)
+    cells = np.flatnonzero(counts)
+    v = np.log1p(counts[cells]) * idf[cells]
     norm = np.sqrt(v @ v)
-    return (v / norm if norm else v).astype(np.float32)
+    return cells, (v / norm if norm else v).astype(np.float32)
+
+
+def vector(text: bytes, idf: np.ndarray) -> np.ndarray:
+    out = np.zeros(DIMS, np.float32)
+    cells, v = sparse(text, idf)
+    out[cells] = v
+    return out
+
+
+def size_class(n: int) -> int:
+    return min(SIZES - 1, n.bit_length())
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Of bounded size: DIMS numbers, and CENTROIDS rows of DIMS numbers for each language."""
+    """Of bounded size: DIMS numbers, and for each language CENTROIDS rows of DIMS numbers and SIZES thresholds."""
 
     idf: np.ndarray
     languages: list[str]
@@ -71,10 +98,13 @@ class LanguageModel:
     def predict(self, text: bytes | None) -> tuple[str, float, bool]:
         if not text or not self.languages or not LETTER.search(text.decode("utf-8", "replace")):
             return UNKNOWN, 0.0, True
-        cosines = self.centroids @ vector(text, self.idf)
+        kept = letters(text)
+        cells, v = sparse(kept, self.idf)
+        cosines = v @ self.centroids[cells]
         best = int(cosines.argmax())
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.languages[self.owner[best]], score, bool(score < self.least[self.owner[best]])
+        owner = self.owner[best]
+        return self.languages[owner], score, len(kept) >= LEAST and score < float(self.least[owner, size_class(len(kept))])
 
 
 def cluster(v: np.ndarray) -> np.ndarray:
@@ -93,6 +123,27 @@ def cluster(v: np.ndarray) -> np.ndarray:
     return c
 
 
+def thresholds(languages: list[str], samples: list[tuple[str, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least cosine of each language and class of length; samples: language, classes and cosines of its rows."""
+    out = np.zeros((len(languages), SIZES))
+    every = np.concatenate([s[1] for s in samples]), np.concatenate([s[2] for s in samples])
+    for i, name in enumerate(languages):
+        own = [s for s in samples if s[0] == name]
+        own = np.concatenate([s[1] for s in own]), np.concatenate([s[2] for s in own])
+        for c in range(SIZES - 1, -1, -1):
+            for classes, cosines in (own, every):
+                near = cosines[np.abs(classes - c) <= (0 if classes is every[0] else 1)]
+                if len(near) >= ENOUGH:
+                    out[i, c] = min(MOST, SHARE * float(np.quantile(near, QUANTILE)))
+                    break
+            else:
+                out[i, c] = out[i, c + 1] / np.sqrt(2) if c + 1 < SIZES and out[i, c + 1] else 0.0
+        longest = np.flatnonzero(out[i])
+        if len(longest):  # beyond the sample's lengths cosines only grow
+            out[i, longest[-1] :] = out[i, longest[-1]]
+    return out
+
+
 def fit(docs: DataFrame, training: Column) -> LanguageModel:
     """docs: doc_id, text, lang and what the condition needs. Only counts, document frequencies and centroids reach the driver."""
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -102,7 +153,7 @@ def fit(docs: DataFrame, training: Column) -> LanguageModel:
         total, n, langs = np.zeros(DIMS, np.int64), 0, {}
         for b in small(batches):
             for text, lang in zip(as_bytes(b.column("text")), b.column("lang").to_pylist(), strict=True):
-                total += term_counts(text) > 0
+                total += term_counts(letters(text)) > 0
                 n += 1
                 langs[lang] = langs.get(lang, 0) + 1
         keys = [*(("cell", str(i), int(x)) for i, x in enumerate(total) if x), ("rows", "", n), *(("lang", k, x) for k, x in langs.items())]
@@ -119,34 +170,39 @@ def fit(docs: DataFrame, training: Column) -> LanguageModel:
             langs[r["key"]] = r["n"]
     idf = np.log((n + 1) / (df + 1)) + 1
     if not langs:
-        return LanguageModel(idf, [], np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
+        return LanguageModel(idf, [], np.zeros((DIMS, 0), np.float32), np.zeros(0, int), np.zeros((0, SIZES)))
     # a draw by hash of the id: the same rows on each run, however the table is dealt
     share = F.create_map(*[F.lit(x) for k, c in langs.items() for x in (k, min(1.0, SAMPLE / c))])
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), 1 << 30) < F.element_at(share, F.col("lang")) * (1 << 30))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            v = [vector(t, idf).astype(np.float16).tobytes() for t in as_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(v, pa.binary())], ["lang", "v"])
+            texts = [letters(t) for t in as_bytes(b.column("text"))]
+            v = [vector(t, idf).astype(np.float16).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([size_class(len(t)) for t in texts], pa.int32()), pa.array(v, pa.binary())], ["lang", "size", "v"])
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        v = np.array([np.frombuffer(x, np.float16) for x in group["v"].sort_values()]).astype(np.float32)
-        v = v[(v * v).sum(axis=1) > 0]
+        group = group.sort_values(["v", "size"])
+        v = np.array([np.frombuffer(x, np.float16) for x in group["v"]]).astype(np.float32)
+        full = (v * v).sum(axis=1) > 0
+        v, sizes = v[full], group["size"].to_numpy()[full]
         if not len(v):
-            return pd.DataFrame({"lang": [], "c": [], "least": []})
+            return pd.DataFrame({"lang": [], "c": [], "sizes": [], "cosines": []})
         c = cluster(v)
-        least = min(FLOOR, float((v @ c.T).max(axis=1).min()) * REJECT)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "c": [x.astype(np.float32).tobytes() for x in c], "least": least})
-
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("c", T.BinaryType()), T.StructField("least", T.DoubleType())])
-    found = sorted(drawn.mapInArrow(vectors, "lang string, v binary").groupBy("lang").applyInPandas(centroids, schema).collect())
-    languages = sorted({r["lang"] for r in found})
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "c": [c.astype(np.float32).tobytes()], "sizes": [sizes.tolist()], "cosines": [(v @ c.T).max(axis=1).astype(float).tolist()]})
+
+    schema = "lang string, c binary, sizes array<int>, cosines array<double>"
+    found = sorted(drawn.mapInArrow(vectors, "lang string, size int, v binary").groupBy("lang").applyInPandas(centroids, schema).collect(), key=lambda r: r["lang"])
+    if not found:
+        return LanguageModel(idf, [], np.zeros((DIMS, 0), np.float32), np.zeros(0, int), np.zeros((0, SIZES)))
+    rows = [np.frombuffer(r["c"], np.float32).reshape(-1, DIMS) for r in found]
+    languages = [r["lang"] for r in found]
     return LanguageModel(
         idf,
         languages,
-        np.array([np.frombuffer(r["c"], np.float32) for r in found]).reshape(-1, DIMS),
-        np.array([languages.index(r["lang"]) for r in found], int),
-        np.array([next(r["least"] for r in found if r["lang"] == x) for x in languages]),
+        np.ascontiguousarray(np.concatenate(rows).T),
+        np.repeat(np.arange(len(found)), [len(x) for x in rows]),
+        thresholds(languages, [(r["lang"], np.array(r["sizes"]), np.array(r["cosines"])) for r in found]),
     )
 
 

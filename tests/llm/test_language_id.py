@@ -1,5 +1,9 @@
+import random
+import string
 import zlib
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import language_id as L
@@ -33,3 +37,51 @@ def test_defined_cases(spark):
     assert L.predict(docs.limit(0), model).count() == 0
     far = spark.createDataFrame([(1, "жёлтый дом стоит на горе " * 3)], "doc_id long, text string")
     assert L.predict(far, model).first()["rejected"]
+
+
+def test_ties_go_to_the_first_language():
+    c = np.zeros((L.DIMS, 2), np.float32)
+    c[:] = 1 / np.sqrt(L.DIMS)
+    model = L.LanguageModel(np.ones(L.DIMS), ["aa", "bb"], c, np.array([0, 1]), np.zeros((2, L.SIZES)))
+    assert model.predict(b"any text")[0] == "aa"
+
+
+def test_thresholds_by_length():
+    rng = np.random.default_rng(1)
+    sizes = np.repeat(np.arange(6, 14), 100)
+    cosines = 0.02 * sizes + 0.02 + 0.02 * rng.random(len(sizes))
+    t = L.thresholds(["x", "y"], [("x", sizes, cosines), ("y", sizes[:5], cosines[:5])])
+    assert (np.diff(t[0, 6:14]) >= 0).all() and (t[0] <= L.MOST).all() and t[0, 39] == t[0, 14] and t[0, 4] < t[0, 6]
+    assert t[1, 10] == L.SHARE * np.quantile(cosines[sizes == 10], L.QUANTILE)
+
+
+def test_foreign_and_junk_texts_are_rejected_and_clean_ones_kept(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = L.fit(docs, ~held)
+    rng = random.Random(7)
+    russian = "вчера вечером мы долго гуляли по старому городу и говорили о книгах которые читали в детстве потом пошёл дождь и мы вернулись домой "
+    chinese = "昨天晚上我们在老城区散步谈论小时候读过的书后来下雨了我们就回家了今天早上天气很好我去公园跑步看见很多人在打太极拳"
+    finnish = "eilen illalla kävelimme pitkään vanhassa kaupungissa ja puhuimme kirjoista joita luimme lapsina sitten alkoi sataa ja palasimme kotiin "
+    junk = []
+    for n in (60, 200, 1000, 5000):
+        junk += [(russian * 90)[:n], (chinese * 200)[: n // 2], "".join(rng.choice(string.ascii_lowercase + "  ") for _ in range(n)), "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))]
+        if n > 60:
+            junk.append((finnish * 90)[:n])
+    found = [model.predict(x.encode()) for x in junk]
+    assert all(r[2] for r in found), [(len(x), x[:20], r) for x, r in zip(junk, found, strict=True) if not r[2]]
+    clean = [r for r in docs.where(held).collect() if r["text"]]
+    kept = [model.predict(r["text"].encode()) for r in clean]
+    print("rejected", sum(r[2] for r in kept), "of", len(kept), "right", sum(k[0] == r["lang"] for k, r in zip(kept, clean, strict=True)))
+    assert sum(r[2] for r in kept) <= 0.005 * len(kept)
+    for short in ("The cat is here.", "Das ist nicht gut.", "Et de la.", "A."):
+        assert not model.predict(short.encode())[2] or len(L.letters(short.encode())) >= L.LEAST
+
+
+def test_very_long_text(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = L.fit(docs, F.lit(True))
+    text = next(r["text"] for r in docs.collect() if r["lang"] == "de" and r["text"] and r["n_chars"] > 300)
+    assert model.predict((text + " ").encode() * 3000)[:1] == ("de",)
