@@ -2,19 +2,20 @@
 
 Rows are dealt by a hash of their id to shards of about SHARD rows. In a shard
 each of TREES trees has a sorted array of BITS-bit strings, the signs of random
-projections. A query descends every tree to its longest matching prefix by
-binary search. Then all trees ascend together, one bit at a time, until the
-ranges of rows that share the prefix hold FILL times the shard's rows and LEAST
-more, counted with repeats. The union of the ranges is scored exactly.
+projections: each tree takes BITS of PLANES planes in an order of its own. A
+query descends every tree to its longest matching prefix by binary search. Then
+all trees ascend together from the longest of these, one bit at a time, until
+the ranges of rows that share the prefix hold FILL times the shard's rows and
+LEAST more, counted with repeats. The union of the ranges is scored exactly.
 
 All rows are indexed and nothing is sampled. Equal vectors of a shard are one
 entry that keeps its k + 1 smallest ids, all that any query can need of them,
-so a vector with very many copies fills no range. Queries come in blocks; a
-block and a shard meet in one task of bounded size, and the shards' results of
-a query are merged.
+so a vector with very many copies fills no range. A shard's forest is built
+once for up to BLOCK queries, which meet it in one task of bounded size; the
+shards' results of a query are merged.
 
-Recall on the embeddings tables is about 0.98 (README). These are nearly
-uniform on a sphere, which is why so large a part of each shard is scored.
+Recall and the share of a shard that is scored are in README: the embeddings
+are nearly uniform on a sphere, so close rows share few bits more than others.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part; shorter vectors count as filled up with zeros; with
@@ -34,38 +35,67 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.common import stored
 from ledgerlight.llm.vectors import finite_vectors, matrix
 
-TREES, BITS, FILL, LEAST = 192, 16, 0.8, 512
-SHARD, BLOCK = 4096, 1024
+TREES, BITS, PLANES, FILL, LEAST = 256, 64, 1024, 0.6, 512
+SHARD, BLOCK = 16_384, 32_768
+TOGETHER = 1024  # queries that walk the trees at the same time
 SEED = 20240229
+ALL_ONES = np.uint64((1 << 64) - 1)
+
+
+def agreeing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of two strings."""
+    differ = a ^ b
+    half = (differ >> np.uint64(32)).astype(np.float64)
+    top = np.where(half > 0, 32 + np.frexp(half)[1], np.frexp((differ & np.uint64(0xFFFFFFFF)).astype(np.float64))[1])
+    return BITS - top
 
 
 class Forest:
     def __init__(self, x: np.ndarray) -> None:
         rng = np.random.default_rng(SEED)
-        self.x, self.planes = x, rng.standard_normal((TREES, x.shape[1], BITS))
-        self.strings = [self.hashed(x, t) for t in range(TREES)]
-        self.order = [np.argsort(s, kind="stable") for s in self.strings]
-        self.sorted = [s[o] for s, o in zip(self.strings, self.order, strict=True)]
-
-    def hashed(self, x: np.ndarray, tree: int) -> np.ndarray:
-        return ((x @ self.planes[tree]) > 0) @ (np.int64(1) << np.arange(BITS, dtype=np.int64)[::-1])
+        self.x, self.planes = x, rng.standard_normal((x.shape[1], PLANES))
+        self.chosen = [rng.choice(PLANES, BITS, replace=False) for _ in range(TREES)]
+        signs = x @ self.planes > 0
+        self.order, self.sorted = [], []
+        for t in range(TREES):
+            strings = self.strings(signs, t)
+            self.order.append(np.argsort(strings, kind="stable"))
+            self.sorted.append(strings[self.order[-1]])
+
+    def strings(self, signs: np.ndarray, tree: int) -> np.ndarray:
+        return np.ascontiguousarray(np.packbits(signs[:, self.chosen[tree]], axis=1)).view(">u8").ravel().astype(np.uint64)
+
+    def longest(self, strings: list[np.ndarray]) -> np.ndarray:
+        """For each query the longest prefix that it shares with an entry of any tree."""
+        out = np.zeros(len(strings[0]), np.int64)
+        for t, own in enumerate(strings):
+            at = np.searchsorted(self.sorted[t], own)
+            for side in (at - 1, at):
+                inside = (side >= 0) & (side < len(self.sorted[t]))
+                out = np.maximum(out, np.where(inside, agreeing_bits(own, self.sorted[t][np.clip(side, 0, len(self.sorted[t]) - 1)]), 0))
+        return out
 
     def candidates(self, queries: np.ndarray, fill: float = FILL):
         """For each query the entries in the union of its ranges."""
-        need = fill * len(self.x) + LEAST
-        strings = [self.hashed(queries, t) for t in range(TREES)]
+        for first in range(0, len(queries), TOGETHER):
+            yield from self.some(queries[first : first + TOGETHER], fill * len(self.x) + LEAST)
+
+    def some(self, queries: np.ndarray, need: float):
+        signs = queries @ self.planes > 0
+        strings = [self.strings(signs, t) for t in range(TREES)]
         lo, hi = np.zeros((2, TREES, len(queries)), np.int64)
-        done = np.zeros(len(queries), bool)
-        for level in range(BITS, -1, -1):  # all trees ascend together
-            left = np.flatnonzero(~done)
+        reach, done = self.longest(strings), np.zeros(len(queries), bool)
+        for level in range(int(reach.max(initial=0)), -1, -1):  # all trees ascend together
+            left = np.flatnonzero(~done & (reach >= level))
             if not len(left):
-                break
-            shift, had = BITS - level, (hi[:, left] - lo[:, left]).sum(axis=0)
+                continue
+            had = (hi[:, left] - lo[:, left]).sum(axis=0)
+            rest = ALL_ONES >> np.uint64(level) if level < BITS else np.uint64(0)
             for t in range(TREES):
-                prefix = strings[t][left] >> shift
+                start = strings[t][left] & ~rest
                 more = had < need  # a query that has enough stops, if need be between two trees
-                a = np.searchsorted(self.sorted[t], prefix << shift)
-                b = np.searchsorted(self.sorted[t], (prefix + 1) << shift)
+                a = np.searchsorted(self.sorted[t], start)
+                b = np.searchsorted(self.sorted[t], start | rest, side="right")
                 had += np.where(more, (b - a) - (hi[t, left] - lo[t, left]), 0)
                 lo[t, left], hi[t, left] = np.where(more, a, lo[t, left]), np.where(more, b, hi[t, left])
             done[left] = had >= need

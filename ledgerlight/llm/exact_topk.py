@@ -1,16 +1,20 @@
 """Exact top-k by inner product: a Voronoi kNN join.
 
 Vectors become integers, floor(SCALE * x). Pivots, a bounded number of rows,
-split queries and data into cells. The summary of a cell (rows, and the largest
-distance to its pivot, of queries and of data) gives for each cell of queries
-the least score that its k-th best answer can have:
+split queries and data into cells. A cell's summary holds the k + 1 smallest
+distances of its rows to its pivot. For a query q and a row x at the distance d
+from its pivot s,
 
-    q.x >= p.s - |p| r - R |s| - R r      (q within R of pivot p, x within r of pivot s)
+    q.s - |q| d  <=  q.x  <=  q.s + |q| d
 
-where enough rows are in the cells of the highest such bounds. A data row goes
-to a cell of queries only if p.x + R |x|, the most it can score there, reaches
-that. Cells are solved in groups of at most about BLOCK queries and CHUNK rows,
-and the groups' results of a query are merged.
+so the k + 1 highest left sides of all summaries give each query a least score
+that its k-th best answer has (one of the rows may be the query itself). Queries
+of neighbouring cells form groups of at most about BLOCK. A group's bound for a
+cell is the smallest d with which a row of the cell can still reach the least
+score of any of the group's queries; a row goes to the groups whose bound its d
+reaches, and to no other. Groups meet their rows in chunks of about CHUNK; there
+each tile of rows, near one another by cell, is scored against those queries
+alone that it can serve. The results of a query are merged.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part; shorter vectors count as filled up with zeros; scores are exact below
@@ -39,8 +43,10 @@ from ledgerlight.llm.vectors import SCHEMA, finite_vectors, matrix
 FOUND = "query_id long, vec_id long, score long, times long"
 
 SCALE = 64
-BLOCK, CHUNK = 1024, 2048
-LEAST_PIVOTS, MOST_PIVOTS = 4, 256
+BLOCK, CHUNK, TILE = 4096, 16_384, 512
+#: Tiles after which a group's least scores rise to what was found.
+RISE = 4
+LEAST_PIVOTS, MOST_PIVOTS, CELL = 16, 256, 256
 
 
 def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,21 +81,31 @@ def in_cells(pivots: np.ndarray):
     return run
 
 
-def least_scores(pivots: np.ndarray, query_far: np.ndarray, data_far: np.ndarray, data_rows: np.ndarray, k: int) -> np.ndarray:
-    """For each cell of queries a bound that the k-th best score of each of its queries reaches; data_rows: no id counts twice."""
-    size = np.sqrt((pivots * pivots).sum(axis=1))
-    bound = pivots @ pivots.T - size[:, None] * data_far - query_far[:, None] * size - query_far[:, None] * data_far
-    out = np.full(len(pivots), -np.inf)
-    for i in range(len(pivots)):
-        order = np.argsort(-bound[i])
-        enough = np.cumsum(data_rows[order]) >= k + 1  # one of them may be the query itself
-        if enough.any():
-            out[i] = bound[i, order[enough.argmax()]]
-    return out
+def least_scores(queries: np.ndarray, pivots: np.ndarray, nearest: np.ndarray, k: int) -> np.ndarray:
+    """A score that the k-th best answer of each query reaches; nearest: pivots x (k + 1) distances, inf where there are fewer rows."""
+    size = np.sqrt((queries * queries).sum(axis=1))
+    every = nearest[np.isfinite(nearest)]
+    if len(every) <= k:
+        return np.full(len(queries), -np.inf)
+    cells = np.nonzero(np.isfinite(nearest))[0]
+    out = np.empty(len(queries))
+    for lo in range(0, len(queries), 256):
+        part = slice(lo, lo + 256)
+        bound = (queries[part] @ pivots.T)[:, cells] - size[part, None] * every
+        out[part] = -np.partition(-bound, k, axis=1)[:, k]
+    return out - 1e-6 * (1 + np.abs(out))
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, query_times: np.ndarray, x: np.ndarray, ids: np.ndarray, times: np.ndarray, k: int) -> pd.DataFrame:
-    """The k highest scores of each query; ids ascend."""
+def least_distances(queries: np.ndarray, least: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """queries x pivots: rows of the cell that are nearer to its pivot can't reach the query's least score."""
+    size = np.sqrt((queries * queries).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = (least[:, None] - queries @ pivots.T) / size[:, None]
+    return np.where(size[:, None] > 0, d, -np.inf)
+
+
+def best_of(queries: np.ndarray, query_ids: np.ndarray, query_times: np.ndarray, x: np.ndarray, ids: np.ndarray, times: np.ndarray, k: int, of: np.ndarray) -> pd.DataFrame:
+    """The k highest scores of each query; ids ascend; of: the queries' numbers."""
     scores = queries @ x.T
     n = len(ids)
     scores[query_ids[:, None] == ids] = -np.inf
@@ -101,16 +117,44 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, query_times: np.ndarray,
     got = np.take_along_axis(scores, best, axis=1)
     keep = np.isfinite(got)
     each = keep.sum(axis=1)
-    return pd.DataFrame({"query_id": np.repeat(query_ids, each), "vec_id": ids[best][keep], "score": got[keep].astype(np.int64), "times": np.repeat(query_times, each) * times[best][keep]})
+    return pd.DataFrame({"of": np.repeat(of, each), "query_id": np.repeat(query_ids, each), "vec_id": ids[best][keep], "score": got[keep].astype(np.int64), "times": np.repeat(query_times, each) * times[best][keep]})
 
 
-def solve(group: pd.DataFrame, k: int) -> pd.DataFrame:
-    q, rows = group[group["is_query"]], group[~group["is_query"]].sort_values("vec_id")
+def solve(group: pd.DataFrame, k: int, pivots: np.ndarray) -> tuple[pd.DataFrame, int]:
+    """The k best answers of a group's queries among a chunk of rows, and how many scores were computed."""
+    q, rows = group[group["is_query"]], group[~group["is_query"]].sort_values(["cell", "far"])
+    empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score", "times")})
     if not len(q) or not len(rows):
-        return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score", "times")})
+        return empty, 0
     width = max(len(v) for v in group["v"]) // 8
-    ids, times = (lambda t: t["vec_id"].to_numpy()), (lambda t: t["times"].to_numpy())
-    return best_of(matrix(q["v"], width=width), ids(q), times(q), matrix(rows["v"], width=width), ids(rows), times(rows), k)
+    queries, data, p = matrix(q["v"], width=width), matrix(rows["v"], width=width), filled(pivots, width)
+    ids, times, least = q["vec_id"].to_numpy(), q["times"].to_numpy(), q["least"].to_numpy(copy=True)
+    cells, far, own, own_times = (rows[c].to_numpy() for c in ("cell", "far", "vec_id", "times"))
+    need, found, scored = least_distances(queries, least, p), [], 0
+
+    def best_so_far() -> pd.DataFrame:
+        all_ = pd.concat(found).sort_values(["of", "score", "vec_id"], ascending=[True, False, True])
+        return all_[all_.groupby("of").cumcount() < k]
+
+    for number, lo in enumerate(range(0, len(rows), TILE)):
+        if found and number % RISE == 0:
+            found = [best_so_far()]
+            have = found[0].groupby("of")["score"].agg(["size", "min"])
+            full = have.index[have["size"] == k]
+            least[full] = np.maximum(least[full], have.loc[full, "min"] - 0.5)  # scores are whole numbers
+            need[full] = least_distances(queries[full], least[full], p)
+        part = slice(lo, lo + TILE)
+        inside, at = np.unique(cells[part], return_inverse=True)
+        reach = np.zeros(len(inside))
+        np.maximum.at(reach, at, far[part])
+        wanted = np.flatnonzero((reach >= need[:, inside]).any(axis=1))
+        if len(wanted):
+            order = np.argsort(own[part], kind="stable") + lo
+            scored += len(wanted) * len(order)
+            found.append(best_of(queries[wanted], ids[wanted], times[wanted], data[order], own[order], own_times[order], k, wanted))
+    if not found:
+        return empty, scored
+    return best_so_far().drop(columns="of"), scored
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -120,39 +164,94 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     rows = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
     once = F.row_number().over(W.partitionBy("vec_id").orderBy("v")) == 1
     rows = stored(rows.withColumns({"once": once, "is_query": is_query}), "integers")
-    total, asked = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
-    pivots = chosen_pivots(rows, min(MOST_PIVOTS, max(LEAST_PIVOTS, -(-asked // BLOCK))))
+    total = rows.count()
+    pivots = chosen_pivots(rows, min(MOST_PIVOTS, max(LEAST_PIVOTS, total // CELL)))
     cells = rows.mapInArrow(in_cells(pivots), SCHEMA + ", times long, once boolean, is_query boolean, cell int, far double, size double")
     cells = stored(cells, "cells")
     n = len(pivots)
-    query_far, data_far, data_rows, query_rows = np.zeros((4, n))
-    for r in cells.groupBy("cell").agg(F.count_if("once").alias("n"), F.count_if("is_query").alias("q"), F.max("far").alias("far"), F.max(F.when(F.col("is_query"), F.col("far"))).alias("query_far")).collect():
-        data_rows[r["cell"]], query_rows[r["cell"]], data_far[r["cell"]], query_far[r["cell"]] = r["n"], r["q"], r["far"], r["query_far"] or 0
-    least = least_scores(pivots, query_far, data_far, data_rows, k) if n else np.zeros(0)
-    blocks = -(-query_rows.astype(np.int64) // BLOCK)
-    shared = spark.sparkContext.broadcast((pivots, query_far, least, blocks))
+    nearest, asked = np.full((n, k + 1), np.inf), np.zeros(n, np.int64)
+    first = F.row_number().over(W.partitionBy("cell").orderBy("far", "vec_id"))
+    for r in cells.where("once").select("cell", "far", first.alias("at")).where(F.col("at") <= k + 1).collect():
+        nearest[r["cell"], r["at"] - 1] = r["far"]
+    for r in cells.where("is_query").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        asked[r["cell"]] = r["n"]
+    if not asked.any():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    group_of, split = query_groups(pivots, asked)
+    shared = spark.sparkContext.broadcast((pivots, nearest, group_of, split))
 
-    def goes_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row with the cells of queries that may need it."""
-        pivots, far, least, blocks = shared.value
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with their group and their least score."""
+        pivots, nearest, group_of, split = shared.value
+        for b in batches:
+            x = matrix(b.column("v").to_pylist(), width=pivots.shape[1])
+            cell = b.column("cell").to_numpy()
+            to = group_of[cell] + b.column("hash").to_numpy() % split[cell]
+            least = least_scores(x, filled(pivots, x.shape[1]), nearest, k) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "v", "times", "cell")), pa.array(to.astype(np.int32)), pa.array(least)], ["vec_id", "v", "times", "cell", "to", "least"])
+
+    queries = cells.where("is_query").select("vec_id", "v", "times", "cell", F.pmod(F.xxhash64(F.lit(2), "vec_id"), 1 << 30).alias("hash"))
+    queries = stored(queries.mapInArrow(placed, SCHEMA + ", times long, cell int, to int, least double"), "queries")
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each group that a task has queries of, the least distances by cell."""
+        pivots, found = shared.value[0], {}
         for b in batches:
             x = matrix(b.column("v").to_pylist(), width=pivots.shape[1])
-            most = x @ filled(pivots, x.shape[1]).T + b.column("size").to_numpy()[:, None] * far
-            needed = (most >= least - 1e-6 * (1 + np.abs(least, where=np.isfinite(least), out=np.zeros_like(least)))) & (blocks > 0)
-            to = [[f"{c}/{j}" for c in np.flatnonzero(r) for j in range(blocks[c])] for r in needed]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("times"), pa.array(to, pa.list_(pa.string()))], ["vec_id", "v", "times", "to"])
+            need, to = least_distances(x, b.column("least").to_numpy(), filled(pivots, x.shape[1])), b.column("to").to_numpy()
+            for g in np.unique(to).tolist():
+                low = need[to == g].min(axis=0)
+                found[g] = np.minimum(found[g], low) if g in found else low
+        lists = [x.tolist() for x in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(lists, pa.list_(pa.float64()))], ["to", "need"])
+
+    # one row for each group and cell: BLOCK queries have at most MOST_PIVOTS of them
+    each = queries.mapInArrow(bounds, "to int, need array<double>").select("to", F.posexplode("need").alias("cell", "need"))
+    table_ = each.groupBy("to", "cell").agg(F.min("need").alias("need")).toPandas()
+    groups = np.unique(table_["to"].to_numpy())
+    need = np.full((len(groups), n), np.inf)
+    need[np.searchsorted(groups, table_["to"].to_numpy()), table_["cell"].to_numpy()] = table_["need"].to_numpy()
+    routes = spark.sparkContext.broadcast((groups, need))
+
+    def goes_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with the groups of queries that may need it."""
+        groups, need = routes.value
+        for b in batches:
+            wanted = b.column("far").to_numpy()[:, None] >= need[:, b.column("cell").to_numpy()].T
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([groups[w].tolist() for w in wanted], pa.list_(pa.int32()))], [*b.schema.names, "to"])
 
     chunks = max(1, -(-total // CHUNK))
-    number = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), n)
-    data = cells.select("vec_id", "v", "times", "size").mapInArrow(goes_to, SCHEMA + ", times long, to array<string>")
-    data = data.select("vec_id", "v", "times", F.lit(False).alias("is_query"), F.explode("to").alias("to"), number(F.lit(chunks), 1).cast("int").alias("chunk"))
-    split = F.element_at(F.array(*[F.lit(int(max(1, x))) for x in blocks]) if n else F.array(F.lit(1)), F.col("cell") + 1)
-    queries = cells.where("is_query").select(
-        "vec_id", "v", "times", "is_query", F.concat_ws("/", "cell", number(split, 2)).alias("to"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
-    )
-    found = data.unionByName(queries).groupBy("to", "chunk").applyInPandas(lambda g: solve(g, k), FOUND)
+    data = cells.select("vec_id", "v", "times", "cell", "far").mapInArrow(goes_to, SCHEMA + ", times long, cell int, far double, to array<int>")
+    data = data.select("vec_id", "v", "times", "cell", "far", F.lit(0.0).alias("least"), F.lit(False).alias("is_query"), F.explode("to").alias("to"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), chunks).cast("int").alias("chunk"))
+    asking = queries.select("vec_id", "v", "times", "cell", F.lit(0.0).alias("far"), "least", F.lit(True).alias("is_query"), "to", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    found = data.unionByName(asking).groupBy("to", "chunk").applyInPandas(lambda g: solve(g, k, shared.value[0])[0], FOUND)
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)  # entries; each has a row at least
     each = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))))
     merged = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def query_groups(pivots: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first group of each cell, and over how many groups its queries are dealt.
+
+    Cells follow one another from each to the nearest one left; a group takes cells until it has BLOCK queries.
+    """
+    left, at, order = set(range(len(pivots))), 0, []
+    while left:
+        order.append(at)
+        left.discard(at)
+        if left:
+            rest = np.fromiter(left, np.int64)
+            at = int(rest[((pivots[rest] - pivots[at]) ** 2).sum(axis=1).argmin()])
+    first, split, group, size = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64), 0, 0
+    for c in order:
+        if size and size + asked[c] > BLOCK:
+            group, size = group + 1, 0
+        first[c] = group
+        if asked[c] > BLOCK:
+            split[c] = -(-asked[c] // BLOCK)
+            group, size = group + int(split[c]), 0
+        else:
+            size += int(asked[c])
+    return first, split

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,18 +89,68 @@ def test_defined_cases(spark):
         assert f(df.where("vec_id % 20 <> 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_bounds_prune_but_lose_nothing():
+def clustered(n, centres, width, spread):
     rng = np.random.default_rng(1)
-    centres = rng.standard_normal((6, 5)) * 100
-    x = np.floor(np.concatenate([c + rng.standard_normal((50, 5)) for c in centres]))
-    cell = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
-    far = np.array([np.sqrt(((x[cell == c] - centres[c]) ** 2).sum(axis=1)).max() for c in range(6)])
-    least = exact_topk.least_scores(centres, far, far, np.bincount(cell, minlength=6), 10)
-    scores = x @ x.T
-    for i in range(len(x)):
-        assert np.sort(np.delete(scores[i], i))[-10] >= least[cell[i]]
-    most = x @ centres.T + np.sqrt((x * x).sum(axis=1))[:, None] * far
-    assert (most < least).any()
+    c = rng.standard_normal((centres, width))
+    c *= 640 / np.sqrt((c * c).sum(axis=1))[:, None]
+    return np.floor(c[rng.integers(0, centres, n)] + rng.standard_normal((n, width)) * spread)
+
+
+def test_bounds_prune_but_lose_nothing():
+    """Least scores are reached by k answers; rows nearer to their pivot than the least distance reach no least score."""
+    for x in (clustered(400, 8, 12, 2.0), clustered(400, 1, 12, 60.0)):
+        pivots, k = x[:16], 10
+        d = np.sqrt(((x[:, None] - pivots) ** 2).sum(axis=2))
+        cell, far = d.argmin(axis=1), d.min(axis=1)
+        nearest = np.full((16, k + 1), np.inf)
+        for c in range(16):
+            own = np.sort(far[cell == c])[: k + 1]
+            nearest[c, : len(own)] = own
+        least = exact_topk.least_scores(x, pivots, nearest, k)
+        scores = x @ x.T
+        for i in range(len(x)):
+            assert np.sort(np.delete(scores[i], i))[-k] >= least[i]
+        need = exact_topk.least_distances(x, least, pivots)
+        assert not ((scores >= least[:, None]) & (far[None, :] < need[:, cell])).any()
+
+
+def share_scored(x, queries):
+    """Of the pairs of queries and rows, how many a group of all queries scores."""
+    pivots, k = x[np.random.default_rng(2).choice(len(x), 64, replace=False)], 20
+    d = np.sqrt(((x[:, None] - pivots) ** 2).sum(axis=2))
+    cell, far = d.argmin(axis=1), d.min(axis=1)
+    nearest = np.full((64, k + 1), np.inf)
+    for c in range(64):
+        own = np.sort(far[cell == c])[: k + 1]
+        nearest[c, : len(own)] = own
+    least = exact_topk.least_scores(x[queries], pivots, nearest, k)
+    rows = [(int(i), x[i].tobytes(), 1, int(cell[i]), far[i], 0.0, False) for i in range(len(x))]
+    rows += [(int(i), x[i].tobytes(), 1, int(cell[i]), 0.0, s, True) for i, s in zip(queries, least, strict=True)]
+    group = pd.DataFrame(rows, columns=["vec_id", "v", "times", "cell", "far", "least", "is_query"])
+    found, scored = exact_topk.solve(group, k, pivots)
+    want = exact(x, np.arange(len(x)), queries.tolist(), lambda a, q: -(a @ q), k)
+    got = {q: [(int(v), -float(s)) for v, s in zip(g["vec_id"], g["score"], strict=True)] for q, g in found.groupby("query_id")}
+    assert got == {q: [(i, float(s)) for i, s in r] for q, r in want.items()}
+    return scored / len(x) / len(queries)
+
+
+def test_clustered_vectors_are_pruned():
+    share = share_scored(clustered(16_000, 40, 16, 4.0), np.arange(0, 16_000, 40))
+    print("clustered", share)
+    assert share < 0.3
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 64))
+    print("uniform", share_scored(np.floor(64 * x / np.sqrt((x * x).sum(axis=1))[:, None]), np.arange(0, 4000, 40)))
+
+
+def test_large_cells_of_queries_are_dealt_to_several_groups(monkeypatch):
+    monkeypatch.setattr(exact_topk, "BLOCK", 10)
+    first, split = exact_topk.query_groups(np.arange(10.0).reshape(5, 2), np.array([4, 25, 3, 0, 9]))
+    taken = {}
+    for c, n in enumerate((4, 25, 3, 0, 9)):
+        for j in range(split[c]):
+            taken[first[c] + j] = taken.get(first[c] + j, 0) + n / split[c]
+    assert all(n <= 10 for n in taken.values()) and split[1] == 3
 
 
 def test_repeated_rows_take_ranks_of_their_own(spark):
