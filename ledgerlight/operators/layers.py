@@ -9,12 +9,7 @@ from ledgerlight.functions.expressions import require, try_number
 from ledgerlight.sources.fixtures import BASE_CAC, mapped
 
 LINEAGE = ("_source_file", "_ingestion_ts", "_row_seq")
-SUMMARY_NAMES = {
-    "Customer ID": "customer_id", "Gender": "gender", "Age": "age", "City": "city", "Membership Type": "membership_type",
-    "Total Spend": "total_spend", "Items Purchased": "items_purchased", "Average Rating": "average_rating",
-    "Discount Applied": "discount_applied", "Days Since Last Purchase": "days_since_last_purchase",
-    "Satisfaction Level": "satisfaction_level", "Channel": "channel", "Signup Date": "signup_date",
-}
+#: Segments of membership types.
 TIERS = {"Bronze": "SMB", "Silver": "Mid-Market", "Gold": "Enterprise"}
 
 
@@ -25,7 +20,7 @@ def bronze(raw: DataFrame, source_file: Column | str, batch_ts: Column) -> DataF
 
 def customers_from_summary(summary: DataFrame) -> DataFrame:
     """Customers with segment and days since the last purchase (30 where unknown, 1 at least)."""
-    df = summary.withColumnsRenamed({k: v for k, v in SUMMARY_NAMES.items() if k in summary.columns})
+    df = summary.withColumnsRenamed({c: c.lower().replace(" ", "_") for c in summary.columns})
     return df.withColumns({
         "segment": mapped(F.col("membership_type"), TIERS, "SMB"),
         "recency_days": F.greatest(F.coalesce(F.col("days_since_last_purchase"), F.lit(30)).cast("int"), F.lit(1)),
@@ -48,7 +43,7 @@ def silver_customers_all(customers: DataFrame) -> DataFrame:
     """Before rows with missing values go: orders are checked against these."""
     require(customers, {"customer_id", "signup_date", "channel", "segment"}, "bronze customers")
     c = first_of_each(customers, "customer_id")
-    return c.withColumns({"customer_id": try_number(F.col("customer_id"), "long"), "signup_date": F.col("signup_date").cast("date")})
+    return c.withColumns({"customer_id": try_number(F.col("customer_id"), "long"), "signup_date": try_number(F.col("signup_date"), "date")})
 
 
 def silver_customers(customers: DataFrame) -> DataFrame:
@@ -76,3 +71,9 @@ def silver_marketing(marketing: DataFrame) -> DataFrame:
 def rejected_ids(table: DataFrame, key: str) -> DataFrame:
     """Rows whose id is no number: they are kept apart, not dropped in silence."""
     return table.where(try_number(F.col(key), "long").isNull())
+
+
+def rejects(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """table_name, key, row: the bronze rows of both tables whose customer id is no number, the row as JSON."""
+    parts = [rejected_ids(df, "customer_id").select(F.lit(n).alias("table_name"), F.col("customer_id").alias("key"), F.to_json(F.struct(*df.columns)).alias("row")) for n, df in (("customers", customers), ("orders", orders))]
+    return parts[0].unionByName(parts[1])

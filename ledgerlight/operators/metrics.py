@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.expressions import GROSS_MARGIN, clamp, lifetime_value, months_between_months, retention_months, year_month
+from ledgerlight.functions.storage import beside, stored
 from ledgerlight.operators.ranking import quartiles
 
 
@@ -19,7 +20,7 @@ def ltv(scored: DataFrame, margin: float = GROSS_MARGIN) -> DataFrame:
 
 def cac_by_channel(marketing: DataFrame, customers: DataFrame) -> DataFrame:
     n = customers.where("channel is not null").groupBy("channel").agg(F.count("customer_id").alias("customers_acquired"))
-    m = marketing.select("channel", "marketing_spend").join(n, "channel", "left").na.fill(1, ["customers_acquired"])
+    m = marketing.select("channel", "marketing_spend").join(beside(n), "channel", "left").na.fill(1, ["customers_acquired"])
     return m.withColumn("cac", F.col("marketing_spend") / F.greatest("customers_acquired", F.lit(1)))
 
 
@@ -32,6 +33,7 @@ def rfm_segments(orders: DataFrame, customers: DataFrame) -> DataFrame:
         "customer_id", "channel", F.coalesce(F.datediff("ref", "last"), F.lit(0)).alias("recency"), F.coalesce("frequency", F.lit(0)).alias("frequency"),
         F.coalesce(F.col("monetary"), F.lit(0).cast("decimal(22,2)")).alias("monetary"),
     )
+    c = stored(c, "rfm")
     for column, score in (("recency", "r_score"), ("frequency", "f_score"), ("monetary", "m_score")):
         c = quartiles(c, column, "customer_id", score)
     c = c.withColumn("r_score", 5 - F.col("r_score"))
@@ -47,7 +49,7 @@ def cohort_retention(orders: DataFrame, customers: DataFrame) -> DataFrame:
     o = orders.select("customer_id", "order_date").join(c, "customer_id")
     o = o.withColumn("cohort_index", months_between_months(F.col("order_date"), F.col("signup_date")))
     active = o.groupBy("cohort_month", "cohort_index").agg(F.countDistinct("customer_id").alias("active_customers"))
-    out = active.join(size, "cohort_month", "left")
+    out = active.join(beside(size), "cohort_month", "left")
     rate = clamp(F.col("active_customers") / F.greatest("cohort_size", F.lit(1)), 0.0, 1.0)
     return out.select("cohort_month", "cohort_index", "active_customers", "cohort_size", rate.alias("retention_rate")).orderBy("cohort_month", "cohort_index")
 
@@ -70,7 +72,7 @@ def zero_if_undefined(c: Column) -> Column:
 def unit_economics(values: DataFrame, cac: DataFrame, margin: float = GROSS_MARGIN) -> DataFrame:
     """A payback of 0 also stands for never; pays_back tells them apart."""
     arpu = values.where("channel is not null").groupBy("channel").agg(F.avg("arpu").alias("avg_arpu"))
-    u = cac.join(arpu, "channel", "left").withColumn("avg_arpu", F.round(F.coalesce("avg_arpu", F.lit(0.0)), 9))
+    u = cac.join(beside(arpu), "channel", "left").withColumn("avg_arpu", F.round(F.coalesce("avg_arpu", F.lit(0.0)), 9))
     monthly = F.col("avg_arpu") * F.lit(margin)
     return u.withColumns({
         "ltv_cac_ratio": zero_if_undefined(F.col("avg_arpu") * 8 * F.lit(margin) / F.greatest("cac", F.lit(1.0))),

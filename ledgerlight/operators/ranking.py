@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.storage import stored
+from ledgerlight.functions.storage import beside, stored
 
 #: monotonically_increasing_id() keeps the partition above this many bits.
 ROW_BITS = 33
@@ -34,18 +34,29 @@ def table_size(df: DataFrame, name: str = "_size") -> DataFrame:
 
 
 def quartiles(df: DataFrame, column: str, tie: str, name: str) -> DataFrame:
-    """1..4 by rank of the column, ties broken by another column: the upper edges lie at 1 + k (n - 1) / 4."""
-    ranked = global_row_number(df, [F.col(column).asc(), F.col(tie).asc()], "_rk")
-    n = F.col("_size")
-    edge = F.when(n > 1, F.expr("(4 * (_rk - 1) + _size - 2) div greatest(_size - 1, 1)")).otherwise(1)
-    return ranked.crossJoin(F.broadcast(table_size(ranked))).withColumn(name, F.greatest(F.lit(1), edge).cast("int")).drop("_rk", "_size")
+    """1..4 by rank of the column, ties broken by another column: the upper edges lie at 1 + k (n - 1) / 4.
+
+    Only the two columns are sorted; the rows at the three edges tell every row's quartile.
+    """
+    at = F.struct(F.col(column).alias("value"), F.col(tie).alias("tie"))
+    ranked = global_row_number(df.select(column, tie), [F.col(column).asc(), F.col(tie).asc()], "_rk")
+    sized = ranked.crossJoin(F.broadcast(table_size(ranked)))
+    edges = sized.agg(*[F.max(F.when(F.col("_rk") == F.expr(f"1 + {k} * (_size - 1) div 4"), at)).alias(f"_edge{k}") for k in (1, 2, 3)])
+    label = F.lit(4)
+    for k in (3, 2, 1):
+        label = F.when(at <= F.col(f"_edge{k}"), k).otherwise(label)
+    return df.crossJoin(F.broadcast(edges)).withColumn(name, label).drop("_edge1", "_edge2", "_edge3")
 
 
 def percent_rank_average(ranked: DataFrame, column: str, name: str, rank: str = "_rk") -> DataFrame:
-    """(rank averaged over equal values) / n, given global row numbers."""
-    ties = ranked.groupBy(column).agg(((F.min(rank) + F.max(rank)) / F.lit(2.0)).alias("_mean")).withColumnRenamed(column, "_value")
-    out = ranked.join(ties, F.col(column) == F.col("_value")).crossJoin(F.broadcast(table_size(ranked)))
-    return out.withColumn(name, F.col("_mean") / F.col("_size")).drop("_mean", "_size", "_value")
+    """(rank averaged over equal values) / n, given global row numbers.
+
+    Only values that come up more than once are joined; most often they are few, and then no row moves.
+    """
+    span = ranked.groupBy(column).agg(F.min(rank).alias("_lo"), F.max(rank).alias("_hi")).where("_lo < _hi")
+    ties = beside(span.select(F.col(column).alias("_value"), ((F.col("_lo") + F.col("_hi")) / F.lit(2.0)).alias("_mean")), "ties")
+    out = ranked.join(ties, F.col(column) == F.col("_value"), "left").crossJoin(F.broadcast(table_size(ranked)))
+    return out.withColumn(name, F.coalesce("_mean", F.col(rank)) / F.col("_size")).drop("_mean", "_size", "_value")
 
 
 def exact_quantiles(ranked: DataFrame, column: str, shares: dict[str, float], rank: str = "_rk") -> DataFrame:

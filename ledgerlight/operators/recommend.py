@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.expressions import action_cost, expected_uplift, ranked_action
+from ledgerlight.functions.expressions import POLICIES, action_cost, expected_uplift, ranked_action
+from ledgerlight.functions.storage import beside
 from ledgerlight.operators.ranking import exact_quantiles, global_row_number, percent_rank_average
 
+#: The columns of a recommendation.
 COLUMNS = ["customer_id", "channel", "segment", "ltv", "cac", "ltv_cac_ratio", "churn_probability", "next_purchase_probability", "strategic_score", "recommended_action"]
 
 
 def recommendations(values: DataFrame, cac: DataFrame) -> DataFrame:
-    c = values.join(cac.select("channel", "cac"), "channel", "left").na.fill(0.0, ["cac"])
+    c = values.join(beside(cac.select("channel", "cac")), "channel", "left").na.fill(0.0, ["cac"])
     c = c.withColumn("ltv_cac_ratio", F.col("ltv") / F.when(F.col("cac") == 0, 1.0).otherwise(F.col("cac")))
     ranked = global_row_number(c, [F.col("ltv").asc(), F.col("customer_id").asc()], "_rk")
     limits = exact_quantiles(ranked, "ltv", {"q30": 0.3, "q70": 0.7})
@@ -91,14 +93,63 @@ def business_outcomes(rec: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def listed(df: DataFrame, columns: list[str], by: str, name: str) -> DataFrame:
+    """One row with the few rows of df as an array, highest first, ties by the first column."""
+    place = F.struct(F.col(by).isNull().alias("none"), (-F.col(by)).alias("by"), F.col(columns[0]).alias("tie"))
+    rows = F.array_sort(F.collect_list(F.struct(place.alias("place"), F.struct(*columns).alias("row"))))
+    return df.agg(F.transform(rows, lambda r: r["row"]).alias(name))
+
+
+def dated(*sections: DataFrame) -> DataFrame:
+    """The one-row sections side by side, behind the time of the refresh."""
+    out = sections[0]
+    for s in sections[1:]:
+        out = out.crossJoin(s)
+    return out.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("data_refresh_utc"), "*")
+
+
+def section(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    return df.select(F.struct(*(columns or df.columns)).alias(name))
+
+
+SIZES = ["customers_in_scope", "rows_in_recommendation_table"]
+
+
 def executive_report(rec: DataFrame, model_metrics: DataFrame | None = None, n: int = 20) -> DataFrame:
-    """One row of structs, ready for write.json: KPIs, the first n recommendations, the models' metrics."""
-    top = top_by(rec, "strategic_score", n, COLUMNS).agg(F.array_sort(F.collect_list(F.struct((-F.col("strategic_score")).alias("order"), *COLUMNS))).alias("recommendations_top"))
+    """One row of sections, ready for write.json: sizes, KPIs, the models' metrics, the first n recommendations."""
     k = executive_kpis(rec)
-    out = k.select(F.struct(*k.columns).alias("kpis")).crossJoin(top)
+    parts = [k.select(F.struct(*SIZES).alias("base_size"), F.struct(*[c for c in k.columns if c not in SIZES]).alias("top_kpis"))]
     if model_metrics is not None:
-        out = out.crossJoin(model_metrics.agg(F.collect_list(F.struct(*model_metrics.columns)).alias("model_performance")))
-    return out
+        names = ["split_strategy", "cv_roc_auc_mean", "holdout_roc_auc", "train_size", "test_size"]
+        by_model = F.map_from_entries(F.array_sort(F.collect_list(F.struct("model_name", F.struct(*names).alias("metrics")))))
+        parts.append(model_metrics.agg(by_model.alias("model_performance")))
+    return dated(*parts, listed(top_by(rec, "strategic_score", n, COLUMNS), COLUMNS, "strategic_score", f"recommendations_top_{n}"))
+
+
+def executive_summary(rec: DataFrame, scored: DataFrame, unit: DataFrame, n: int = 20) -> DataFrame:
+    """One row of sections: KPIs, channels by LTV/CAC, the n customers of the highest risk, the first n actions."""
+    risk, actions = top_churn_risk(rec, n), top_actions(rec, n)
+    return dated(
+        section(summary_kpis(rec, scored), "kpis"),
+        listed(channel_ranking(unit), ["channel", "ltv_cac_ratio"], "ltv_cac_ratio", "ltv_cac_by_channel"),
+        listed(risk, risk.columns, "churn_probability", "top_churn_risk_customers"),
+        listed(actions, actions.columns, "strategic_score", f"top_{n}_recommended_actions"),
+    )
+
+
+def outcomes_report(rec: DataFrame, unit: DataFrame, n: int = 10) -> DataFrame:
+    """One row of sections: KPIs, channels by LTV/CAC, the policies assumed, totals over the first n actions, and these."""
+    out = business_outcomes(rec, n)
+    totals = ["baseline_revenue_90d", "scenario_revenue_90d", "delta_revenue_90d", "total_action_cost", "net_impact", "roi_simulated"]
+    kpis = F.struct("avg_ltv_cac_ratio", "high_churn_risk_pct", F.col("net_impact").alias(f"simulated_net_impact_top{n}"))
+    assumed = [F.struct(F.lit(up).alias("uplift_rate"), F.lit(cost).alias("cost_rate"), F.lit(base).alias("base")).alias(action) for action, (up, cost, base) in POLICIES.items()]
+    top = top_action_outcomes(rec, n)
+    top = top.withColumn("_order", -F.col("priority_rank"))
+    return dated(
+        out.select(kpis.alias("kpis"), F.struct(*assumed).alias("simulation_assumptions"), F.struct(*totals).alias(f"simulation_summary_top{n}")),
+        listed(channel_ranking(unit), ["channel", "ltv_cac_ratio"], "ltv_cac_ratio", "ltv_cac_by_channel"),
+        listed(top, [c for c in top.columns if c != "_order"], "_order", f"top_{n}_actions"),
+    )
 
 
 def sliced(rec: DataFrame, segment: str | None = None, channel: str | None = None, action: str | None = None) -> DataFrame:

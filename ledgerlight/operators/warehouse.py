@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.expressions import date_key, year_month
+from ledgerlight.functions.storage import beside
 
 
 def dim_date(orders: DataFrame) -> DataFrame:
@@ -30,13 +31,15 @@ def dim_customers(customers: DataFrame) -> DataFrame:
     return customers.withColumns({"customer_key": F.col("customer_id"), "signup_month": year_month(F.col("signup_date"))})
 
 
+def order_facts(orders: DataFrame) -> DataFrame:
+    """The facts that need no customer."""
+    return orders.select("order_id", "customer_id", "order_date", "order_value", date_key(F.col("order_date")).alias("date_key"), F.col("order_value").alias("order_amount"), F.lit(1).alias("order_count"))
+
+
 def fact_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders with their keys; an order of an unknown customer has a null channel_key."""
-    keys = customers.join(dim_channel(customers), "channel", "left").select("customer_id", "channel_key")
-    return orders.join(keys, "customer_id", "left").select(
-        "order_id", "customer_id", "order_date", "order_value", date_key(F.col("order_date")).alias("date_key"), "channel_key",
-        F.col("order_value").alias("order_amount"), F.lit(1).alias("order_count"),
-    )
+    keys = customers.join(beside(dim_channel(customers)), "channel", "left").select("customer_id", "channel_key")
+    return order_facts(orders).join(keys, "customer_id", "left").select("order_id", "customer_id", "order_date", "order_value", "date_key", "channel_key", "order_amount", "order_count")
 
 
 def star_schema(customers: DataFrame, orders: DataFrame) -> dict[str, DataFrame]:
@@ -45,14 +48,14 @@ def star_schema(customers: DataFrame, orders: DataFrame) -> dict[str, DataFrame]
 
 def revenue_kpis(fact: DataFrame, dates: DataFrame) -> DataFrame:
     """By month: revenue, buyers, orders and the mean ticket."""
-    g = fact.join(dates.select("date_key", "year", "month"), "date_key").groupBy("year", "month")
+    g = fact.join(beside(dates.select("date_key", "year", "month")), "date_key").groupBy("year", "month")
     out = g.agg(F.sum("order_amount").alias("s"), F.countDistinct("customer_id").alias("active_customers"), F.count(F.lit(1)).alias("order_count"))
     total = F.col("s").cast("double")
     return out.select("year", "month", total.alias("gross_revenue"), "active_customers", "order_count", (total / F.col("order_count")).alias("avg_ticket")).orderBy("year", "month")
 
 
 def channel_efficiency(fact: DataFrame, channels: DataFrame) -> DataFrame:
-    g = fact.join(channels.select("channel_key", "channel"), "channel_key").groupBy("channel")
+    g = fact.join(beside(channels.select("channel_key", "channel")), "channel_key").groupBy("channel")
     out = g.agg(F.sum("order_amount").alias("s"), F.countDistinct("customer_id").alias("customers"))
     total = F.col("s").cast("double")
     return out.select("channel", total.alias("revenue"), "customers", F.try_divide(total, F.col("customers")).alias("arpu")).orderBy(F.desc("revenue"))
@@ -80,3 +83,12 @@ def create_tables(spark: SparkSession, database: str = "default") -> None:
     """Keys and references are checked by the quality operators; tables declare none."""
     for name, columns in TABLES.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+
+
+def fill_tables(spark: SparkSession, gold: dict[str, DataFrame], database: str = "default") -> None:
+    """The star schema into its tables, whose rows it replaces; columns that a table has and the data lack are null."""
+    create_tables(spark, database)
+    for name in TABLES:
+        table, df = spark.table(f"{database}.{name}"), gold[name]
+        columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields]
+        df.select(*columns).write.mode("overwrite").insertInto(f"{database}.{name}")

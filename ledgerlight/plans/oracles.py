@@ -189,6 +189,39 @@ QUERIES = {
             FROM customer_features WHERE is_churned IS NOT NULL GROUP BY 1))""",
     "request_metrics": """SELECT endpoint, status, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, round(avg(latency), 6) AS mean_latency,
       arg_max(latency, ts) AS last_latency FROM request_log GROUP BY 1, 2, 3""",
+    "silver_customers_text": """SELECT * FROM (SELECT CAST(customer_id AS BIGINT) AS customer_id, TRY_CAST(CASE WHEN CAST(customer_id AS BIGINT) % 83 = 0 THEN '2001-13-45' WHEN CAST(customer_id AS BIGINT) % 89 = 0 THEN 'n/a'
+      ELSE CAST(signup_date AS VARCHAR) END AS DATE) AS signup_date, channel, segment FROM dirty_customers QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY _row_seq) = 1)
+      WHERE signup_date IS NOT NULL AND channel IS NOT NULL AND segment IS NOT NULL""",
+    "silver_rejects": """SELECT 'customers' AS table_name, 'x' || customer_id AS key FROM dirty_customers WHERE CAST(customer_id AS BIGINT) % 109 = 0
+      UNION ALL SELECT 'orders', 'x' || customer_id FROM dirty_orders WHERE CAST(customer_id AS BIGINT) % 109 = 0""",
+    "bronze_csv_orders": "SELECT order_id, customer_id, order_date, order_value, true AS from_csv FROM dirty_orders",
+    "silver_csv_orders": "SELECT * FROM silver_orders",
+    "silver_stream_orders": "SELECT * FROM silver_orders",
+    "stratified_fold_sizes": """SELECT is_churned, CAST(f AS INTEGER) AS fold, CAST((n - f + 4) // 5 AS BIGINT) AS n FROM (SELECT is_churned, count(*) AS n FROM customer_features WHERE is_churned IS NOT NULL GROUP BY 1)
+      CROSS JOIN (SELECT unnest(range(5)) AS f)""",
+    "model_split_sizes": " UNION ALL ".join(
+        f"""SELECT '{name}' AS model_name, 'temporal' AS split_strategy, CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) AS train_size, n - CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) AS test_size
+      FROM (SELECT count(*) AS n FROM customer_features WHERE {target} IS NOT NULL)"""
+        for name, target in (("churn", "is_churned"), ("next_purchase_30d", "next_purchase_30d"))
+    ),
+    "batch_score_outcomes": "SELECT record_id, CASE WHEN monetary < 0 OR length(channel) < 1 THEN 'rejected' ELSE 'scored' END AS outcome FROM records",
+    "stream_score_outcomes": "SELECT record_id, CASE WHEN monetary < 0 OR length(channel) < 1 THEN 'rejected' ELSE 'scored' END AS outcome FROM records",
+    "fingerprint_checks": "SELECT count(*) AS n_rows, true AS same_rows, true AS changed_rows FROM customer_features",
+    "summary_report_sections": """SELECT 'ltv_cac_by_channel' AS section, CAST(row_number() OVER (ORDER BY round(ltv_cac_ratio, 12) DESC, channel) - 1 AS INTEGER) AS place, channel AS key, round(ltv_cac_ratio, 6) AS value FROM unit
+      UNION ALL SELECT 'top_churn_risk_customers', CAST(r - 1 AS INTEGER), CAST(customer_id AS VARCHAR), round(churn_probability, 6) FROM (SELECT *, row_number() OVER (ORDER BY churn_probability DESC, customer_id) AS r FROM rec) WHERE r <= 20
+      UNION ALL SELECT 'top_20_recommended_actions', CAST(r - 1 AS INTEGER), CAST(customer_id AS VARCHAR), round(strategic_score, 6) FROM (SELECT *, row_number() OVER (ORDER BY strategic_score DESC, customer_id) AS r FROM rec) WHERE r <= 20""",
+    "outcomes_report_sections": """WITH t AS (SELECT sum(baseline_revenue_90d) AS b, sum(scenario_revenue_90d) AS s, sum(action_cost) AS c, sum(net_impact) AS n FROM sim WHERE priority_rank <= 10)
+      SELECT 'kpis' AS section, 'avg_ltv_cac_ratio' AS key, (SELECT round(avg(ltv_cac_ratio), 6) FROM rec) AS value
+      UNION ALL SELECT 'kpis', 'high_churn_risk_pct', (SELECT round(avg(CAST(churn_probability >= 0.7 AS DOUBLE)), 6) FROM rec)
+      UNION ALL SELECT 'kpis', 'simulated_net_impact_top10', round(n, 6) FROM t
+      UNION ALL SELECT 'simulation_summary_top10', 'total_action_cost', round(c, 6) FROM t
+      UNION ALL SELECT 'simulation_summary_top10', 'delta_revenue_90d', round(s - b, 6) FROM t
+      UNION ALL SELECT 'simulation_summary_top10', 'roi_simulated', round(n / c, 6) FROM t
+      UNION ALL SELECT 'simulation_assumptions', action || ' uplift_rate', CAST(up AS DOUBLE) FROM policy
+      UNION ALL SELECT 'simulation_assumptions', action || ' cost_rate', CAST(cost AS DOUBLE) FROM policy
+      UNION ALL SELECT 'ltv_cac_by_channel', channel, round(ltv_cac_ratio, 6) FROM unit
+      UNION ALL SELECT 'top_10_actions', concat(priority_rank, ' ', recommended_action), round(net_impact, 6) FROM sim WHERE priority_rank <= 10""",
+    "executive_report_top": f"SELECT CAST(r - 1 AS INTEGER) AS place, (SELECT count(DISTINCT customer_id) FROM rec) AS customers_in_scope, {REC} FROM (SELECT *, row_number() OVER (ORDER BY strategic_score DESC, customer_id) AS r FROM rec) WHERE r <= 20",
     "bronze_stream": "SELECT order_id, customer_id, order_date, order_value FROM canon_orders",
 }
 EXTRA = {

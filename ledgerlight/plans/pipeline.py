@@ -17,10 +17,14 @@ class Config:
     trees: int = ml.TREES
     depth: int = ml.DEPTH
     folds: int = ml.MOST_FOLDS
+    database: str | None = None  # where the star schema's tables are filled, too
 
 
 def run(spark: SparkSession, raw: dict[str, DataFrame], config: Config) -> dict[str, DataFrame]:
-    """raw: customers, orders, marketing, with _row_seq. Writes every layer under config.root and returns the published tables."""
+    """raw: customers, orders, marketing, with _row_seq, and _source_file where they were scanned from files (files.read_raw).
+
+    Writes every layer under config.root and returns the published tables.
+    """
     at, out = config.root.rstrip("/"), {}
     stamp = F.lit(spark.sql("SELECT current_timestamp()").first()[0])
 
@@ -28,12 +32,17 @@ def run(spark: SparkSession, raw: dict[str, DataFrame], config: Config) -> dict[
         files.write_layer(df, f"{at}/{layer}/{name}", month_of)
         return spark.read.parquet(f"{at}/{layer}/{name}").drop("month_part")
 
-    bronze = {n: put("bronze", n, layers.bronze(df, f"{n}.parquet", stamp)) for n, df in raw.items()}
+    file = lambda n, df: F.col("_source_file") if "_source_file" in df.columns else n
+    bronze = {n: put("bronze", n, layers.bronze(df, file(n, df), stamp)) for n, df in raw.items()}
+    out["rejects"] = put("silver", "rejects", layers.rejects(bronze["customers"], bronze["orders"]))
     c = put("silver", "customers", layers.silver_customers(bronze["customers"]))
     o = put("silver", "orders", layers.silver_orders(bronze["orders"], bronze["customers"]), "order_date")
     m = put("silver", "marketing", layers.silver_marketing(bronze["marketing"]))
     for name, df in warehouse.star_schema(c, o).items():
         out[name] = put("gold", name, df, "order_date" if name == "fact_orders" else None)
+        out[name].createOrReplaceTempView(f"processed_{name}")  # published without a copy
+    if config.database:
+        warehouse.fill_tables(spark, out, config.database)
     if bad := quality.contract_report({n: out[n] for n in quality.REQUIRED}).where("not present").collect():
         raise ValueError(f"gold tables lack columns: {bad}")
     f = put("processed", "customer_features", features.customer_features(c, o))
@@ -52,8 +61,8 @@ def run(spark: SparkSession, raw: dict[str, DataFrame], config: Config) -> dict[
     out["top_10_actions"] = put("processed", "top_10_actions", recommend.top_action_outcomes(rec))
     out["model_metrics"] = put("processed", "model_metrics", metrics_table(spark, trained))
     files.write_report(recommend.executive_report(rec, out["model_metrics"]), f"{at}/reports/executive_report")
-    files.write_report(recommend.summary_kpis(rec, out["scored_customers"]), f"{at}/reports/executive_summary")
-    files.write_report(recommend.business_outcomes(rec), f"{at}/reports/business_outcomes")
+    files.write_report(recommend.executive_summary(rec, out["scored_customers"], out["unit_economics"]), f"{at}/reports/executive_summary")
+    files.write_report(recommend.outcomes_report(rec, out["unit_economics"]), f"{at}/reports/business_outcomes")
     files.write_report(out["model_metrics"], f"{at}/reports/metrics_report")
     files.write_csv(out["top_10_actions"], f"{at}/export/top_10_actions")
     return out | {"customer_features": f, "silver_customers": c, "silver_orders": o, "silver_marketing": m}

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.storage import stored
+from ledgerlight.functions.expressions import POLICIES
+from ledgerlight.functions.storage import shared_dir, stored
 from ledgerlight.operators import features, layers, metrics, ml, quality, recommend, warehouse
 from ledgerlight.operators.ranking import stratified_folds, temporal_split
 from ledgerlight.plans import oracles
 from ledgerlight.plans.pipeline import metrics_table
+from ledgerlight.sources import files
 from ledgerlight.sources import fixtures as T
 from ledgerlight.streaming import jobs
 
@@ -53,8 +55,8 @@ def unit(s, d):
 
 @query
 def revenue_kpis(s, d):
-    g = gold(s, d)
-    return warehouse.revenue_kpis(g["fact_orders"], g["dim_date"])
+    o = T.orders(s, d)
+    return warehouse.revenue_kpis(warehouse.order_facts(o), warehouse.dim_date(o))
 
 
 @query
@@ -65,8 +67,7 @@ def channel_efficiency(s, d):
 
 @query
 def churn_watchlist(s, d):
-    g = gold(s, d)
-    return warehouse.churn_watchlist(g["dim_customers"], g["fact_orders"], AS_OF)
+    return warehouse.churn_watchlist(warehouse.dim_customers(T.customers(s, d)), warehouse.order_facts(T.orders(s, d)), AS_OF)
 
 
 @query
@@ -100,6 +101,50 @@ def silver_marketing(s, d):
     return layers.silver_marketing(T.dirty_marketing(s, d))
 
 
+@query
+def silver_customers_text(s, d):
+    """Sign-up dates as text, some of them no dates: those rows go, and nothing fails."""
+    return layers.silver_customers(T.customers_with_text_dates(s, d))
+
+
+@query
+def silver_rejects(s, d):
+    """Bronze rows whose customer id is no number."""
+    return layers.rejects(T.with_bad_ids(T.dirty_customers(s, d)), T.with_bad_ids(T.dirty_orders(s, d))).select("table_name", "key")
+
+
+def landed_csv(s, d):
+    """The dirty raw tables as CSV files, in source order, and read back with file names and row places."""
+    path = jobs.new_folder(s, "raw")
+    raw = {"customers": T.dirty_customers(s, d), "orders": T.dirty_orders(s, d), "marketing": T.dirty_marketing(s, d)}
+    files.land_raw({n: df.orderBy("_row_seq").drop("_row_seq") for n, df in raw.items()}, path)
+    return files.read_raw(s, path)
+
+
+@query
+def bronze_csv_orders(s, d):
+    b = layers.bronze(landed_csv(s, d)["orders"], F.col("_source_file"), F.current_timestamp())
+    return b.select("order_id", "customer_id", "order_date", "order_value", F.col("_source_file").rlike(r"^part-.*\.csv$").alias("from_csv"))
+
+
+@query
+def silver_csv_orders(s, d):
+    """By the rows' places in the files, the first of equal keys wins as in the source."""
+    raw = landed_csv(s, d)
+    return layers.silver_orders(raw["orders"], raw["customers"])
+
+
+@query
+def silver_stream_orders(s, d):
+    """Silver over what two runs of the stream landed."""
+    raw, out = jobs.new_folder(s, "raw-stream"), jobs.new_folder(s, "bronze")
+    o = T.dirty_orders(s, d)
+    for part in ("_row_seq % 4 < 2", "_row_seq % 4 >= 2"):  # all copies of an order come in one run
+        o.where(part).orderBy("_row_seq").drop("_row_seq").write.mode("append").parquet(raw)
+        jobs.landed(jobs.table_stream(s, raw), out)
+    return layers.silver_orders(s.read.parquet(out).drop("batch"), T.dirty_customers(s, d))
+
+
 for _name in ("dim_date", "dim_channel", "dim_customers", "fact_orders"):
     REGISTRY[_name] = lambda s, d, name=_name: gold(s, d)[name]
 
@@ -179,6 +224,34 @@ def channel_ranking(s, d):
     return six(recommend.channel_ranking(unit(s, d)), "ltv_cac_ratio")
 
 
+@query
+def summary_report_sections(s, d):
+    """The arrays of the summary report, one row for each entry: channels, risks, actions."""
+    r = recommend.executive_summary(rec(s, d), scored(s, d), unit(s, d))
+    entry = lambda name, key, value: r.select(F.lit(name).alias("section"), F.posexplode(name).alias("place", "e")).select("section", "place", F.col(f"e.{key}").cast("string").alias("key"), F.round(f"e.{value}", 6).alias("value"))
+    parts = [entry("ltv_cac_by_channel", "channel", "ltv_cac_ratio"), entry("top_churn_risk_customers", "customer_id", "churn_probability"), entry("top_20_recommended_actions", "customer_id", "strategic_score")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def outcomes_report_sections(s, d):
+    """The outcomes report: KPIs, totals, assumptions and channels as keys and values."""
+    r = recommend.outcomes_report(stored(rec(s, d), "rec"), unit(s, d))
+    one = lambda section, keys: F.array(*[F.struct(F.lit(section).alias("section"), F.lit(k).alias("key"), F.round(F.col(f"{section}.{k}"), 6).alias("value")) for k in keys])
+    assumed = F.array(*[F.struct(F.lit("simulation_assumptions").alias("section"), F.lit(f"{a} {k}").alias("key"), F.col("simulation_assumptions")[a][k].alias("value")) for a in POLICIES for k in ("uplift_rate", "cost_rate")])
+    channels = F.transform("ltv_cac_by_channel", lambda e: F.struct(F.lit("ltv_cac_by_channel").alias("section"), e["channel"].alias("key"), F.round(e["ltv_cac_ratio"], 6).alias("value")))
+    actions = F.transform("top_10_actions", lambda e: F.struct(F.lit("top_10_actions").alias("section"), F.concat(e["priority_rank"], F.lit(" "), e["action"]).alias("key"), F.round(e["net_impact"], 6).alias("value")))
+    parts = F.concat(one("kpis", ["avg_ltv_cac_ratio", "high_churn_risk_pct", "simulated_net_impact_top10"]), one("simulation_summary_top10", ["total_action_cost", "delta_revenue_90d", "roi_simulated"]), assumed, channels, actions)
+    return r.select(F.explode(parts).alias("e")).select("e.section", "e.key", "e.value")
+
+
+@query
+def executive_report_top(s, d):
+    """The first recommendations of the executive report, in their order."""
+    r = recommend.executive_report(rec(s, d))
+    return r.select(F.posexplode("recommendations_top_20").alias("place", "e"), "base_size.customers_in_scope").select("place", "customers_in_scope", "e.*")
+
+
 @query
 def top_10_actions(s, d):
     return recommend.top_action_outcomes(rec(s, d))
@@ -271,6 +344,11 @@ def temporal_split_80(s, d):
     return temporal_split(feature_table(s, d).where("is_churned is not null"), "signup_date", "customer_id").select("customer_id", "split")
 
 
+@query
+def stratified_fold_sizes(s, d):
+    return stratified_folds_5(s, d).groupBy("is_churned", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def stratified_folds_5(s, d):
     return stratified_folds(feature_table(s, d).where("is_churned is not null"), "is_churned", "customer_id", 5).select("customer_id", "is_churned", "fold")
@@ -282,20 +360,50 @@ def roc_points(s, d):
     return ml.roc_points(f.select((F.floor(F.col("recency_days") / 7) * 7).cast("int").alias("score"), F.col("is_churned").alias("label")))
 
 
+TARGETS = {"churn": "is_churned", "next_purchase_30d": "next_purchase_30d"}
+
+
 def models(s, f, folds=0):
-    return ml.train(f, "churn", "is_churned", folds=folds), ml.train(f, "next_purchase_30d", "next_purchase_30d", folds=folds)
+    return [ml.train(f, name, target, folds=folds) for name, target in TARGETS.items()]
+
+
+def registered_model(s, f, name):
+    """The model in the registry for this state of the features, and its version; trained and registered where there is none."""
+    r, version = ml.Registry(s, f"{shared_dir(s)}/registry"), ml.fingerprint(f).first()["data_version"]
+    try:
+        model, entry = r.load(name, version)
+    except FileNotFoundError:
+        trained = ml.train(f, name, TARGETS[name], folds=0)
+        model, entry = trained.model, r.register(trained, version, TARGETS[name])
+    return model, entry["model_version"]
+
+
+def registered_models(s, f):
+    """Both models, and their versions by name."""
+    found = {name: registered_model(s, f, name) for name in TARGETS}
+    return [m for m, _ in found.values()], {name: v for name, (_, v) in found.items()}
 
 
 @query
 def churn_scores(s, d):
     f = stored(feature_table(s, d), "features")
-    return ml.scores(ml.train(f, "churn", "is_churned", folds=0).model, f, "churn_probability").select("customer_id", "churn_probability")
+    return ml.scores(registered_model(s, f, "churn")[0], f, "churn_probability").select("customer_id", "churn_probability")
 
 
 @query
 def next_purchase_scores(s, d):
     f = stored(feature_table(s, d), "features")
-    return ml.scores(ml.train(f, "next_purchase_30d", "next_purchase_30d", folds=0).model, f, "next_purchase_probability").select("customer_id", "next_purchase_probability")
+    return ml.scores(registered_model(s, f, "next_purchase_30d")[0], f, "next_purchase_probability").select("customer_id", "next_purchase_probability")
+
+
+@query
+def model_split_sizes(s, d):
+    """How the evaluation splits the labelled rows; both sides have both classes here, so the split is the temporal one."""
+    f, parts = stored(feature_table(s, d), "features"), []
+    for name, target in TARGETS.items():
+        split, strategy = ml.evaluation_split(ml.labelled(f, target))
+        parts.append(split.agg(F.count_if(F.col("split") == "train").alias("train_size"), F.count_if(F.col("split") == "test").alias("test_size")).select(F.lit(name).alias("model_name"), F.lit(strategy).alias("split_strategy"), "train_size", "test_size"))
+    return parts[0].unionByName(parts[1])
 
 
 @query
@@ -307,8 +415,16 @@ def model_metrics(s, d):
 
 @query
 def batch_scores(s, d):
-    churn, following = models(s, stored(feature_table(s, d), "features"))
-    return ml.batch_scores(records(s, d), churn.model, following.model, {"churn": "model_v1", "next_purchase_30d": "model_v1"})
+    (churn, following), versions = registered_models(s, stored(feature_table(s, d), "features"))
+    return ml.batch_scores(records(s, d), churn, following, versions)
+
+
+@query
+def batch_score_outcomes(s, d):
+    """Which records were scored, with probabilities and an action that are in range, and which were rejected."""
+    done = batch_scores(s, d)
+    fine = F.col("churn_probability").between(0, 1) & F.col("next_purchase_probability").between(0, 1) & F.col("suggested_action").isin(list(POLICIES)) & (F.size("model_versions") == 2)
+    return done.select("record_id", F.when(fine, "scored").otherwise("out of range").alias("outcome")).unionByName(quality.rejected(records(s, d)).select("record_id", F.lit("rejected").alias("outcome")))
 
 
 @query
@@ -316,6 +432,16 @@ def dataset_fingerprint(s, d):
     return ml.fingerprint(feature_table(s, d))
 
 
+@query
+def fingerprint_checks(s, d):
+    """Rows, and whether the fingerprint stays when rows are dealt anew and changes when one goes."""
+    f = stored(feature_table(s, d), "features")
+    version = lambda df: ml.fingerprint(df).first()["data_version"]
+    own = version(f)
+    fewer = version(f.where(F.col("customer_id") != f.agg(F.max("customer_id")).first()[0]))
+    return f.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(own == version(f.repartition(7))).alias("same_rows"), F.lit(own != fewer).alias("changed_rows"))
+
+
 @query
 def bronze_stream(s, d):
     out = jobs.new_folder(s, "bronze")
@@ -330,11 +456,24 @@ def written(s, df, name):
     return path
 
 
+def streamed_scores(s, d):
+    (churn, following), versions = registered_models(s, stored(feature_table(s, d), "features"))
+    out = jobs.new_folder(s, "scored")
+    jobs.scored_stream(jobs.table_stream(s, written(s, records(s, d), "records")), churn, following, versions, out)
+    return out
+
+
+@query
+def stream_score_outcomes(s, d):
+    """What the stream put into its two sinks."""
+    out = streamed_scores(s, d)
+    parts = [s.read.parquet(f"{out}/{sink}").select("record_id", F.lit(name).alias("outcome")) for sink, name in (("predictions", "scored"), ("rejects", "rejected"))]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def stream_scores(s, d):
-    churn, following = models(s, stored(feature_table(s, d), "features"))
-    out = jobs.new_folder(s, "scored")
-    jobs.scored_stream(jobs.table_stream(s, written(s, records(s, d), "records")), churn.model, following.model, {"churn": "model_v1", "next_purchase_30d": "model_v1"}, out)
+    out = streamed_scores(s, d)
     return s.read.parquet(f"{out}/predictions").drop("batch").select("record_id", "churn_probability", "next_purchase_probability", "suggested_action")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of the customer summary as delivered.
@@ -21,16 +23,44 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def row_place(file: Column, block: Column, *earlier: Column) -> Column:
+    """A row's place among the rows of all files: by name, by where the part of the file that a task reads begins, and inside it.
+
+    Tasks read parts of files in any order, but the rows of a part one after another.
+    """
+    return F.struct(*earlier, file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
 def with_source_file(df: DataFrame) -> DataFrame:
     """Bronze columns of a scanned file: its name, and the row's place, by which the first of equal keys wins."""
-    return df.withColumns({"_source_file": F.col("_metadata.file_name"), "_row_seq": F.monotonically_increasing_id()})
+    meta = F.col("_metadata")
+    return df.withColumns({"_source_file": meta["file_name"], "_row_seq": row_place(meta["file_path"], meta["file_block_start"])})
+
+
+def land_raw(tables: dict[str, DataFrame], path: str, kind: str = "csv") -> None:
+    """Each raw table under its name, as delivered."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).format(kind).save(f"{path}/{name}")
+
+
+#: The raw tables; what was typed in by others stays text until silver.
+RAW = {
+    "customers": "customer_id STRING, signup_date STRING, channel STRING, segment STRING",
+    "orders": "order_id STRING, customer_id STRING, order_date STRING, order_value STRING",
+    "marketing": "channel STRING, marketing_spend STRING",
+}
+
+
+def read_raw(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The landed CSV tables with file names and row places, ready for bronze."""
+    return {name: with_source_file(read_csv(spark, f"{path}/{name}", columns)) for name, columns in RAW.items()}
 
 
 def write_layer(df: DataFrame, path: str, month_of: str | None = None) -> None:
-    """Parquet; large tables are split by the month of a date."""
+    """Parquet; large tables are split by the month of a date. Months are dealt to tasks by size, so a large one has several."""
     if month_of:
         df = df.withColumn("month_part", F.date_format(month_of, "yyyy-MM"))
-        df.repartition("month_part").write.mode("overwrite").partitionBy("month_part").parquet(path)
+        df.hint("rebalance", "month_part").write.mode("overwrite").partitionBy("month_part").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
@@ -44,6 +74,12 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def load_published(spark: SparkSession, root: str, tables: list[str]) -> dict[str, DataFrame]:
-    """Missing tables raise; nothing is rebuilt on the way."""
-    return {t: spark.read.parquet(f"{root}/{t}") for t in tables}
+def load_published(spark: SparkSession, root: str, tables: list[str], reports: list[str] = ()) -> dict[str, DataFrame | dict]:
+    """Tables and reports of a run: DataFrames, and the JSON documents. What is missing raises; nothing is rebuilt on the way."""
+    out: dict[str, DataFrame | dict] = {t: spark.read.parquet(f"{root}/processed/{t}") for t in tables}
+    for name in reports:
+        lines = spark.read.text(f"{root}/reports/{name}").limit(2).collect()  # a report is one line
+        if len(lines) != 1:
+            raise ValueError(f"report {name} has {len(lines) or 'no'} lines instead of one")
+        out[name] = json.loads(lines[0][0])
+    return out

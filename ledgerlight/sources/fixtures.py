@@ -89,6 +89,17 @@ def dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customers_with_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("customer_id").cast("long")
+    text = F.when(key % 83 == 0, "2001-13-45").when(key % 89 == 0, "n/a").otherwise(F.col("signup_date").cast("string"))
+    return dirty_customers(spark, sf_dir).withColumn("signup_date", text)
+
+
+def with_bad_ids(table: DataFrame) -> DataFrame:
+    """Every id that 109 divides has a letter before it; in orders, so has that of the rows whose customer it is."""
+    return table.withColumn("customer_id", F.when(F.col("customer_id").cast("long") % 109 == 0, F.concat(F.lit("x"), "customer_id")).otherwise(F.col("customer_id")))
+
+
 def dirty_marketing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A double channel, a negative and an unparsable spend."""
     m = copies(marketing(spark, sf_dir), F.col("channel") == "Organic")

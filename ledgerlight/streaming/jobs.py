@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.storage import shared_dir
 from ledgerlight.operators.ml import batch_scores
 from ledgerlight.operators.quality import rejected
+from ledgerlight.sources.files import row_place
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -25,17 +26,30 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def landed(stream: DataFrame, out: str) -> None:
-    """New files to bronze, with file name and time; the checkpoint remembers what has landed."""
-    rows = stream.withColumns({"_source_file": F.col("_metadata.file_name"), "_ingestion_ts": F.current_timestamp()})
-    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    """New files to bronze, with file name, time and row place (batch, file, place in the file), so that silver can read them.
+
+    The checkpoint remembers what has landed; a batch done again replaces itself.
+    """
+    columns = stream.columns
+    rows = stream.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_source_file"), F.col("_metadata.file_block_start").alias("_block"), F.current_timestamp().alias("_ingestion_ts"))
+
+    def land(batch: DataFrame, number: int) -> None:
+        place = row_place(F.col("_path"), F.col("_block"), F.lit(number).cast("long").alias("number"))
+        batch.select(*columns, "_source_file", "_ingestion_ts", place.alias("_row_seq")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    rows.writeStream.foreachBatch(land).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
 
 
 def scored_stream(stream: DataFrame, churn: PipelineModel, following: PipelineModel, versions: dict[str, str], out: str) -> None:
     """Valid records to out/predictions, the others to out/rejects; a batch done again replaces itself."""
 
     def both(batch: DataFrame, number: int) -> None:
-        batch_scores(batch, churn, following, versions).write.mode("overwrite").parquet(f"{out}/predictions/batch={number}")
-        rejected(batch).write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
+        checked = batch.persist()  # read once for the two sinks; a lost block is read again
+        try:
+            batch_scores(checked, churn, following, versions).write.mode("overwrite").parquet(f"{out}/predictions/batch={number}")
+            rejected(checked).write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
+        finally:
+            checked.unpersist()
 
     stream.writeStream.foreachBatch(both).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
 

@@ -144,7 +144,9 @@ def test_batch_run(spark, published):
     assert out["cohort_retention"].where("not retention_rate between 0 and 1").count() == 0
     assert out["top_10_actions"].count() == 10 and out["recommendations"].count() == out["customer_features"].count()
     report = json.loads(spark.read.text(f"{root}/reports/executive_report").first()[0])
-    assert len(report["recommendations_top"]) == 20 and report["kpis"]["customers_in_scope"] == out["recommendations"].count()
+    assert len(report["recommendations_top_20"]) == 20 and report["base_size"]["customers_in_scope"] == out["recommendations"].count()
+    assert set(report["model_performance"]) == {"churn", "next_purchase_30d"} and report["top_kpis"]["avg_ltv"] > 0
+    assert spark.table("processed_fact_orders").count() == out["fact_orders"].count()
     for r in out["model_metrics"].collect():
         assert r["split_strategy"] in ("temporal", "stratified_fallback", "temporal_single_class") and r["train_size"] > 0
 
@@ -160,6 +162,9 @@ def test_reloaded_models_give_the_published_scores(spark, published):
         registry_.load("other")
     trained = ml.Trained("churn", churn, {"a": 1}, again)
     assert registry_.register(trained, "v", "is_churned")["model_version_number"] == 2 and registry_.load("churn")[1]["model_version"] == "model_v2"
+    assert registry_.latest("churn")["latest_model_version"] == "model_v2" and registry_.load("churn", "v")[1]["data_version"] == "v"
+    with pytest.raises(FileNotFoundError):
+        registry_.load("churn", "other state")
 
 
 def test_single_class_is_refused(spark, published):
@@ -202,6 +207,95 @@ def test_summary_csv(spark, tmp_path):
     assert len(files.load_published(spark, f"file://{tmp_path}", [])) == 0
 
 
+def test_published_tables_and_reports_are_loaded_or_raise(spark, published):
+    root, out = published
+    got = files.load_published(spark, root, ["recommendations", "cohort_retention", "unit_economics", "top_10_actions"], ["executive_report", "executive_summary", "business_outcomes"])
+    assert got["recommendations"].count() == out["recommendations"].count() and got["top_10_actions"].count() == 10
+    summary, outcomes = got["executive_summary"], got["business_outcomes"]
+    assert {"data_refresh_utc", "kpis", "ltv_cac_by_channel", "top_churn_risk_customers", "top_20_recommended_actions"} == set(summary)
+    ratios = [r["ltv_cac_ratio"] for r in summary["ltv_cac_by_channel"]]
+    assert ratios == sorted(ratios, reverse=True) and len(summary["top_churn_risk_customers"]) == len(summary["top_20_recommended_actions"]) == 20
+    assert {"data_refresh_utc", "kpis", "ltv_cac_by_channel", "simulation_assumptions", "simulation_summary_top10", "top_10_actions"} == set(outcomes)
+    assert [r["priority_rank"] for r in outcomes["top_10_actions"]] == [*range(1, 11)] and outcomes["simulation_assumptions"]["Nurture"] == {"uplift_rate": 0.03, "cost_rate": 0.02, "base": "ltv"}
+    for missing in ((["nothing"], []), ([], ["nothing"])):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            files.load_published(spark, root, *missing)
+
+
+def test_reports_of_three_recommendations(spark):
+    rows = [(i, f"c{i}", "SMB", 1000.0 * i, 100.0, 10.0 * i, 0.2 * i, 0.5, 1.0 - 0.2 * i, "Nurture") for i in (1, 2, 3)]
+    rec = spark.createDataFrame(rows, recommend.COLUMNS)
+    unit = spark.createDataFrame([("a", 2.0), ("b", 3.0), ("c", None)], "channel string, ltv_cac_ratio double")
+    scored = spark.createDataFrame([(100.0, 10.0), (200.0, 20.0)], "monetary double, arpu double")
+    summary = json.loads(recommend.executive_summary(rec, scored, unit).toJSON().first())
+    assert [r["channel"] for r in summary["ltv_cac_by_channel"]] == ["b", "a", "c"] and [r["customer_id"] for r in summary["top_churn_risk_customers"]] == [3, 2, 1]
+    assert [r["customer_id"] for r in json.loads(recommend.executive_report(rec).toJSON().first())["recommendations_top_20"]] == [1, 2, 3]
+    outcomes = recommend.outcomes_report(rec, unit, 3)
+    assert "top_3_actions" in outcomes.columns and [r["customer_id"] for r in json.loads(outcomes.toJSON().first())["top_3_actions"]] == [1, 2, 3]
+
+
+def test_raw_csv_goes_through_all_layers(spark, tmp_path):
+    """The first of equal keys wins by its place in the files, although tasks read parts of files in any order."""
+    base, raw = f"file://{tmp_path}", tmp_path / "raw"
+    (raw / "orders").mkdir(parents=True)
+    for part, shift in (("a", 0), ("b", 1)):
+        lines = ["order_id,customer_id,order_date,order_value"] + [f"O{(i + shift) % 3000},{i % 40},2025-01-{i % 28 + 1:02d},{i + 1}.5" for i in range(3000)]
+        (raw / "orders" / f"{part}.csv").write_text("\n".join(lines) + "\nBAD,x7,2025-01-01,3\n")
+    for name, text in (("customers", "customer_id,signup_date,channel,segment\n" + "".join(f"{i},{'2024-02-30' if i == 9 else '2024-01-05'},Organic,SMB\n" for i in range(40))), ("marketing", "channel,marketing_spend\nOrganic,100\n")):
+        (raw / name).mkdir()
+        (raw / name / "x.csv").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        tables = files.read_raw(spark, f"{base}/raw")
+        assert tables["orders"].rdd.getNumPartitions() > 4
+        got = {r["order_id"]: float(r["order_value"]) for r in layers.silver_orders(tables["orders"], tables["customers"]).collect()}
+        assert got == {f"O{i}": i + 1.5 for i in range(3000)}
+        assert {r["_source_file"] for r in tables["orders"].select("_source_file").distinct().collect()} == {"a.csv", "b.csv"}
+        assert [r["key"] for r in layers.rejects(tables["customers"], tables["orders"]).collect()] == ["x7", "x7"]
+        assert layers.silver_customers(tables["customers"]).count() == 39
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_star_schema_tables_are_filled(spark, small):
+    for name in warehouse.TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS default.{name}")
+    for _ in range(2):
+        warehouse.fill_tables(spark, warehouse.star_schema(*small))
+    assert spark.table("fact_orders").count() == 2 and spark.table("dim_date").count() == 6
+    assert spark.table("dim_customers").first()["city"] is None
+
+
+def test_version_numbers_are_never_given_twice(spark, tmp_path):
+    r = ml.Registry(spark, f"file://{tmp_path}/registry")
+    assert [r.claimed("m"), r.claimed("m"), r.claimed("other")] == [1, 2, 1] and r.latest("m") is None
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from ledgerlight.functions import storage
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("S", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Cluster)
+
+
+def test_a_hot_value_is_ranked_without_a_join_on_it(spark, monkeypatch):
+    from ledgerlight.functions import storage
+
+    df = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(400)], "id long, v long")
+    import pandas as pd
+
+    want = pd.Series([0 if i % 3 else i for i in range(400)]).rank(pct=True).tolist()
+    ranked = ranking.global_row_number(df, [F.col("v").asc(), F.col("id").asc()], "_rk")
+    for most in (100_000, 0):
+        monkeypatch.setattr(storage.beside, "__defaults__", ("beside", most))
+        got = {r["id"]: r["p"] for r in ranking.percent_rank_average(ranked, "v", "p").collect()}
+        assert [got[i] for i in range(400)] == pytest.approx(want)
+
+
 def test_windows_of_a_growing_stream_equal_those_of_the_table(spark, tmp_path):
     path, out = f"file://{tmp_path}/requests", f"file://{tmp_path}/windows"
     log = fixtures.request_log(spark, D)
