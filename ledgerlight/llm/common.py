@@ -106,6 +106,28 @@ def window_hashes(w: np.ndarray, k: int) -> np.ndarray:
 BROADCAST_IDS = 2_000_000
 
 
+#: Rows that a table may have to be broadcast whole; rows of a key from which it is dealt to SALTS tasks.
+BROADCAST_ROWS, HOT, SALTS = 500_000, 20_000, 64
+
+
+def attached(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows joined with a stored table that has one row for each key.
+
+    The table is broadcast if it has at most BROADCAST_ROWS rows. Else both are
+    shuffled, and the rows of a hot key are dealt to SALTS tasks by a hash of the
+    column `spread`; the table's row of that key goes to each of them.
+    """
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(stored(hot, "hot"))  # at most a row for HOT rows
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), SALTS).cast("int")).otherwise(0)
+    each = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    right = table.join(hot, key, "left").withColumn("_salt", each).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def only_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of docs whose doc_id is among ids (how: left_semi) or is not (left_anti).
 

@@ -2,7 +2,8 @@
 
 Each step replaces links so that every node points at the smallest node near
 it; the tables stay distributed, and no node's neighbours are ever gathered:
-the smallest neighbour is an aggregate that Spark combines before the shuffle.
+the smallest neighbour is an aggregate that Spark combines before the shuffle,
+and it goes back to the links by a join that splits the links of a hot node.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import stored
+from ledgerlight.llm.common import attached, stored
 
 ROUNDS = 60
 
@@ -21,10 +22,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges, before = stored(edges, "links"), None
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+        large = attached(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(large, "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = attached(large, least, "u", "v").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         edges = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from ledgerlight.llm import common as C
 from ledgerlight.llm import near_dedup as N
 from ledgerlight.llm.components import connected_components
 from ledgerlight.llm.queries import op7_minhash_near_dedup
@@ -17,7 +18,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
 
 
-def brute(rows):
+def brute(rows, threshold=85):
     """doc_id -> (n, component) over all pairs that share a shingle."""
     sets = [(d, shingles(t)) for d, t in rows]
     parent = {d: d for d, _ in sets}
@@ -39,7 +40,7 @@ def brute(rows):
                     seen.add((i, j))
                     a, b = sets[i][1], sets[j][1]
                     n = len(a & b)
-                    if 100 * n >= 85 * (len(a) + len(b) - n):
+                    if 100 * n >= threshold * (len(a) + len(b) - n):
                         x, y = sorted((root(sets[i][0]), root(sets[j][0])))
                         parent[y] = x
     return {d: (len(s), root(d)) for d, s in sets}
@@ -68,16 +69,38 @@ def test_chains_of_edited_copies_and_defined_cases(spark):
         at += 1
     rows += [(500, None), (501, ""), (502, "a b"), (503, "A B"), (504, " a\tb\n"), (505, "word " * 30_000), (506, "word " * 20_000), (502, "a b")]
     rng.shuffle(rows)
-    want = brute(rows)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows] + [(None, "a b", "y")], "doc_id long, text string, component_id string")
-    got = N.near_duplicates(docs).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
+    for near in (N.CONTRACT, N.DEFAULT):
+        want = brute(rows, near.threshold)
+        got = N.near_duplicates(docs, near).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
     assert len(got) == len(rows) + 1 and [r["kept"] for r in got if r["doc_id"] is None] == [True]
     assert N.near_duplicates(docs.limit(0)).count() == 0
     kept = N.keep_one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == sum(1 for d, _ in rows if want[d][1] == d) + 1
 
 
+def test_links_are_hardly_ever_lost():
+    assert N.DEFAULT.threshold == 80 and N.DEFAULT.lost() < 1e-6 and N.CONTRACT.threshold == 85 and N.CONTRACT.lost() < 2e-5
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    """With the limits of broadcasts and hot keys low, components and a group of many near copies are the same."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(48):
+        words = list(base)
+        words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows)
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(C, "HOT", 10)
+    monkeypatch.setattr(N, "PART", 7)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(docs, N.CONTRACT).collect()} == want
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 63, 900).astype(np.uint64)
