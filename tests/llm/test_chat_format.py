@@ -62,3 +62,9 @@ def test_query_over_the_whole_table(spark):
     rows += [(-1, 0, "user", said), (-1, 1, "assistant", said)]
     got = op8_chat_format(spark, d).collect()
     assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got} == expected(rows)
+
+
+def test_further_columns_with_clashing_names(spark):
+    rows = [(1, 0, "user", "a", "x", 5), (1, 1, "assistant", "b", "y", 6)]
+    df = spark.createDataFrame(rows, CONV + ", msg string, seq int")
+    assert digests(C.format_conversations(df)) == expected([r[:4] for r in rows])

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerlight.llm import secret_scan as S
+from ledgerlight.llm.queries import op6_secret_scan
 
 PLAIN = {
     "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII),
@@ -85,3 +86,32 @@ def test_rows_nulls_and_masking(spark):
     assert masked == {(1, clean, len(clean)), (2, None, None), (3, "", 0)}
     assert S.mask_secrets(docs).count() == 4
     assert S.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """A candidate of a million characters, and secrets at the end of a long text."""
+    rng = random.Random(11)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    assert entropy(blob) and sum(b - a for a, b in entropy(blob)) > 0.9 * len(blob)
+    text = "word and " * 100_000 + "token=abcdef123 "
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = S.scan_secrets(docs).first()
+    assert row["n_assign"] == 1 and row["spans"] == f"assign:{len(text) - 16}:{len(text) - 1}"
+    assert S.mask_secrets(docs).first()["text"].endswith("and [SECRET] ")
+
+
+def test_query_over_the_whole_table(spark):
+    """All rows of the table against the plain expressions."""
+    d = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = op6_secret_scan(spark, d).collect()
+    assert {r["doc_id"] for r in got} == set(texts) and len(got) == len(texts)
+    for r in got:
+        want = plain(texts[r["doc_id"]])
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == kind for k, *_ in want) for kind in S.KINDS[:3])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        shown = [x.split(":") for x in r["spans"].split(",") if x]
+        assert [(k, int(a), int(b)) for k, a, b in shown if k != "entropy"] == want
+        for k, a, b in shown:
+            if k == "entropy":
+                assert int(b) - int(a) >= S.WINDOW and S.CANDIDATE.fullmatch(texts[r["doc_id"]][int(a) : int(b)])
