@@ -110,14 +110,14 @@ BROADCAST_IDS = 2_000_000
 BROADCAST_ROWS, HOT, SALTS = 500_000, 20_000, 64
 
 
-def attached(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
-    """rows joined with a stored table that has one row for each key.
+def attached(rows: DataFrame, table: DataFrame, key: str, spread: str, most: int | None = None) -> DataFrame:
+    """rows joined with a table that has one row for each key, at most `most` (counted where that isn't known).
 
     The table is broadcast if it has at most BROADCAST_ROWS rows. Else both are
     shuffled, and the rows of a hot key are dealt to SALTS tasks by a hash of the
     column `spread`; the table's row of that key goes to each of them.
     """
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if (table.limit(BROADCAST_ROWS + 1).count() if most is None else most) <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), key)
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select(key, F.lit(True).alias("_hot"))
     hot = F.broadcast(stored(hot, "hot"))  # at most a row for HOT rows
