@@ -15,6 +15,7 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -52,10 +53,13 @@ def byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = byte_letters()
+#: The units into which the tokenizer splits ASCII text in lower case.
+UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
 #: What may follow a word without changing its ids.
 MARKS = ".,;:!?"
+MARKS_BYTES = MARKS.encode()
 
 
 class WordTokens:
@@ -90,24 +94,32 @@ class WordTokens:
 
     def tokenized(self, word: bytes) -> list[int]:
         """Of one word. A run of letters is one unit of the tokenizer's: its model alone gives the ids."""
+        stem = word.rstrip(MARKS_BYTES)
+        if stem.isalpha():  # ASCII letters, and what may follow them
+            ids = [t.id for t in self.model.tokenize(stem.decode().lower())]
+            return ids if len(stem) == len(word) else ids + self.of_unit(word[len(stem) :].decode())
         text = word.decode("utf-8", "replace")
         stem = text.rstrip(MARKS)
         if stem and len(stem) < len(text) and stem[-1].isalnum() and "<|" not in text:
-            marks = text[len(stem) :]
-            if marks not in self.marks:
-                if len(self.marks) > self.LIMIT // 10:
-                    self.marks.clear()
-                self.marks[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
-            return self.of_stem(stem) + self.marks[marks]
+            return self.of_stem(stem) + self.of_unit(text[len(stem) :])
         return self.of_stem(text)
 
+    def of_unit(self, unit: str) -> list[int]:
+        """Of what the tokenizer doesn't split before its model sees it, in ASCII lower case."""
+        if unit.isalpha():
+            return [t.id for t in self.model.tokenize(unit)]
+        if unit not in self.marks:
+            if len(self.marks) > self.LIMIT // 10:
+                self.marks.clear()
+            self.marks[unit] = [t.id for t in self.model.tokenize(unit.translate(BYTE_LETTERS))]
+        return self.marks[unit]
+
     def of_stem(self, text: str) -> list[int]:
         low = text.lower()
-        if low.isalpha():
-            if text.isascii():
-                return [t.id for t in self.model.tokenize(low)]
-            if not SIGMA & set(low) and is_normalized("NFC", text) and is_normalized("NFC", low):
-                return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        if text.isascii() and "<|" not in text:
+            return [*chain.from_iterable(map(self.of_unit, UNITS.findall(low)))]
+        if low.isalpha() and not SIGMA & set(low) and is_normalized("NFC", text) and is_normalized("NFC", low):
+            return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(BYTE_LETTERS))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def remembered(self, word: bytes) -> list[int]:
