@@ -98,22 +98,27 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-FOUND = "doc_id long, anchor long, path long, head long, tail long, pos int, n int"
+FOUND = "doc_id long, anchor long, path long, head long, tail long, pos array<int>, n int"
 
 
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The paths of each document, with the window at which each begins and how many it has."""
+    """The paths of each document, once each, with the windows at which they begin and how many they have."""
     hashes, powers = WordHash(), Powers()
     names = [c.split()[0] for c in FOUND.split(", ")]
     for b in small(batches):
         docs, found = [], []
         for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), strict=True):
             if (p := paths_of(words(text), hashes, powers)) is not None:
-                docs.append(np.full(len(p.path), doc, np.int64))
-                found.append((p.anchor, p.path, p.head, p.tail, p.first, p.last - p.first + 1))
+                order = np.argsort(p.path, kind="stable")
+                own = p.path[order]
+                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                one = order[starts]  # of each path the first place
+                docs.append(np.full(len(one), doc, np.int64))
+                found.append((p.anchor[one], p.path[one], p.head[one], p.tail[one], (p.last - p.first + 1)[one], p.first[order], np.diff(np.append(starts, len(own)))))
         if docs:
-            anchor, path, head, tail, pos, n = (np.concatenate(c) for c in zip(*found, strict=True))
-            arrays = [pa.array(np.concatenate(docs)), *map(signed, (anchor, path, head, tail)), pa.array(pos, pa.int32()), pa.array(n, pa.int32())]
+            anchor, path, head, tail, n, pos, times = (np.concatenate(c) for c in zip(*found, strict=True))
+            places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(times)), pa.int32()), pa.array(pos, pa.int32()))
+            arrays = [pa.array(np.concatenate(docs)), *map(signed, (anchor, path, head, tail)), places, pa.array(n, pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
 
@@ -192,7 +197,7 @@ def unitigs(paths: DataFrame) -> DataFrame:
 def spans_of_paths(repeated: DataFrame, paths: DataFrame) -> DataFrame:
     """doc_id, pos, n, source, source_pos of what later documents share with the first ones of repeated paths."""
     own = paths.join(unitigs(paths), "path").select("path", "source", "source_pos", "unitig", "off")
-    later = repeated.select("doc_id", "path", "pos", "n").join(own, "path").where("doc_id > source")
+    later = repeated.select("doc_id", "path", "pos", "n").join(own, "path").where("doc_id > source").withColumn("pos", F.explode("pos"))
     diagonal = [F.col("doc_id"), F.col("unitig"), (F.col("pos") - F.col("off")).alias("d"), F.col("source"), (F.col("source_pos") - F.col("off")).alias("e")]
     runs = later.groupBy(*diagonal).agg(
         F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("n")).alias("hi"), F.sum("n").alias("total"), F.min("source_pos").alias("at"), F.collect_list(F.struct("pos", "n", "source_pos")).alias("parts")
@@ -223,7 +228,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     anchors = anchors.where("lo < hi").select("anchor", (F.col("p") != F.col("q")).alias("branches"))
     repeated = stored(found.join(anchors, "anchor").drop("anchor"), "repeated")
     paths = repeated.groupBy("path").agg(
-        F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("hi"), F.max("branches").alias("branches"), F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("n").alias("n")
+        F.min(F.struct("doc_id", F.element_at("pos", 1).alias("pos"))).alias("f"), F.max("doc_id").alias("hi"), F.max("branches").alias("branches"), F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("n").alias("n")
     )
     paths = stored(paths.select("path", F.col("f.doc_id").alias("source"), F.col("f.pos").alias("source_pos"), "hi", "branches", "head", "tail", "n"), "paths")
 
