@@ -282,6 +282,16 @@ def test_a_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
         storage.shared_dir(Cluster)
 
 
+def test_discarded_tables_are_gone(spark):
+    from ledgerlight.functions import storage
+
+    one, two = storage.stored(spark.range(5)), storage.stored(spark.range(7))
+    storage.discard(one)
+    assert two.count() == 7
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|FILE_NOT_EXIST|not exist"):
+        spark.read.parquet(one.stored_at).count()
+
+
 def test_a_hot_value_is_ranked_without_a_join_on_it(spark, monkeypatch):
     from ledgerlight.functions import storage
 
