@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.storage import shared_dir, stored  # noqa: F401
+from ledgerlight.functions.storage import discard, shared_dir, stored  # noqa: F401
 
 M64 = (1 << 64) - 1
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import attached, stored
+from ledgerlight.llm.common import attached, discard, stored
 
 ROUNDS = 60
 
@@ -31,7 +31,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = attached(both, least, "u", "v", nodes).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = attached(large, least, "u", "v", nodes).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "links")
+        last, edges = edges, stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "links")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

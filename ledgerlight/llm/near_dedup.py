@@ -121,9 +121,12 @@ def overlaps(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
     Keys are shingles of b outside a. Let y share a link with b, and b none with a. Then b and y have at least
     threshold * |b| shingles in common, at most |b and a| of them inside a, so they share `need` outside a, and one of the first
     |b outside a| - need + 1 in any fixed order. Where b is linked with a, all shingles outside a are keys.
+
+    Inner keys, of those b alone that are short enough to have all that a link takes inside a, are the first
+    |b| - threshold * |b| + 1 shingles of all: two such sets that are linked share one.
     """
     hashes, hubs = WordHash(), {}
-    names = ["a", "b", "size", "inter", "total", "keys"]
+    names = ["a", "b", "size", "inter", "total", "keys", "inner"]
     for batch in small(batches):
         rows = []
         for a, ta, tb in zip(batch.column("a").to_pylist(), as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b")), strict=True):
@@ -137,9 +140,10 @@ def overlaps(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
             n = len(other) - len(outside)
             total = len(one) + len(outside)
             need = 1 if n * 100 >= total * threshold else max(1, -(-len(other) * threshold // 100) - n)
-            rows.append((len(other), n, total, outside[: max(0, len(outside) - need + 1)].view(np.int64)))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        types = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+            inner = other[: len(other) + 1 - -(-len(other) * threshold // 100)] if n * 100 >= len(other) * threshold else other[:0]
+            rows.append((len(other), n, total, outside[: max(0, len(outside) - need + 1)].view(np.int64), inner.view(np.int64)))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
 
@@ -153,7 +157,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     hubs = hubs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_b.join(hubs, ["a", "part"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lambda batches: overlaps(batches, near.threshold), "a long, b long, size long, inter long, total long, keys array<long>")
+    return both.mapInArrow(lambda batches: overlaps(batches, near.threshold), "a long, b long, size long, inter long, total long, keys array<long>, inner array<long>")
 
 
 def linked(overlap: DataFrame, near: Near) -> DataFrame:
@@ -197,7 +201,8 @@ def near_duplicates(docs: DataFrame, near: Near = DEFAULT) -> DataFrame:
 def residual_pairs(star: DataFrame, found: DataFrame, near: Near) -> DataFrame:
     """Pairs of a group, in different components, that may still be linked: one of them, x, has no link with the hub.
 
-    They share a key, or else all that they need to share may lie inside the hub, for which both must be short:
+    They share a key, or else all that they need to share may lie inside the hub, for which both must be short, be
+    of the same class of size or the next, and share an inner key:
     (100 + threshold) / threshold * |x and hub| >= |x| + |y|, and the same for y.
     """
     least = near.threshold
@@ -216,11 +221,11 @@ def residual_pairs(star: DataFrame, found: DataFrame, near: Near) -> DataFrame:
     x, y = keyed.where(open_).alias("x"), keyed.alias("y")
     by_key = pair(x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.key") == F.col("y.key")) & may))
 
-    short = m.where(F.col("inter") * 100 >= F.col("size") * least).select("a", "b", "comp", "hub_comp", "size", "inter", "cell")
+    short = m.where(F.col("inter") * 100 >= F.col("size") * least).select("a", "b", "comp", "hub_comp", "size", "inter", "cell", F.explode("inner").alias("key"))
     x = short.where(open_).withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).alias("x")
     both = F.col("x.size") + F.col("y.size")
     room = lambda c: F.col(c) * (100 + least) >= both * least
-    inside = pair(x.join(short.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.cell") == F.col("y.cell")) & may & room("x.inter") & room("y.inter")))
+    inside = pair(x.join(short.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.key") == F.col("y.key")) & may & room("x.inter") & room("y.inter")))
     return by_key.unionByName(inside).distinct()
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.llm.common import as_bytes, small, stored, words
+from ledgerlight.llm.common import as_bytes, discard, small, stored, words
 from ledgerlight.operators.ranking import global_row_number
 
 #: Weights of the sources in their order, repeating.
@@ -122,7 +122,8 @@ def multipliers(sizes: DataFrame, targets: DataFrame, cap: float, few: bool) ->
             "off": off,
             "lam": F.when(off < TOLERANCE / 10, F.col("lam")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2),
         })
-        state = stored(new.drop("words", "slope"), "dual")
+        last, state = state, stored(new.drop("words", "slope"), "dual")
+        discard(last)
         if (state.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
             return state.select("source", "lam")
     raise RuntimeError(f"the dual did not settle in {STEPS} steps")

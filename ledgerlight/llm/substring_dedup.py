@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import Powers, WordHash, as_bytes, attached, mix, only_ids, small, stored, words
+from ledgerlight.llm.common import Powers, WordHash, as_bytes, attached, discard, mix, only_ids, small, stored, words
 
 WIDTH, ANCHOR = 50, 10
 POSITION_BITS = 28
@@ -190,7 +190,8 @@ def unitigs(paths: DataFrame) -> DataFrame:
         settled = now
         open_ = state.where("not done").alias("s").join(state.alias("t"), F.col("s.to") == F.col("t.path"))
         moved = open_.select("s.path", "t.to", (F.col("s.off") + F.col("t.off")).alias("off"), "t.done")
-        state = stored(state.where("done").unionByName(moved), "chains")
+        last, state = state, stored(state.where("done").unionByName(moved), "chains")
+        discard(last)
     return state.select("path", F.when(F.col("done"), F.col("to")).otherwise(F.col("path")).alias("unitig"), F.when(F.col("done"), F.col("off")).otherwise(F.lit(0)).alias("off"))
 
 

@@ -101,6 +101,17 @@ def test_hot_keys_are_dealt_out(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(docs, N.CONTRACT).collect()} == want
 
 
+def test_parts_of_one_document_that_are_near_each_other(spark):
+    """Sets inside a hub with which they have no link: near copies among them are found, by inner keys alone."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(0, " ".join(base))] + [(1 + i, " ".join(base[: 320 - 7 * i])) for i in range(12)] + [(20 + i, " ".join(base[50 + 9 * i : 300 + 9 * i])) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for near in (N.CONTRACT, N.DEFAULT):
+        want = brute(rows, near.threshold)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(docs, near).collect()} == want
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 63, 900).astype(np.uint64)
