@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,20 @@ def held_out(modulus: int, remainder: int = 2, column: str = "doc_id") -> Column
     return F.crc32(text) % modulus == remainder
 
 
+def release() -> None:
+    """Gives free memory back to the system: Python workers live on from stage to stage, and their memory adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in slices: Python objects and results are made for so many texts at a time."""
     for b in batches:
         for lo in range(0, b.num_rows, rows):
             yield b.slice(lo, rows)
+    release()
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -27,8 +27,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,8 +117,9 @@ def cluster(v: np.ndarray) -> np.ndarray:
     for _ in range(ROUNDS):
         owner = (v @ c.T).argmax(axis=1)
         for j in range(len(c)):
-            if len(own := v[owner == j]):
-                m = own.mean(axis=0)
+            own = (owner == j).astype(v.dtype)
+            if own.any():
+                m = own @ v
                 c[j] = m / (np.linalg.norm(m) or 1)
     return c
 
@@ -176,23 +177,29 @@ def fit(docs: DataFrame, training: Column) -> LanguageModel:
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), 1 << 30) < F.element_at(share, F.col("lang")) * (1 << 30))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
+        for b in small(batches, 128):
             texts = [letters(t) for t in as_bytes(b.column("text"))]
+            some = [i for i, t in enumerate(texts) if t.strip()]
+            b, texts = b.take(pa.array(some, pa.int64())), [texts[i] for i in some]
             v = [vector(t, idf).astype(np.float16).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([size_class(len(t)) for t in texts], pa.int32()), pa.array(v, pa.binary())], ["lang", "size", "v"])
-
-    def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["v", "size"])
-        v = np.array([np.frombuffer(x, np.float16) for x in group["v"]]).astype(np.float32)
-        full = (v * v).sum(axis=1) > 0
-        v, sizes = v[full], group["size"].to_numpy()[full]
-        if not len(v):
-            return pd.DataFrame({"lang": [], "c": [], "sizes": [], "cosines": []})
+            order = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in v]
+            arrays = [b.column("lang"), pa.array([size_class(len(t)) for t in texts], pa.int32()), pa.array(order, pa.int64()), pa.array(v, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "size", "order", "v"])
+
+    def centroids(group: pa.Table) -> pa.Table:
+        """Of one language's sample; its rows come as one block of numbers, in the order of their hashes."""
+        group = group.sort_by([("order", "ascending"), ("size", "ascending")]).combine_chunks()
+        block = group.column("v").combine_chunks()
+        block = block.chunk(0) if isinstance(block, pa.ChunkedArray) else block
+        v = np.frombuffer(block.buffers()[2], np.float16, len(block) * DIMS, 2 * DIMS * block.offset).reshape(-1, DIMS).astype(np.float32)
         c = cluster(v)
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "c": [c.astype(np.float32).tobytes()], "sizes": [sizes.tolist()], "cosines": [(v @ c.T).max(axis=1).astype(float).tolist()]})
+        cosines = (v @ c.T).max(axis=1).astype(float)
+        columns = [[group.column("lang")[0].as_py()], [c.astype(np.float32).tobytes()], [group.column("size").to_pylist()], [cosines.tolist()]]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64())), strict=True)], ["lang", "c", "sizes", "cosines"])
 
     schema = "lang string, c binary, sizes array<int>, cosines array<double>"
-    found = sorted(drawn.mapInArrow(vectors, "lang string, size int, v binary").groupBy("lang").applyInPandas(centroids, schema).collect(), key=lambda r: r["lang"])
+    sample = drawn.mapInArrow(vectors, "lang string, size int, order long, v binary")
+    found = sorted(sample.groupBy("lang").applyInArrow(centroids, schema).collect(), key=lambda r: r["lang"])
     if not found:
         return LanguageModel(idf, [], np.zeros((DIMS, 0), np.float32), np.zeros(0, int), np.zeros((0, SIZES)))
     rows = [np.frombuffer(r["c"], np.float32).reshape(-1, DIMS) for r in found]
