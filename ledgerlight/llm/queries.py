@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import ann_forest, chat_format, exact_topk, language_id, lm_scoring, near_dedup, oracles, packing, secret_scan, source_mixing, substring_dedup
+from ledgerlight.llm import ann_forest, chat_format, exact_topk, language_id, lm_scoring, near_dedup, oracles, packing, secret_scan, source_mixing, substring_dedup, token_alignment
 from ledgerlight.llm.common import documents, held_out
 
 
@@ -60,10 +60,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_nearest_neighbours, op5_lm_scoring, op6_secret_scan,
-        op7_minhash_near_dedup, op8_chat_format, op9_exact_top_k, op10_source_mixing,
+        op7_minhash_near_dedup, op8_chat_format, op9_exact_top_k, op10_source_mixing, op13_token_alignment,
     )
     return {f.__name__: f for f in found}
 
