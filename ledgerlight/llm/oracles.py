@@ -59,6 +59,26 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
+GRAMS = " UNION ALL ".join(
+    f"SELECT lang, {k} AS size, array_to_string(ws[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k} + 2)) AS i FROM w WHERE len(ws) >= {k})" for k in range(1, 5)
+)
+OP12 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({ASCII_LOWER.replace("text", "coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM ({GRAMS}) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size >= 2),
+inside AS (SELECT lang, array_to_string(ws[i:i + width - 1], ' ') AS phrase, max(a) AS longer FROM
+  (SELECT *, unnest(range(1, size - width + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS width FROM c WHERE size >= 3)) GROUP BY ALL),
+cut AS (SELECT *, array_to_string(ws[1:k], ' ') AS one, array_to_string(ws[k + 1:], ' ') AS other FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scored AS (SELECT cut.lang, cut.phrase, cut.a, k, x.a AS l, y.a AS r, (CAST(2000000 AS HUGEINT) * cut.a) // (x.a + y.a) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = one JOIN f y ON y.lang = cut.lang AND y.phrase = other),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.phrase = best.phrase WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total ON total.lang = kept.lang QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op7_minhash_near_dedup": OP7, "op8_chat_format": OP8, "op9_exact_top_k": OP9}
+    return {"op1_substring_dedup": OP1, "op7_minhash_near_dedup": OP7, "op8_chat_format": OP8, "op9_exact_top_k": OP9, "op12_phrase_collocations": OP12}
