@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import ann_forest, chat_format, collocations, exact_topk, language_id, lm_scoring, near_dedup, oracles, packing, secret_scan, source_mixing, substring_dedup, token_alignment
+from ledgerlight.llm import ann_forest, chat_format, collocations, exact_topk, language_id, lm_scoring, near_dedup, oracles, packing, secret_scan, source_mixing, substring_dedup, token_alignment, toxicity
 from ledgerlight.llm.common import documents, held_out
 
 
@@ -60,6 +60,13 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    held = held_out(3, 1)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir, "lang", "text"))
 
@@ -71,7 +78,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_nearest_neighbours, op5_lm_scoring, op6_secret_scan,
-        op7_minhash_near_dedup, op8_chat_format, op9_exact_top_k, op10_source_mixing, op12_phrase_collocations, op13_token_alignment,
+        op7_minhash_near_dedup, op8_chat_format, op9_exact_top_k, op10_source_mixing, op11_toxicity, op12_phrase_collocations, op13_token_alignment,
     )
     return {f.__name__: f for f in found}
 
