@@ -100,7 +100,7 @@ class WordTokens:
             return ids if len(stem) == len(word) else ids + self.of_unit(word[len(stem) :].decode())
         text = word.decode("utf-8", "replace")
         stem = text.rstrip(MARKS)
-        if stem and len(stem) < len(text) and stem[-1].isalnum() and "<|" not in text:
+        if stem and len(stem) < len(text) and stem.lower()[-1].isalnum() and "<|" not in text:  # some letters end in a mark in lower case
             return self.of_stem(stem) + self.of_unit(text[len(stem) :])
         return self.of_stem(text)
 

@@ -118,7 +118,7 @@ def test_nulls_repeats_long_and_empty(spark):
     assert P.pack(docs.limit(0)).count() == 0
 
 
-WORDS = ["naïve", "NAÏVE", "ΑΣ", "İstanbul", "e\u0301t", "don't", "it's", "x1y", "ñ", "ﬁn", "日本", "ß", "<|endoftext|>", "<|ENDOFTEXT|>", "a,b.", "--", "É.", "\u00a0z", "ǅ", "aͅ", "K"]
+WORDS = ["DENİZLİ.", "İ,", "Lİ!?", "naïve", "NAÏVE", "ΑΣ", "İstanbul", "e\u0301t", "don't", "it's", "x1y", "ñ", "ﬁn", "日本", "ß", "<|endoftext|>", "<|ENDOFTEXT|>", "a,b.", "--", "É.", "\u00a0z", "ǅ", "aͅ", "K"]
 
 
 @settings(max_examples=300, deadline=None)
@@ -128,3 +128,14 @@ def test_ids_word_by_word_equal_ids_of_the_text(words, joint):
     tokens = P.WordTokens.of(P.tokenizer_path())
     want = tokens.tokenizer.encode(text, add_special_tokens=False).ids
     assert next(tokens.encode([text.encode()])).tolist() == want
+
+
+def test_odd_words_before_marks_keep_their_ids():
+    draw = random.Random(9)
+    letters = [*"aZé1İıßſŉǰΐẖΣς٣½①", "\u0307", "\u0301", "\u0345", "\u200d", *P.MARKS, "'s", "-", " "]
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 7))) for _ in range(30_000)]
+    tokens = P.WordTokens(P.tokenizer_path())
+    want = [e.ids for e in tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for lo in range(0, len(texts), 256):
+        for text, ids, own in zip(texts[lo : lo + 256], tokens.encode([x.encode() for x in texts[lo : lo + 256]]), want[lo : lo + 256], strict=True):
+            assert ids.tolist() == own, repr(text)
