@@ -49,7 +49,7 @@ ALLOWED = re.compile(
 )
 #: Overlapping ones are all found.
 PLACEHOLDER = re.compile(r"(?=(example|placeholder|changeme|redacted|xxxx|0000|abcdef|123456|lorem))", re.IGNORECASE)
-STEP = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+STEP = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 2)]  # a character comes in before one goes
 HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 
 
@@ -85,10 +85,11 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
         s = m[0]
         if ALLOWED.fullmatch(s):
             continue
-        holders = {p.end(1): p.start(1) for p in PLACEHOLDER.finditer(s)}
-        held = -1  # where the last placeholder so far begins
+        placeholders, begun = PLACEHOLDER.finditer(s), {}  # of those that have begun, by their ends
+        following = next(placeholders, None)
+        held = -1  # where the last whole placeholder so far begins
         other = digit = upper = lower = 0  # of the window, kept up like the counts
-        bits = dict(entropy_windows(s))
+        windows = entropy_windows(s)
         for i, c in enumerate(s):
             for j, sign in ((i, 1), (i - WINDOW, -1)):
                 if j >= 0:
@@ -97,11 +98,16 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
                     digit += sign * c.isdigit()
                     upper += sign * ("A" <= c <= "Z")
                     lower += sign * ("a" <= c <= "z")
-            start = i - WINDOW + 1
-            held = max(held, holders.get(i + 1, -1))
-            if start < 0 or held >= start or not digit or not upper + lower:
+            while following and following.start(1) <= i:
+                begun[following.end(1)] = following.start(1)
+                following = next(placeholders, None)
+            held = max(held, begun.pop(i + 1, -1))
+            if i < WINDOW - 1:
                 continue
-            if bits[start] >= least_bits(not other, upper, lower, digit):
+            start, bits = next(windows)
+            if held >= start or not digit or not upper + lower:
+                continue
+            if bits >= least_bits(not other, upper, lower, digit):
                 a, b = m.start() + start, m.start() + i + 1
                 if spans and a <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], b)

@@ -2,6 +2,9 @@ import hashlib
 import math
 import random
 import re
+import string
+import tracemalloc
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,6 +103,43 @@ def test_very_long_texts(spark):
     assert S.mask_secrets(docs).first()["text"].endswith("and [SECRET] ")
 
 
+def windows_from_scratch(text):
+    """Spans of entropy by counting every window anew."""
+    out = []
+    for m in S.CANDIDATE.finditer(text):
+        s = m[0]
+        if S.ALLOWED.fullmatch(s):
+            continue
+        for i in range(len(s) - S.WINDOW + 1):
+            w = s[i : i + S.WINDOW]
+            bits = -sum(n / len(w) * math.log2(n / len(w)) for n in Counter(w).values())
+            upper, lower, digit = (sum(c in own for c in w) for own in (string.ascii_uppercase, string.ascii_lowercase, string.digits))
+            least = S.HEX_BITS if set(w) <= set(string.hexdigits) else S.MIXED_BITS if upper and lower else S.ONE_CASE_BITS if upper + lower + digit == len(w) else 99
+            held = any(S.PLACEHOLDER.match(w, k) for k in range(len(w)))
+            if digit and upper + lower and not held and bits >= least - 1e-9:
+                a, b = m.start() + i, m.start() + i + S.WINDOW
+                out[-1:] = [(out[-1][0], b)] if out and a <= out[-1][1] else [*out[-1:], (a, b)]
+    return out
+
+
+def test_entropy_spans_equal_windows_from_scratch():
+    draw = random.Random(12)
+    pieces = ["Q7z0X4m9K2", "0000", "example", "abcdef", "123456", "xxxxx", "/", "-", "_", "a1", "ZZ", "9f3a0c77", "q", " ", "some_word", "LOREM"]
+    for _ in range(1500):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randint(1, 16)))
+        assert S.entropy_spans(text) == windows_from_scratch(text), text
+
+
+def test_memory_of_one_unbroken_run_is_bounded():
+    rng = random.Random(13)
+    blob = "".join(rng.choices(string.ascii_letters + string.digits, k=400_000)) + "0" * 400_000
+    tracemalloc.start()
+    spans = S.entropy_spans(blob)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans and peak < 8 * len(blob)
+
+
 def test_query_over_the_whole_table(spark):
     """All rows of the table against the plain expressions."""
     d = "/root/testdata/sf0.01"
@@ -115,3 +155,4 @@ def test_query_over_the_whole_table(spark):
         for k, a, b in shown:
             if k == "entropy":
                 assert int(b) - int(a) >= S.WINDOW and S.CANDIDATE.fullmatch(texts[r["doc_id"]][int(a) : int(b)])
+        assert [(int(a), int(b)) for k, a, b in shown if k == "entropy"] == windows_from_scratch(texts[r["doc_id"]])
