@@ -42,7 +42,9 @@ CENTROIDS, SAMPLE, ROUNDS = 3, 1000, 8
 SHARE, QUANTILE, ENOUGH, MOST = 0.65, 0.005, 20, 0.25
 LEAST, SIZES = 16, 40
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+BLANKS = re.compile(rb"  +")
+#: Bytes whose n-grams are counted together.
+BLOCK = 1 << 20
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 
@@ -51,18 +53,23 @@ LETTERS = bytes(ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range
 
 
 def letters(text: bytes) -> bytes:
-    return b" " + b" ".join(text.translate(LETTERS).split()) + b" "
+    return BLANKS.sub(b" ", b" " + text.translate(LETTERS) + b" ")
 
 
 def term_counts(text: bytes) -> np.ndarray:
-    b = np.frombuffer(text, np.uint8).astype(np.uint32)
-    cells, gram = [], b
-    for n, m in enumerate(MULTIPLIERS, start=2):
-        if len(b) < n:
-            break
-        gram = (gram[:-1] << np.uint32(8)) | b[n - 1 :]
-        cells.append((gram * np.uint32(m)) >> np.uint32(32 - DIM_BITS))
-    return np.bincount(np.concatenate(cells), minlength=DIMS) if cells else np.zeros(DIMS, np.int64)
+    """Counts by cell; a long text's n-grams are counted block by block, each with those that begin in it."""
+    out = np.zeros(DIMS, np.int64)
+    for lo in range(0, len(text), BLOCK):
+        b = np.frombuffer(text[lo : lo + BLOCK + len(MULTIPLIERS)], np.uint8).astype(np.uint32)
+        cells, gram = [], b
+        for n, m in enumerate(MULTIPLIERS, start=2):
+            if len(b) < n:
+                break
+            gram = (gram[:-1] << np.uint32(8)) | b[n - 1 :]
+            cells.append((gram[:BLOCK] * np.uint32(m)) >> np.uint32(32 - DIM_BITS))
+        if cells:
+            out += np.bincount(np.concatenate(cells), minlength=DIMS)
+    return out
 
 
 def sparse(text: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +103,7 @@ class LanguageModel:
     least: np.ndarray
 
     def predict(self, text: bytes | None) -> tuple[str, float, bool]:
-        if not text or not self.languages or not LETTER.search(text.decode("utf-8", "replace")):
+        if not text or not self.languages or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
             return UNKNOWN, 0.0, True
         kept = letters(text)
         cells, v = sparse(kept, self.idf)

@@ -3,6 +3,7 @@ import string
 import zlib
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -85,3 +86,40 @@ def test_very_long_text(spark):
     model = L.fit(docs, F.lit(True))
     text = next(r["text"] for r in docs.collect() if r["lang"] == "de" and r["text"] and r["n_chars"] > 300)
     assert model.predict((text + " ").encode() * 3000)[:1] == ("de",)
+
+
+def test_long_texts_count_block_by_block(monkeypatch):
+    text = L.letters("Straße und Wege, día y año ".encode() * 40)
+    whole = L.term_counts(text)
+    monkeypatch.setattr(L, "BLOCK", 7)
+    assert (L.term_counts(text) == whole).all() and whole.sum() == 3 * len(text) - 6
+
+
+@pytest.mark.parametrize("text", ["½", "²³ ①", "123 !?", "", None, "\u0307"])
+def test_texts_without_a_letter_are_unknown(spark, text):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de")], "doc_id long, text string, lang string")
+    model = L.fit(docs, F.lit(True))
+    assert model.predict(text.encode() if text is not None else None) == ("und", 0.0, True)
+    assert model.predict("½ the cat".encode())[0] == "en"
+
+
+def test_query_equals_plain_nearest_centroids(spark):
+    """Dense vectors from n-grams counted one by one, compared with every centroid."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = L.fit(docs.select("doc_id", "text", "lang"), ~held)
+    got = {r["doc_id"]: r for r in op3_language_id(spark, d).collect()}
+    rows = docs.collect()
+    assert got.keys() == {r["doc_id"] for r in rows}
+    for r in rows:
+        raw = b" " + b" ".join(r["text"].encode().translate(L.LETTERS).split()) + b" "
+        v = np.zeros(L.DIMS)
+        for n, m in enumerate(L.MULTIPLIERS, start=2):
+            for i in range(len(raw) - n + 1):
+                v[(int.from_bytes(raw[i : i + n]) * m % 2**32) >> (32 - L.DIM_BITS)] += 1
+        v = np.log1p(v) * model.idf
+        cosines = (v / (np.linalg.norm(v) or 1)) @ model.centroids
+        best = int(cosines.argmax())
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[model.owner[best]]
+        assert got[r["doc_id"]]["score"] == pytest.approx(cosines[best], abs=1e-4)
