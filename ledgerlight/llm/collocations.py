@@ -39,7 +39,9 @@ from ledgerlight.llm.common import as_bytes, attached, mix, release, small, stor
 
 LONGEST, LEAST, KEPT, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
 #: Bits of the map of frequent words; phrases of a trie's shard; pairs that a task keeps before it sums them.
-MAP_BITS, NODES, HELD = 1 << 27, 1 << 18, 1 << 22
+MAP_BITS, NODES, HELD = 1 << 27, 1 << 18, 1 << 21
+#: Rows that go from a worker to Spark at once.
+SLICE = 1 << 16
 #: Bytes of texts whose positions are advanced together (longer texts are a block each, read in such parts); seeds to try.
 BLOCK, SEEDS = 1 << 22, 8
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -52,7 +54,7 @@ END = b"\xff"
 class Reader:
     """Numbers words by language as they come; 0 is the end of a piece. A full reader is emptied between blocks."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, seed: int) -> None:
         self.seed, self.generation = seed, 0
@@ -268,11 +270,17 @@ def count_words(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Rec
     release()
 
 
-def summed(phrases: list[np.ndarray]) -> pa.RecordBatch:
-    w = np.concatenate(phrases)
-    _, first, n = np.unique(phrase_keys(w), return_index=True, return_counts=True)
-    rows = w[first]
-    return longs([*rows.T, n], [*WORDS, "n"])
+def summed(phrases: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of words, of one length each array, with their counts."""
+    while phrases:
+        size = phrases[0].shape[1]
+        w = np.concatenate([x for x in phrases if x.shape[1] == size])
+        phrases[:] = [x for x in phrases if x.shape[1] != size]
+        _, first, n = np.unique(phrase_keys(w), return_index=True, return_counts=True)
+        for lo in range(0, len(n), SLICE):
+            rows = w[first[lo : lo + SLICE]]
+            none = np.zeros(len(rows), np.int64)
+            yield longs([*rows.T, *[none] * (LONGEST - size), n[lo : lo + SLICE]], [*WORDS, "n"])
 
 
 def emitted(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -282,18 +290,14 @@ def emitted(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         held.append(w)
         size += len(w)
         if size >= HELD:
-            yield summed(held)
-            held, size = [], 0
-    if size:
-        yield summed(held)
+            yield from summed(held)
+            size = 0
+    yield from summed(held)
     release()
 
 
 def windows(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros((len(at), LONGEST), np.uint64)
-    for k in range(size):
-        out[:, k] = hashes[at + k]
-    return out
+    return np.stack([hashes[at + k] for k in range(size)], axis=1)
 
 
 def frequent_pairs(batches: Iterator[pa.RecordBatch], seed: int, frequent: Broadcast) -> Iterator[pa.RecordBatch]:

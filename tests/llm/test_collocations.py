@@ -143,4 +143,9 @@ def test_whole_table_is_read(spark):
         text = re.sub("[.,;:!?\n\x0b\x0c\r]", " ", r["text"] or "")
         want[r["lang"] or "und"] = want.get(r["lang"] or "und", 0) + len([w for w in re.split("[ \t]+", text) if w])
     assert {(r["lang"], r["n"]) for r in df.collect()} <= {*want.items()}
-    assert isinstance(C.summed([np.ones((2, 4), np.uint64)]), pa.RecordBatch)
+
+
+def test_sums_by_length():
+    rows = [b.to_pydict() for b in C.summed([np.array([[5, 6, 7], [5, 6, 7], [5, 6, 8]], np.uint64), np.array([[5, 6]], np.uint64)])]
+    got = sorted((*x,) for b in rows for x in zip(*b.values(), strict=True))
+    assert got == [(5, 6, 0, 0, 1), (5, 6, 7, 0, 2), (5, 6, 8, 0, 1)]
