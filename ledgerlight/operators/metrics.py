@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions.expressions import GROSS_MARGIN, clamp, lifetime_value, months_between_months, retention_months, year_month
 from ledgerlight.functions.storage import beside, stored
-from ledgerlight.operators.ranking import quartiles
+from ledgerlight.operators.ranking import several_quartiles
 
 
 def ltv(scored: DataFrame, margin: float = GROSS_MARGIN) -> DataFrame:
@@ -34,8 +34,7 @@ def rfm_segments(orders: DataFrame, customers: DataFrame) -> DataFrame:
         F.coalesce(F.col("monetary"), F.lit(0).cast("decimal(22,2)")).alias("monetary"),
     )
     c = stored(c, "rfm")
-    for column, score in (("recency", "r_score"), ("frequency", "f_score"), ("monetary", "m_score")):
-        c = quartiles(c, column, "customer_id", score)
+    c = several_quartiles(c, {"recency": "r_score", "frequency": "f_score", "monetary": "m_score"}, "customer_id")
     c = c.withColumn("r_score", 5 - F.col("r_score"))
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     label = F.when(total >= 10, "VIP").when(total >= 8, "Loyal").when(F.col("r_score") <= 2, "At Risk").otherwise("Hibernating")
@@ -54,8 +53,9 @@ def cohort_retention(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return out.select("cohort_month", "cohort_index", "active_customers", "cohort_size", rate.alias("retention_rate")).orderBy("cohort_month", "cohort_index")
 
 
-def cohort_matrix(cohorts: DataFrame, indexes: list[int]) -> DataFrame:
-    """One row for each cohort, its retention in percent by month index; the list of indexes bounds the columns."""
+def cohort_matrix(cohorts: DataFrame) -> DataFrame:
+    """One row for each cohort, its retention in percent by month index; the span of months in the data bounds the columns."""
+    indexes = [r[0] for r in cohorts.select("cohort_index").distinct().orderBy("cohort_index").collect()]
     wide = cohorts.withColumn("pct", F.col("retention_rate") * 100).groupBy("cohort_month").pivot("cohort_index", indexes).agg(F.first("pct"))
     return wide.select("cohort_month", *[F.col(f"`{i}`").alias(f"m{i}".replace("-", "_")) for i in indexes])
 

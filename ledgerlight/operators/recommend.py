@@ -178,10 +178,6 @@ def mean_by(part: DataFrame, key: str, column: str, name: str) -> DataFrame:
 
 
 def action_board(part: DataFrame, n: int = 120) -> DataFrame:
-    return part.orderBy(F.col("potential_impact").desc_nulls_last(), "customer_id").limit(n)
-
-
-def action_board_by_score(part: DataFrame, n: int = 120) -> DataFrame:
     return part.orderBy(F.col("strategic_score").desc_nulls_last(), "customer_id").limit(n)
 
 

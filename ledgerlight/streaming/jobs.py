@@ -63,19 +63,34 @@ def request_metrics(requests: DataFrame, width: str = "1 hour", lateness: str =
     )
 
 
-def metrics_table(stream: DataFrame, out: str, **options) -> None:
+def version_usage(scored: DataFrame, width: str = "1 hour", lateness: str = "10 minutes", at: str = "scored_at") -> DataFrame:
+    """Predictions by model, version and window of scored records (batch_scores), each of which counts once for each of its models."""
+    rows = scored.withWatermark(at, lateness) if scored.isStreaming else scored
+    each = rows.where("model_versions is not null").select(F.col(at).alias("_at"), F.explode("model_versions").alias("model", "model_version"))
+    g = each.groupBy(F.window("_at", width), "model", "model_version").agg(F.count(F.lit(1)).alias("predictions"))
+    return g.select("model", "model_version", F.col("window.start").alias("window_start"), "predictions")
+
+
+def changes_table(aggregate: DataFrame, out: str) -> None:
     """Each batch adds the windows that it changed; windows behind the watermark leave the state. See latest_windows."""
-    metrics = request_metrics(stream, **options)
 
     def changed(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    metrics.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    aggregate.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+
+
+def metrics_table(stream: DataFrame, out: str, **options) -> None:
+    changes_table(request_metrics(stream, **options), out)
+
+
+def usage_table(stream: DataFrame, out: str, **options) -> None:
+    changes_table(version_usage(stream, **options), out)
 
 
-def latest_windows(spark: SparkSession, out: str) -> DataFrame:
+def latest_windows(spark: SparkSession, out: str, key: tuple[str, ...] = ("endpoint", "status", "window_start")) -> DataFrame:
     """Each window as its last batch left it."""
-    df, key = spark.read.parquet(out), ["endpoint", "status", "window_start"]
+    df = spark.read.parquet(out)
     values = [c for c in df.columns if c not in (*key, "batch")]
     last = df.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("v"))
     return last.select(*key, *[F.col(f"v.{c}").alias(c) for c in values])
