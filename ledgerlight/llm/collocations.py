@@ -1,12 +1,13 @@
 """Phrase collocation mining: frequent phrases of two to four words of each language, scored by their weakest cut.
 
 Words have 64-bit hashes by language; that no two words share one is checked on
-the table of all words, else another seed is taken. Candidates are Apriori-safe:
-pairs must consist of frequent words (a bit map of fixed size tells them, and may
-let others pass), longer phrases of frequent pairs. Tasks sum the candidates of
-their texts, Spark sums these by the words, and those that can't reach the least
-count go. The others form double-array tries, in shards of at most about NODES
-phrases by first word, each of them built in a task and broadcast. To count,
+the table of all words, else another seed is taken. Frequent words are numbered
+by the sorted hashes (8 bytes each are broadcast, for one word in `least` of the
+corpus at most). Candidates are Apriori-safe: pairs must consist of frequent
+words, longer phrases of frequent pairs. Tasks sum the candidates of their texts,
+Spark sums these by the words' numbers, packed into longs, and those that can't
+reach the least count go. The others form double-array tries, in shards of at
+most about NODES phrases by first word, built in tasks and broadcast. To count,
 numpy advances the states of all text positions of a block at once, level by
 level; accepting states are binned, and the shards' and partitions' bins summed.
 
@@ -38,13 +39,14 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.common import as_bytes, attached, mix, release, small, stored
 
 LONGEST, LEAST, KEPT, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
-#: Bits of the map of frequent words; phrases of a trie's shard; pairs that a task keeps before it sums them.
-MAP_BITS, NODES, HELD = 1 << 27, 1 << 18, 1 << 21
+#: Phrases of a trie's shard; phrases that a task keeps before it sums them.
+NODES, HELD = 1 << 18, 1 << 21
 #: Rows that go from a worker to Spark at once.
 SLICE = 1 << 16
 #: Bytes of texts whose positions are advanced together (longer texts are a block each, read in such parts); seeds to try.
 BLOCK, SEEDS = 1 << 22, 8
-WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
+#: Columns of a phrase: numbers of its first and second, third and fourth word, 32 bits each; 0 is no word.
+PACKED = ["head", "tail"]
 #: ASCII capitals in lower case, blanks for tabs, and line feeds for all that ends a piece.
 FOLDED = bytes(0x0A if chr(c) in ".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A word that no text has; it stands between pieces.
@@ -244,8 +246,14 @@ def longs(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, pa.int64()) for c in columns], names)
 
 
+def packed(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return (one.astype(np.int64) << 32) | other
+
+
 def matrix(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-    return np.stack([batch.column(c).to_numpy() for c in WORDS], axis=1).view(np.uint64) if batch.num_rows else np.zeros((0, LONGEST), np.uint64)
+    """Rows of word numbers, 0 beyond a phrase's end."""
+    columns = [batch.column(c).to_numpy() for c in PACKED]
+    return np.stack([x for c in columns for x in (c >> 32, c & 0xFFFFFFFF)], axis=1).astype(np.uint64)
 
 
 def count_words(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
@@ -270,61 +278,68 @@ def count_words(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Rec
     release()
 
 
-def summed(phrases: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows of words, of one length each array, with their counts."""
-    while phrases:
-        size = phrases[0].shape[1]
-        w = np.concatenate([x for x in phrases if x.shape[1] == size])
-        phrases[:] = [x for x in phrases if x.shape[1] != size]
-        _, first, n = np.unique(phrase_keys(w), return_index=True, return_counts=True)
-        for lo in range(0, len(n), SLICE):
-            rows = w[first[lo : lo + SLICE]]
-            none = np.zeros(len(rows), np.int64)
-            yield longs([*rows.T, *[none] * (LONGEST - size), n[lo : lo + SLICE]], [*WORDS, "n"])
-
-
-def emitted(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Phrases with their counts, summed HELD at a time."""
-    held, size = [], 0
-    for w in found:
-        held.append(w)
-        size += len(w)
+def emitted(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Rows of packed columns with their counts, summed HELD at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()
+        order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0])
+        columns = [c[order] for c in columns]
+        new = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+        n = np.diff(np.append(new, len(order)))
+        for lo in range(0, len(new), SLICE):
+            yield longs([*(c[new[lo : lo + SLICE]] for c in columns), n[lo : lo + SLICE]], [*PACKED[: len(columns)], "n"])
+
+    size = 0
+    for columns in found:
+        if len(columns[0]):
+            held.append(columns)
+            size += len(columns[0])
         if size >= HELD:
-            yield from summed(held)
+            yield from summed()
             size = 0
-    yield from summed(held)
+    if held:
+        yield from summed()
     release()
 
 
-def windows(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([hashes[at + k] for k in range(size)], axis=1)
+def numbered(vocabulary: np.ndarray):
+    """Numbers of words by their hashes: from 1 in the vocabulary's order, 0 for others."""
 
+    def compute(hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(vocabulary, hashes).clip(max=max(0, len(vocabulary) - 1))
+        return np.where(vocabulary[at] == hashes, at + 1, 0) if len(vocabulary) else np.zeros(len(hashes), np.int64)
 
-def frequent_pairs(batches: Iterator[pa.RecordBatch], seed: int, frequent: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Pairs of words that are both on the map."""
-    bits = frequent.value
+    return compute
 
-    def kept(h: np.ndarray) -> np.ndarray:
-        place = (h % np.uint64(MAP_BITS)).astype(np.int64)
-        return np.where((bits[place >> 3] >> (place & 7)) & 1 == 1, h, 0)
 
-    def found() -> Iterator[np.ndarray]:
-        reader, table = Reader(seed), Lookup(kept, np.uint64)
+def frequent_pairs(batches: Iterator[pa.RecordBatch], seed: int, known: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Pairs of words of the vocabulary."""
+
+    def found() -> Iterator[tuple[np.ndarray, ...]]:
+        reader, table = Reader(seed), Lookup(numbered(known.value), np.int32)
         for ids in reader.blocks(batches):
-            h = table.of(reader)[ids]
-            yield windows(h, np.flatnonzero((h[:-1] != 0) & (h[1:] != 0)), 2)
+            w = table.of(reader)[ids]
+            at = np.flatnonzero((w[:-1] != 0) & (w[1:] != 0))
+            yield (packed(w[at], w[at + 1]),)
             if reader.full():
                 reader.clear()
 
     return emitted(found())
 
 
-def longer_phrases(batches: Iterator[pa.RecordBatch], seed: int, tries: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+def symbol_tables(known: Broadcast, tries: list[Broadcast]) -> list[tuple[Trie, Lookup]]:
+    number = numbered(known.value)
+    return [(t.value, Lookup(lambda h, trie=t.value: trie.symbols(number(h).astype(np.uint64)), np.int32)) for t in tries]
+
+
+def longer_phrases(batches: Iterator[pa.RecordBatch], seed: int, known: Broadcast, tries: list[Broadcast]) -> Iterator[pa.RecordBatch]:
     """Phrases of three and four words all of whose pairs are frequent."""
 
-    def found() -> Iterator[np.ndarray]:
-        reader, hashes = Reader(seed), Lookup(lambda h: h, np.uint64)
-        shards = [(t.value, Lookup(t.value.symbols, np.int32)) for t in tries]
+    def found() -> Iterator[tuple[np.ndarray, ...]]:
+        reader, numbers, shards = Reader(seed), Lookup(numbered(known.value), np.int32), symbol_tables(known, tries)
         for ids in reader.blocks(batches):
             pair = np.zeros(len(ids), bool)
             for trie, table in shards:
@@ -332,20 +347,22 @@ def longer_phrases(batches: Iterator[pa.RecordBatch], seed: int, tries: list[Bro
                     if size == 2:
                         pair[at] = True
                         break
-            h = hashes.of(reader)[ids]
+            w = numbers.of(reader)[ids]
             three = pair[:-1] & pair[1:]
-            yield windows(h, np.flatnonzero(three), 3)
-            yield windows(h, np.flatnonzero(three[:-1] & pair[2:]), 4)
+            at = np.flatnonzero(three)
+            yield packed(w[at], w[at + 1]), packed(w[at + 2], np.zeros(len(at), np.int64))
+            at = np.flatnonzero(three[:-1] & pair[2:])
+            yield packed(w[at], w[at + 1]), packed(w[at + 2], w[at + 3])
             if reader.full():
                 reader.clear()
 
     return emitted(found())
 
 
-def count_phrases(batches: Iterator[pa.RecordBatch], seed: int, tries: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+def count_phrases(batches: Iterator[pa.RecordBatch], seed: int, known: Broadcast, tries: list[Broadcast]) -> Iterator[pa.RecordBatch]:
     """key, n of the partition's phrases of two and more words."""
     reader = Reader(seed)
-    shards = [(t.value, Lookup(t.value.symbols, np.int32), np.zeros(len(t.value.check), np.int64)) for t in tries]
+    shards = [(trie, table, np.zeros(len(trie.check), np.int64)) for trie, table in symbol_tables(known, tries)]
     for ids in reader.blocks(batches):
         for trie, table, bins in shards:
             for size, (_, states) in enumerate(trie.levels(table.of(reader)[ids]), start=1):
@@ -368,7 +385,7 @@ def shared_tries(phrases: DataFrame) -> list[Broadcast]:
         t = build_trie(matrix(group))
         return pa.table({n: pa.array([getattr(t, n).tobytes()], pa.binary()) for n in ("alphabet", "base", "check", "keys")})
 
-    rows = phrases.withColumn("shard", F.pmod(F.xxhash64("w1"), F.lit(shards))).groupBy("shard").applyInArrow(build, "alphabet binary, base binary, check binary, keys binary")
+    rows = phrases.withColumn("shard", F.pmod(F.xxhash64(F.shiftright("head", 32)), F.lit(shards))).groupBy("shard").applyInArrow(build, "alphabet binary, base binary, check binary, keys binary")
     rows = stored(rows.withColumn("id", F.monotonically_increasing_id()), "tries")
     out = []
     for r in rows.select("id").collect():  # a shard at a time passes the driver
@@ -378,16 +395,6 @@ def shared_tries(phrases: DataFrame) -> list[Broadcast]:
     return out
 
 
-def frequent_map(words: DataFrame) -> np.ndarray:
-    """One bit for each hash modulo MAP_BITS: of the same size whatever the corpus."""
-    place = F.col("h").bitwiseAND(MAP_BITS - 1)
-    cells = words.select(F.shiftright(place, 6).alias("cell"), place.bitwiseAND(63).cast("int").alias("at")).select("cell", F.expr("shiftleft(1L, at)").alias("bit"))
-    rows = cells.groupBy("cell").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    out[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy()
-    return out.view(np.uint8)
-
-
 def keyed(phrases: DataFrame) -> DataFrame:
     """With size and key."""
 
@@ -398,32 +405,41 @@ def keyed(phrases: DataFrame) -> DataFrame:
             key = np.zeros(len(w), np.uint64)
             for k in range(2, LONGEST + 1):
                 key[size == k] = phrase_keys(w[size == k, :k])
-            yield longs([*w.T, size, key], [*WORDS, "size", "key"])
+            yield longs([*(b.column(c).to_numpy() for c in PACKED), size, key], [*PACKED, "size", "key"])
 
-    return phrases.select(*WORDS).mapInArrow(add, ", ".join(f"{c} long" for c in [*WORDS, "size", "key"]))
+    return phrases.select(*PACKED).mapInArrow(add, ", ".join(f"{c} long" for c in [*PACKED, "size", "key"]))
 
 
-def parts(phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of phrases with key, size and a: their cuts (key, a, k, left, right), and what lies in them (key, longer)."""
+def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, a, k, left, right: the keys of both parts of each phrase's cuts."""
+    for b in batches:
+        w, size, key, a = matrix(b), *(b.column(c).to_numpy() for c in ("size", "key", "a"))
+        for n in range(2, LONGEST + 1):
+            own = np.flatnonzero(size == n)
+            for k in range(1, n):
+                yield longs([key[own], a[own], np.full(len(own), k), phrase_keys(w[own, :k]), phrase_keys(w[own, k:n])], ["key", "a", "k", "left", "right"])
 
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w, size, key, a = matrix(b), *(b.column(c).to_numpy() for c in ("size", "key", "a"))
-            for n in range(2, LONGEST + 1):
-                own = np.flatnonzero(size == n)
-                for k in range(1, n):
-                    yield longs([key[own], a[own], np.full(len(own), k), phrase_keys(w[own, :k]), phrase_keys(w[own, k:n])], ["key", "a", "k", "left", "right"])
 
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, longer: the keys of the phrases in each phrase, with its count."""
+    for b in batches:
+        w, size, a = matrix(b), *(b.column(c).to_numpy() for c in ("size", "a"))
+        for n in range(3, LONGEST + 1):
+            own = np.flatnonzero(size == n)
+            for width in range(2, n):
+                for lo in range(n - width + 1):
+                    yield longs([phrase_keys(w[own, lo : lo + width]), a[own]], ["key", "longer"])
+
+
+def numbered_words(frequent: DataFrame, known: Broadcast) -> DataFrame:
+    """number (of the vocabulary), lang, word, n."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w, size, a = matrix(b), *(b.column(c).to_numpy() for c in ("size", "a"))
-            for n in range(3, LONGEST + 1):
-                own = np.flatnonzero(size == n)
-                for width in range(2, n):
-                    for lo in range(n - width + 1):
-                        yield longs([phrase_keys(w[own, lo : lo + width]), a[own]], ["key", "longer"])
+            number = numbered(known.value)(b.column("h").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), *(b.column(c) for c in ("lang", "word", "n"))], ["number", "lang", "word", "n"])
 
-    return phrases.mapInArrow(cuts, "key long, a long, k long, left long, right long"), phrases.mapInArrow(inside, "key long, longer long").groupBy("key").agg(F.max("longer").alias("longer"))
+    return stored(frequent.mapInArrow(add, "number long, lang string, word string, n long"), "vocabulary")
 
 
 def decimal(c: str) -> F.Column:
@@ -434,43 +450,47 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of each language."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sums = ", ".join(f"{c} long" for c in [*WORDS, "n"])
     for seed in range(SEEDS):
         words = texts.mapInArrow(lambda batches: count_words(batches, seed), "h long, lang string, word string, n long")  # noqa: B023
         words = stored(words.groupBy("h", "lang", "word").agg(F.sum("n").alias("n")), "words")
         if not words.groupBy("h").count().where("count > 1").isEmpty():
             continue
         frequent = stored(words.where(F.col("n") >= least), "frequent")
-        known = spark.sparkContext.broadcast(frequent_map(frequent))
+        known = spark.sparkContext.broadcast(np.sort(frequent.select("h").toArrow().column("h").to_numpy().view(np.uint64)))
 
         def enough(rows: DataFrame, name: str) -> DataFrame:
-            return stored(rows.groupBy(*WORDS).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*WORDS), name)
+            return stored(rows.groupBy(*rows.columns[:-1]).agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n"), name)
 
-        pairs = enough(texts.mapInArrow(lambda batches: frequent_pairs(batches, seed, known), sums), "pairs")  # noqa: B023
+        pairs = enough(texts.mapInArrow(lambda batches: frequent_pairs(batches, seed, known), "head long, n long"), "pairs").withColumn("tail", F.lit(0).cast("long"))  # noqa: B023
         tries = shared_tries(pairs)
-        longer = enough(texts.mapInArrow(lambda batches: longer_phrases(batches, seed, tries), sums), "longer")  # noqa: B023
+        longer = enough(texts.mapInArrow(lambda batches: longer_phrases(batches, seed, known, tries), "head long, tail long, n long"), "longer")  # noqa: B023
         candidates = stored(keyed(pairs.unionByName(longer)), "candidates")
-        if candidates.groupBy("key").count().where("count > 1").isEmpty():
-            break
+        if candidates.groupBy("key").count().where("count > 1").isEmpty() and candidates.where(F.col("key").between(0, len(known.value))).isEmpty():
+            break  # keys differ, from words' numbers as well
     else:
         raise RuntimeError(f"{SEEDS} seeds gave two words or phrases one hash")
-    tries = shared_tries(candidates.select(*WORDS))
-    counts = texts.mapInArrow(lambda batches: count_phrases(batches, seed, tries), "key long, n long").groupBy("key").agg(F.sum("n").alias("a"))
+    tries = shared_tries(candidates.select(*PACKED))
+    counts = texts.mapInArrow(lambda batches: count_phrases(batches, seed, known, tries), "key long, n long").groupBy("key").agg(F.sum("n").alias("a"))
     phrases = stored(candidates.join(counts, "key").where(F.col("a") >= least), "phrases")
-    f = stored(phrases.select("key", F.col("a").alias("f")).unionByName(frequent.select(F.col("h").alias("key"), F.col("n").alias("f"))), "frequencies")
+    longest = phrases.where("size > 2").mapInArrow(inside, "key long, longer long").groupBy("key").agg(F.max("longer").alias("longer"))
+    kept = phrases.join(longest, "key", "left").where(F.col("longer").isNull() | (decimal("longer") * 100 < decimal("a") * KEPT)).drop("longer")
+    kept = stored(kept, "kept")
+
+    said = numbered_words(frequent, known)
+    f = stored(phrases.select("key", F.col("a").alias("f")).unionByName(said.select(F.col("number").alias("key"), F.col("n").alias("f"))), "frequencies")
     size = f.count()
-    cuts, inside = parts(phrases)
-    cuts = attached(cuts, f.select(F.col("key").alias("left"), F.col("f").alias("l")), "left", "key", size)
-    cuts = attached(cuts, f.select(F.col("key").alias("right"), F.col("f").alias("r")), "right", "key", size)
+    cut = kept.mapInArrow(cuts, "key long, a long, k long, left long, right long")
+    cut = attached(cut, f.select(F.col("key").alias("left"), F.col("f").alias("l")), "left", "key", size)
+    cut = attached(cut, f.select(F.col("key").alias("right"), F.col("f").alias("r")), "right", "key", size)
     score = F.expr(f"({SCALE}BD * cast(a as decimal(19,0))) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
-    best = cuts.withColumn("score", score).groupBy("key").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    kept = phrases.join(inside, "key", "left").where(F.col("longer").isNull() | (decimal("longer") * 100 < decimal("a") * KEPT)).join(best, "key")
-    rows = kept.select("key", *WORDS, "a", "cut.l", "cut.r", "cut.score")
-    said = frequent.select("h", "lang", "word").unionByName(spark.createDataFrame([(0, "", "")], "h long, lang string, word string"))
+    best = cut.withColumn("score", score).groupBy("key").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    number = {f"w{2 * i + j + 1}": (F.shiftright(c, 32) if j == 0 else F.col(c).bitwiseAND(0xFFFFFFFF)) for i, c in enumerate(PACKED) for j in (0, 1)}
+    rows = kept.join(best, "key").select("key", *[c.alias(n) for n, c in number.items()], "a", "cut.l", "cut.r", "cut.score")
+    words_by_number = said.select("number", "lang", "word").unionByName(spark.createDataFrame([(0, "", "")], "number long, lang string, word string"))
     most = frequent.count() + 1
-    for c in WORDS:
-        rows = attached(rows, said.select(F.col("h").alias(c), F.col("word").alias(f"{c}_text"), F.col("lang").alias(f"{c}_lang")), c, "key", most)
-    phrase = F.concat_ws(" ", *[F.when(F.col(c) != 0, F.col(f"{c}_text")) for c in WORDS])
+    for c in number:
+        rows = attached(rows, words_by_number.select(F.col("number").alias(c), F.col("word").alias(f"{c}_text"), F.col("lang").alias(f"{c}_lang")), c, "key", most)
+    phrase = F.concat_ws(" ", *[F.when(F.col(c) != 0, F.col(f"{c}_text")) for c in number])
     rows = rows.select(F.col("w1_lang").alias("lang"), phrase.alias("phrase"), "a", "l", "r", "score")
     order = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -93,8 +93,11 @@ def test_full_readers_and_early_sums_count_the_same(monkeypatch):
     rows = [(lang or "und", text or "") for lang, text in some_rows()]
     batch = pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "text": [r[1] for r in rows]})
 
+    reader = C.Reader(0)
+    [*reader.blocks([batch])]
+
     class Known:
-        value = np.full(C.MAP_BITS // 8, 255, np.uint8)
+        value = np.sort(np.array(reader.hashes[1:], np.uint64))
 
     def sums(batches):
         out = Counter()
@@ -145,7 +148,10 @@ def test_whole_table_is_read(spark):
     assert {(r["lang"], r["n"]) for r in df.collect()} <= {*want.items()}
 
 
-def test_sums_by_length():
-    rows = [b.to_pydict() for b in C.summed([np.array([[5, 6, 7], [5, 6, 7], [5, 6, 8]], np.uint64), np.array([[5, 6]], np.uint64)])]
-    got = sorted((*x,) for b in rows for x in zip(*b.values(), strict=True))
-    assert got == [(5, 6, 0, 0, 1), (5, 6, 7, 0, 2), (5, 6, 8, 0, 1)]
+def test_sums_of_packed_phrases(monkeypatch):
+    for slice_ in (C.SLICE, 1):
+        monkeypatch.setattr(C, "SLICE", slice_)
+        rows = [b.to_pydict() for b in C.emitted(iter([(np.array([5, 5, 4]), np.array([7, 7, 9])), (np.array([5]), np.array([8]))]))]
+        assert [(*x,) for b in rows for x in zip(*b.values(), strict=True)] == [(4, 9, 1), (5, 7, 2), (5, 8, 1)]
+    assert [*C.emitted(iter([(np.zeros(0, np.int64),)]))] == []
+    assert C.matrix(pa.RecordBatch.from_pydict({"head": [(7 << 32) | 8], "tail": [9 << 32]})).tolist() == [[7, 8, 9, 0]]
