@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: The columns that published tables must have.
@@ -52,6 +53,34 @@ def referential_checks(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def watched(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The table, and what its next action sees on the way: rows and null keys, without a scan of their own."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    return df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(KEYS[name]).isNull()).alias("null_keys")), seen
+
+
+def repeated_keys(df: DataFrame, name: str) -> DataFrame:
+    n = df.where(F.col(KEYS[name]).isNotNull()).groupBy(F.col(KEYS[name]).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.count_if(F.col("n") > 1).alias("repeated_keys"))
+
+
+def sound(tables: dict[str, DataFrame], seen: dict[str, Observation], refuse: tuple[str, ...] = ("repeated_keys",)) -> DataFrame:
+    """table_name, n_rows, null_keys, repeated_keys, orphans of written tables; raises where one of those to refuse isn't 0.
+
+    seen: what `watched` gave for each table that has been written since. Orders of customers whose own row is
+    incomplete are kept by silver, so orphans are reported, and refused only where that is asked for.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    orphans: dict[str, int] = {}
+    for r in referential_checks(tables).collect():
+        orphans[r["table_name"]] = orphans.get(r["table_name"], 0) + r["orphans"]
+    rows = [(n, seen[n].get["n_rows"], seen[n].get["null_keys"], repeated_keys(tables[n], n).first()[0], orphans.get(n, 0)) for n in KEYS]
+    columns = ["table_name", "n_rows", "null_keys", "repeated_keys", "orphans"]
+    if bad := [f"{r[0]}: {r[i]} {c}" for r in rows for i, c in enumerate(columns) if c in refuse and r[i]]:
+        raise ValueError(f"gold tables are not sound: {', '.join(bad)}")
+    return spark.createDataFrame(rows, "table_name string, n_rows long, null_keys long, repeated_keys long, orphans long")
+
+
 def out_of_range(df: DataFrame, column: str, lo: float, hi: float) -> DataFrame:
     return df.agg(F.count_if(~F.col(column).between(lo, hi)).alias("out_of_range"), F.count(F.lit(1)).alias("n_rows"))
 

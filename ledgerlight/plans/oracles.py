@@ -126,6 +126,11 @@ QUERIES = {
       CASE WHEN c.customer_id % 61 = 0 THEN 'SMB' ELSE segment END AS segment, c.channel, c.signup_date,
       CAST(greatest(coalesce(date_diff('day', o.last, DATE '2001-08-01'), 30), 1) AS INTEGER) AS recency_days
       FROM customers c LEFT JOIN (SELECT customer_id, max(order_date) AS last FROM canon_orders GROUP BY 1) o ON o.customer_id = c.customer_id""",
+    "summary_rejects": """SELECT CAST(customer_id AS INTEGER) AS customer_id, CASE WHEN broken THEN 'rejected' ELSE 'accepted' END AS outcome, CASE WHEN broken THEN true END AS line_kept, true AS has_place
+      FROM (SELECT customer_id, customer_id % 83 = 0 OR customer_id % 89 = 0 AS broken FROM customers)""",
+    "summary_csv_ingest": """SELECT CAST(c.customer_id AS INTEGER) AS customer_id, CASE WHEN c.customer_id % 61 = 0 THEN 'Platinum' WHEN segment = 'SMB' THEN 'Bronze' WHEN segment = 'Mid-Market' THEN 'Silver' ELSE 'Gold' END AS membership_type,
+      CASE WHEN c.customer_id % 61 = 0 THEN 'SMB' ELSE segment END AS segment, CAST(greatest(coalesce(date_diff('day', o.last, DATE '2001-08-01'), 30), 1) AS INTEGER) AS recency_days
+      FROM customers c LEFT JOIN (SELECT customer_id, max(order_date) AS last FROM canon_orders GROUP BY 1) o ON o.customer_id = c.customer_id WHERE c.customer_id % 83 <> 0 AND c.customer_id % 89 <> 0""",
     "marketing_from_customers": "SELECT channel, marketing_spend FROM marketing",
     "bronze_orders": "SELECT *, 'orders.parquet' AS _source_file FROM dirty_orders",
     "silver_customers": "SELECT * FROM silver_customers",

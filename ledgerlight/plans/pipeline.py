@@ -17,6 +17,7 @@ class Config:
     trees: int = ml.TREES
     depth: int = ml.DEPTH
     folds: int = ml.MOST_FOLDS
+    refuse: tuple[str, ...] = ("repeated_keys",)  # of the gold tables; also null_keys, orphans
     database: str | None = None  # where the star schema's tables are filled, too
 
 
@@ -38,13 +39,16 @@ def run(spark: SparkSession, raw: dict[str, DataFrame], config: Config) -> dict[
     c = put("silver", "customers", layers.silver_customers(bronze["customers"]))
     o = put("silver", "orders", layers.silver_orders(bronze["orders"], bronze["customers"]), "order_date")
     m = put("silver", "marketing", layers.silver_marketing(bronze["marketing"]))
+    seen = {}
     for name, df in warehouse.star_schema(c, o).items():
+        df, seen[name] = quality.watched(df, name)
         out[name] = put("gold", name, df, "order_date" if name == "fact_orders" else None)
         out[name].createOrReplaceTempView(f"processed_{name}")  # published without a copy
     if config.database:
         warehouse.fill_tables(spark, out, config.database)
     if bad := quality.contract_report({n: out[n] for n in quality.REQUIRED}).where("not present").collect():
         raise ValueError(f"gold tables lack columns: {bad}")
+    out["key_checks"] = put("gold", "key_checks", quality.sound(out, seen, config.refuse))
     f = put("processed", "customer_features", features.customer_features(c, o))
     options = {"trees": config.trees, "depth": config.depth, "folds": config.folds}
     trained = {"churn": ml.train(f, "churn", "is_churned", **options), "next_purchase_30d": ml.train(f, "next_purchase_30d", "next_purchase_30d", **options)}

@@ -113,6 +113,30 @@ def silver_rejects(s, d):
     return layers.rejects(T.with_bad_ids(T.dirty_customers(s, d)), T.with_bad_ids(T.dirty_orders(s, d))).select("table_name", "key")
 
 
+def landed_summary(s, d):
+    path = jobs.new_folder(s, "raw-summary")
+    files.land_raw({"summary": T.broken_summary(s, d)}, path)
+    return files.summary_parts(s, f"{path}/summary")
+
+
+@query
+def summary_rejects(s, d):
+    """Every row of a landed summary: accepted, or rejected with its line and file."""
+    rows, rejects = landed_summary(s, d)
+    of_csv = F.col("_source_file").rlike(r"\.csv$") & (F.col("_row_seq.at") >= 0)
+    first = F.split("line", ",")[0].cast("int")
+    return rows.select(F.col("`Customer ID`").alias("customer_id"), F.lit("accepted").alias("outcome"), F.lit(None).cast("boolean").alias("line_kept"), of_csv.alias("has_place")).unionByName(
+        rejects.select(first.alias("customer_id"), F.lit("rejected").alias("outcome"), F.col("line").rlike("n/a, unknown|1\\.5\\.2").alias("line_kept"), of_csv.alias("has_place"))
+    )
+
+
+@query
+def summary_csv_ingest(s, d):
+    """Customers from the rows of the landed summary that parse."""
+    c = layers.customers_from_summary(landed_summary(s, d)[0].withColumns({"Channel": F.lit(None).cast("string"), "Signup Date": F.lit(None).cast("date")}))
+    return c.select("customer_id", "membership_type", "segment", "recency_days")
+
+
 def landed_csv(s, d):
     """The dirty raw tables as CSV files, in source order, and read back with file names and row places."""
     path = jobs.new_folder(s, "raw")

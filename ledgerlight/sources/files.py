@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlight.functions.storage import stored
+
 #: Columns of the customer summary as delivered.
 SUMMARY = (
     "`Customer ID` INT, Gender STRING, Age INT, City STRING, `Membership Type` STRING, `Total Spend` DOUBLE, `Items Purchased` INT, "
@@ -37,6 +39,16 @@ def with_source_file(df: DataFrame) -> DataFrame:
     return df.withColumns({"_source_file": meta["file_name"], "_row_seq": row_place(meta["file_path"], meta["file_block_start"])})
 
 
+def summary_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a summary that parse, with file and place, and the rejects: _source_file, _row_seq, and the line as it came.
+
+    Each row is in one of both. The parsed rows are stored, as Spark finds errors only in the columns that a reader asks for.
+    """
+    rows = stored(with_source_file(read_summary_csv(spark, path)), "summary")
+    broken = F.col("_corrupt_record").isNotNull()
+    return rows.where(~broken).drop("_corrupt_record"), rows.where(broken).select("_source_file", "_row_seq", F.col("_corrupt_record").alias("line"))
+
+
 def land_raw(tables: dict[str, DataFrame], path: str, kind: str = "csv") -> None:
     """Each raw table under its name, as delivered."""
     for name, df in tables.items():

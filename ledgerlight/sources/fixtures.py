@@ -126,6 +126,19 @@ def customer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def broken_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary as text in the columns of its file; some amounts are no numbers, some counts no whole ones."""
+    key, c = F.col("`Customer ID`"), customer_summary(spark, sf_dir)
+    text = lambda name: F.col(f"`{name}`").cast("string")
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    return c.select(
+        text("Customer ID").alias("Customer ID"), none("Gender"), none("Age"), none("City"), "Membership Type",
+        F.when(key % 83 == 0, "n/a, unknown").otherwise(text("Total Spend")).alias("Total Spend"),
+        F.when(key % 89 == 0, "1.5.2").otherwise(text("Items Purchased")).alias("Items Purchased"),
+        none("Average Rating"), F.when(key % 2 == 0, "TRUE").otherwise("FALSE").alias("Discount Applied"), text("Days Since Last Purchase").alias("Days Since Last Purchase"), none("Satisfaction Level"),
+    )
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ts, endpoint, status, latency."""
     e = read(spark, sf_dir, "events")
