@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,17 @@ def release() -> None:
         trim(0)
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in slices: Python objects and results are made for so many texts at a time."""
+#: How to empty what operators remember from task to task in this worker, by operator.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024, owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: Python objects and results are made for so many texts at a time.
+
+    A worker that comes to another operator's task gives up what the operators before have remembered.
+    """
+    for name in [n for n in REMEMBERED if n != owner]:
+        REMEMBERED.pop(name)()
     for b in batches:
         for lo in range(0, b.num_rows, rows):
             yield b.slice(lo, rows)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import as_bytes, small, stored
+from ledgerlight.llm.common import REMEMBERED, as_bytes, small, stored
 from ledgerlight.llm.packing_plan import plan
 
 CAPACITY, END_ID = 4096, 1
@@ -70,7 +70,7 @@ class WordTokens:
     its words' ids one after another. Only strings like <|endoftext|> depend on case.
     """
 
-    LIMIT = 500_000
+    LIMIT = 300_000
     _loaded: dict[str, WordTokens] = {}
 
     def __init__(self, path: str) -> None:
@@ -86,6 +86,7 @@ class WordTokens:
     def of(cls, path: str) -> WordTokens:
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
+        REMEMBERED["packing"] = cls._loaded.clear
         return cls._loaded[path]
 
     def clear(self) -> None:
@@ -187,7 +188,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         tokens = WordTokens.of(path)
-        for b in small(batches):
+        for b in small(batches, owner="packing"):
             rows, texts, ids = [], as_bytes(b.column("text")), b.column("doc_id").to_pylist()
             for lo, hi in together(texts):
                 for doc, own in zip(ids[lo:hi], tokens.encode(texts[lo:hi]), strict=True):

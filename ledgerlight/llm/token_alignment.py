@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import small, stored
+from ledgerlight.llm.common import REMEMBERED, small, stored
 from ledgerlight.llm.packing import BYTE_LETTERS, tokenizer_path
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -197,6 +197,7 @@ class Aligner:
     def of(cls, first: str, second: str) -> Aligner:
         if (first, second) not in cls._loaded:
             cls._loaded[first, second] = cls(first, second)
+        REMEMBERED["token_alignment"] = cls._loaded.clear
         return cls._loaded[first, second]
 
     def safe_parts(self, unit: str) -> list[str]:
@@ -330,7 +331,7 @@ def aligned(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Itera
     """A row for each document, with its links; last, a row (counts) with the pairs of the partition and how often each came."""
     tool = Aligner.of(first, second)
     uses = np.zeros(len(tool.pairs), np.int64)
-    for batch in small(batches):
+    for batch in small(batches, owner="token_alignment"):
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         lo = chars = 0
         for hi in range(1, len(texts) + 1):
