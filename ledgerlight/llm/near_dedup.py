@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import WordHash, as_bytes, attached, mix, only_ids, small, stored, window_hashes, words
+from ledgerlight.llm.common import BROADCAST_ROWS, WordHash, as_bytes, attached, mix, only_ids, small, stored, window_hashes, words
 from ledgerlight.llm.components import connected_components
 
 SHINGLE = 5
@@ -181,8 +181,8 @@ def near_duplicates(docs: DataFrame, near: Near = DEFAULT) -> DataFrame:
     meet = stored(buckets.join(pivots, "key").where("rep <> p.rep").select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct(), "meetings")
     groups = stored(connected_components(meet), "groups")
     often = meet.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(groups, F.col("a") == F.col("node"))
-    hubs = often.groupBy("component").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("hub"))
-    pairs = groups.join(hubs, "component").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    hubs = stored(often.groupBy("component").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("hub")), "hubs")
+    pairs = attached(groups, hubs, "component", "node").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     star = stored(confirmed(stored(pairs, "pairs"), texts, near), "overlaps")
     links = linked(star, near)
     found = stored(connected_components(links), "components")
@@ -193,7 +193,11 @@ def near_duplicates(docs: DataFrame, near: Near = DEFAULT) -> DataFrame:
         found = stored(connected_components(links), "components")
 
     named = classes.select("set_id", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    # copies of one text share a key, and rows without words have none: these go past the join. Texts are too many to broadcast
+    of_class = F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()
+    out = rows.select("doc_id", "n_shingles", "set_id")
+    joined = attached(out.where(of_class), stored(named, "named"), "set_id", "doc_id", BROADCAST_ROWS + 1)
+    out = joined.unionByName(out.where(~of_class).withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

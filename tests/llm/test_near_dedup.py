@@ -135,3 +135,14 @@ def test_components(spark):
         parent[y] = x
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: root(x) for p in pairs if p[0] != p[1] for x in p}
+
+
+def test_one_text_in_half_the_rows_and_a_third_without_words(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT", 20)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda i: " ".join(words) if i % 2 else [None, "", " \t"][i % 3] if i % 3 else " ".join([*words[:35], f"x{i}", f"y{i}"])
+    rows = [(i, text(i)) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (None, " ".join(words)), (None, None)], "doc_id long, text string").repartition(4)
+    got = N.near_duplicates(docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == brute(rows, 80)
+    assert sorted((r["n_shingles"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is None) == [(0, None, True), (36, None, True)]
