@@ -13,9 +13,14 @@ level; accepting states are binned, and the shards' and partitions' bins summed.
 
 Cutting a phrase after its first k words gives l = f(first part), r = f(rest)
 and score = floor(SCALE * a / (l + r)); the lowest cut counts. Phrases that lie in
-a longer candidate with at least KEPT percent of their count are dropped. Ranks
-are taken within a language; Spark limits each partition before it deals rows
-by language. Products are decimals, as they may pass 64 bits.
+a longer candidate with at least KEPT percent of their count are dropped. As both
+parts of a cut are as frequent as the phrase, its first and last word bound its
+score from above, and pairs' words give theirs: phrases that can't reach what
+enough pairs of their language have are not cut. Ranks are taken within a
+language; Spark limits each partition before it deals rows by language. Products
+are decimals, as they may pass 64 bits.
+
+Texts are read twice: to count words, and to store the numbers of frequent ones.
 
 Defined cases: null text is empty and has no words; null languages are `und`;
 equal rows count each on its own, whatever doc_id is; an empty table gives an
@@ -24,6 +29,7 @@ empty result; further columns are ignored; texts are taken as valid UTF-8.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -31,7 +37,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,8 +47,8 @@ from ledgerlight.llm.common import as_bytes, attached, mix, release, small, stor
 LONGEST, LEAST, KEPT, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
 #: Phrases of a trie's shard; phrases that a task keeps before it sums them.
 NODES, HELD = 1 << 18, 1 << 21
-#: Rows that go from a worker to Spark at once.
-SLICE = 1 << 16
+#: Rows that go from a worker to Spark at once; states whose bins are a row; tasks whose bins are summed together.
+SLICE, PART, FAN_IN = 1 << 16, 1 << 16, 64
 #: Bytes of texts whose positions are advanced together (longer texts are a block each, read in such parts); seeds to try.
 BLOCK, SEEDS = 1 << 22, 8
 #: Columns of a phrase: numbers of its first and second, third and fourth word, 32 bits each; 0 is no word.
@@ -140,10 +146,12 @@ class Trie:
     check: np.ndarray
     keys: np.ndarray
 
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        """Of words, from 1; 0 for those that the trie hasn't."""
-        at = np.searchsorted(self.alphabet, hashes).clip(max=max(0, len(self.alphabet) - 1))
-        return np.where(self.alphabet[at] == hashes, at + 1, 0) if len(self.alphabet) else np.zeros(len(hashes), np.int64)
+    def symbols(self, numbers: np.ndarray) -> np.ndarray:
+        """Of words by their numbers, from 1; 0 for those that the trie hasn't."""
+        most = int(max(numbers.max(initial=0), self.alphabet[-1] if len(self.alphabet) else 0))
+        table = np.zeros(most + 1, np.int32)
+        table[self.alphabet.astype(np.int64)] = np.arange(1, len(self.alphabet) + 1)
+        return table[numbers]
 
     def advance(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The next states, -1 where there is none."""
@@ -151,9 +159,9 @@ class Trie:
         to[(symbols == 0) | (to < 0) | (to >= len(self.check))] = 0
         return np.where(self.check[to] == states, to, -1)
 
-    def levels(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def levels(self, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each length from 1: the positions where a phrase of that length begins, and its states."""
-        symbols = np.append(symbols, np.zeros(LONGEST, symbols.dtype))
+        symbols = np.append(self.symbols(numbers), np.zeros(LONGEST, np.int32))
         at = np.flatnonzero(symbols)
         states = np.zeros(len(at), np.int32)
         for k in range(LONGEST):
@@ -285,10 +293,13 @@ def emitted(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]
     def summed() -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         held.clear()
-        order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0])
-        columns = [c[order] for c in columns]
+        if len(columns) > 1:
+            order = np.lexsort(columns[::-1])
+            columns = [c[order] for c in columns]
+        else:
+            columns[0].sort()
         new = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)))
-        n = np.diff(np.append(new, len(order)))
+        n = np.diff(np.append(new, len(columns[0])))
         for lo in range(0, len(new), SLICE):
             yield longs([*(c[new[lo : lo + SLICE]] for c in columns), n[lo : lo + SLICE]], [*PACKED[: len(columns)], "n"])
 
@@ -315,67 +326,98 @@ def numbered(vocabulary: np.ndarray):
     return compute
 
 
-def frequent_pairs(batches: Iterator[pa.RecordBatch], seed: int, known: Broadcast) -> Iterator[pa.RecordBatch]:
+def encoded(batches: Iterator[pa.RecordBatch], seed: int, known: Broadcast) -> Iterator[pa.RecordBatch]:
+    """numbers: those of the words of many texts, 32 bits each; pieces end in 0, as do rows."""
+    reader, table = Reader(seed), Lookup(numbered(known.value), np.int32)
+    for ids in reader.blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([table.of(reader)[ids].tobytes()], pa.binary())], ["numbers"])
+        if reader.full():
+            reader.clear()
+    release()
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for row in batch.column("numbers"):
+            yield np.frombuffer(row.as_buffer(), np.int32)
+
+
+def frequent_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of words of the vocabulary."""
 
     def found() -> Iterator[tuple[np.ndarray, ...]]:
-        reader, table = Reader(seed), Lookup(numbered(known.value), np.int32)
-        for ids in reader.blocks(batches):
-            w = table.of(reader)[ids]
+        for w in blocks_of(batches):
             at = np.flatnonzero((w[:-1] != 0) & (w[1:] != 0))
             yield (packed(w[at], w[at + 1]),)
-            if reader.full():
-                reader.clear()
 
     return emitted(found())
 
 
-def symbol_tables(known: Broadcast, tries: list[Broadcast]) -> list[tuple[Trie, Lookup]]:
-    number = numbered(known.value)
-    return [(t.value, Lookup(lambda h, trie=t.value: trie.symbols(number(h).astype(np.uint64)), np.int32)) for t in tries]
-
-
-def longer_phrases(batches: Iterator[pa.RecordBatch], seed: int, known: Broadcast, tries: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+def longer_phrases(batches: Iterator[pa.RecordBatch], tries: list[Broadcast]) -> Iterator[pa.RecordBatch]:
     """Phrases of three and four words all of whose pairs are frequent."""
 
     def found() -> Iterator[tuple[np.ndarray, ...]]:
-        reader, numbers, shards = Reader(seed), Lookup(numbered(known.value), np.int32), symbol_tables(known, tries)
-        for ids in reader.blocks(batches):
-            pair = np.zeros(len(ids), bool)
-            for trie, table in shards:
-                for size, (at, _) in enumerate(trie.levels(table.of(reader)[ids]), start=1):
+        for w in blocks_of(batches):
+            pair = np.zeros(len(w), bool)
+            for t in tries:
+                for size, (at, _) in enumerate(t.value.levels(w), start=1):
                     if size == 2:
                         pair[at] = True
                         break
-            w = numbers.of(reader)[ids]
             three = pair[:-1] & pair[1:]
             at = np.flatnonzero(three)
             yield packed(w[at], w[at + 1]), packed(w[at + 2], np.zeros(len(at), np.int64))
             at = np.flatnonzero(three[:-1] & pair[2:])
             yield packed(w[at], w[at + 1]), packed(w[at + 2], w[at + 3])
-            if reader.full():
-                reader.clear()
 
     return emitted(found())
 
 
-def count_phrases(batches: Iterator[pa.RecordBatch], seed: int, known: Broadcast, tries: list[Broadcast]) -> Iterator[pa.RecordBatch]:
-    """key, n of the partition's phrases of two and more words."""
-    reader = Reader(seed)
-    shards = [(trie, table, np.zeros(len(trie.check), np.int64)) for trie, table in symbol_tables(known, tries)]
-    for ids in reader.blocks(batches):
-        for trie, table, bins in shards:
-            for size, (_, states) in enumerate(trie.levels(table.of(reader)[ids]), start=1):
+BINS = "shard int, part int, task int, counts binary"
+
+
+def binned(batches: Iterator[pa.RecordBatch], tries: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+    """Counts of the partition's accepting states (two words and more), PART states a row."""
+    shards = [(t.value, np.zeros(len(t.value.check), np.int64)) for t in tries]
+    for w in blocks_of(batches):
+        for trie, bins in shards:
+            for size, (_, states) in enumerate(trie.levels(w), start=1):
                 if size > 1 and len(states):
                     bins += np.bincount(states, minlength=len(bins))
-        if reader.full():
-            reader.clear()
-    for trie, _, bins in shards:
-        some = np.flatnonzero(bins)
-        yield longs([trie.keys[some], bins[some]], ["key", "n"])
+    task = TaskContext.get().partitionId() if TaskContext.get() else 0
+    for shard, (_, bins) in enumerate(shards):
+        for part, lo in enumerate(range(0, len(bins), PART)):
+            if bins[lo : lo + PART].any():
+                row = shard, part, task, zlib.compress(bins[lo : lo + PART].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "part", "task", "counts"])
     release()
 
 
+def added(group: pa.Table) -> pa.Table:
+    """One row for the rows of a part of a shard: the sum of their bins."""
+    total = np.zeros(0, np.int64)
+    for row in group.column("counts"):
+        bins = np.frombuffer(zlib.decompress(row.as_buffer()), np.int64)
+        total = bins + total if len(total) else bins
+    first = [group.column(c)[0].as_py() for c in ("shard", "part", "task")]
+    return pa.table([pa.array([x], t) for x, t in zip((*first, zlib.compress(total.tobytes(), 1)), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "part", "task", "counts"])
+
+
+def counted(numbers: DataFrame, tries: list[Broadcast]) -> DataFrame:
+    """key, a: how often each phrase of the tries occurs. Bins are summed over FAN_IN tasks, then over what these give."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, part, counts in zip(b.column("shard").to_pylist(), b.column("part").to_pylist(), b.column("counts"), strict=True):
+                bins = np.frombuffer(zlib.decompress(counts.as_buffer()), np.int64)
+                some = np.flatnonzero(bins)
+                yield longs([tries[shard].value.keys[part * PART + some], bins[some]], ["key", "a"])
+
+    rows = numbers.mapInArrow(lambda batches: binned(batches, tries), BINS)
+    sums = rows.groupBy("shard", "part", (F.col("task") / FAN_IN).cast("int").alias("_group")).applyInArrow(added, BINS)
+    return sums.groupBy("shard", "part").applyInArrow(added, BINS).mapInArrow(spread, "key long, a long")
+
+
 def shared_tries(phrases: DataFrame) -> list[Broadcast]:
     """Broadcast tries of the phrases, each of about NODES of them, built in tasks of their own."""
     spark = phrases.sparkSession
@@ -395,6 +437,12 @@ def shared_tries(phrases: DataFrame) -> list[Broadcast]:
     return out
 
 
+def forget(tries: list[Broadcast]) -> None:
+    """What the tries were for is stored: executors and driver may drop them."""
+    for t in tries:
+        t.unpersist()
+
+
 def keyed(phrases: DataFrame) -> DataFrame:
     """With size and key."""
 
@@ -442,6 +490,27 @@ def numbered_words(frequent: DataFrame, known: Broadcast) -> DataFrame:
     return stored(frequent.mapInArrow(add, "number long, lang string, word string, n long"), "vocabulary")
 
 
+def within_reach(phrases: DataFrame, said: DataFrame, counts: Broadcast, top: int) -> DataFrame:
+    """Phrases whose score may be among the `top` highest of their language. Bounds leave room for rounding."""
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, a = matrix(b).astype(np.int64), b.column("a").to_numpy().astype(float)
+            f = np.append(0, counts.value).astype(float)
+            size = (w != 0).sum(axis=1)
+            first, last = f[w[:, 0]], f[w[np.arange(len(w)), size - 1]]
+            most = SCALE * a / np.where(size == 2, first + last, a + np.maximum(first, last))
+            arrays = [*b.columns, pa.array(w[:, 0]), pa.array(most * (1 - 1e-9) - 1), pa.array(most * (1 + 1e-9))]
+            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, "w1", "low", "high"])
+
+    schema = ", ".join(f"{n} {t}" for n, t in phrases.dtypes)
+    rows = phrases.mapInArrow(bounds, f"{schema}, w1 bigint, low double, high double")
+    rows = stored(attached(rows, said.select(F.col("number").alias("w1"), "lang"), "w1", "key"), "bounds")
+    order = W.partitionBy("lang").orderBy(F.col("low").desc())
+    least = rows.where("size = 2").select("lang", "low").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= top).where(F.col("_at") == top).select("lang", F.col("low").alias("least"))
+    return rows.join(least, "lang", "left").where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select(*phrases.columns)
+
+
 def decimal(c: str) -> F.Column:
     return F.col(c).cast("decimal(19,0)")
 
@@ -456,27 +525,30 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
         if not words.groupBy("h").count().where("count > 1").isEmpty():
             continue
         frequent = stored(words.where(F.col("n") >= least), "frequent")
-        known = spark.sparkContext.broadcast(np.sort(frequent.select("h").toArrow().column("h").to_numpy().view(np.uint64)))
+        h, n = (frequent.select("h", "n").toArrow().column(c).to_numpy() for c in ("h", "n"))
+        order = np.argsort(h.view(np.uint64))
+        known = spark.sparkContext.broadcast(h.view(np.uint64)[order])
+        numbers = stored(texts.mapInArrow(lambda batches: encoded(batches, seed, known), "numbers binary"), "numbers")  # noqa: B023
 
         def enough(rows: DataFrame, name: str) -> DataFrame:
             return stored(rows.groupBy(*rows.columns[:-1]).agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n"), name)
 
-        pairs = enough(texts.mapInArrow(lambda batches: frequent_pairs(batches, seed, known), "head long, n long"), "pairs").withColumn("tail", F.lit(0).cast("long"))  # noqa: B023
+        pairs = enough(numbers.mapInArrow(frequent_pairs, "head long, n long"), "pairs").withColumn("tail", F.lit(0).cast("long"))
         tries = shared_tries(pairs)
-        longer = enough(texts.mapInArrow(lambda batches: longer_phrases(batches, seed, known, tries), "head long, tail long, n long"), "longer")  # noqa: B023
+        longer = enough(numbers.mapInArrow(lambda batches: longer_phrases(batches, tries), "head long, tail long, n long"), "longer")  # noqa: B023
+        forget(tries)
         candidates = stored(keyed(pairs.unionByName(longer)), "candidates")
         if candidates.groupBy("key").count().where("count > 1").isEmpty() and candidates.where(F.col("key").between(0, len(known.value))).isEmpty():
             break  # keys differ, from words' numbers as well
     else:
         raise RuntimeError(f"{SEEDS} seeds gave two words or phrases one hash")
     tries = shared_tries(candidates.select(*PACKED))
-    counts = texts.mapInArrow(lambda batches: count_phrases(batches, seed, known, tries), "key long, n long").groupBy("key").agg(F.sum("n").alias("a"))
-    phrases = stored(candidates.join(counts, "key").where(F.col("a") >= least), "phrases")
+    phrases = stored(candidates.join(counted(numbers, tries), "key").where(F.col("a") >= least), "phrases")
+    forget(tries)
     longest = phrases.where("size > 2").mapInArrow(inside, "key long, longer long").groupBy("key").agg(F.max("longer").alias("longer"))
     kept = phrases.join(longest, "key", "left").where(F.col("longer").isNull() | (decimal("longer") * 100 < decimal("a") * KEPT)).drop("longer")
-    kept = stored(kept, "kept")
-
     said = numbered_words(frequent, known)
+    kept = stored(within_reach(kept, said, spark.sparkContext.broadcast(n[order]), top), "kept")
     f = stored(phrases.select("key", F.col("a").alias("f")).unionByName(said.select(F.col("number").alias("key"), F.col("n").alias("f"))), "frequencies")
     size = f.count()
     cut = kept.mapInArrow(cuts, "key long, a long, k long, left long, right long")
