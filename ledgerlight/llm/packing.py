@@ -70,7 +70,7 @@ class WordTokens:
     its words' ids one after another. Only strings like <|endoftext|> depend on case.
     """
 
-    LIMIT = 300_000
+    LIMIT = 500_000
     _loaded: dict[str, WordTokens] = {}
 
     def __init__(self, path: str) -> None:
