@@ -12,13 +12,16 @@ that its k-th best answer has (one of the rows may be the query itself). Queries
 of neighbouring cells form groups of at most about BLOCK. A group's bound for a
 cell is the smallest d with which a row of the cell can still reach the least
 score of any of the group's queries; a row goes to the groups whose bound its d
-reaches, and to no other. Groups meet their rows in chunks of about CHUNK; there
-each tile of rows, near one another by cell, is scored against those queries
+reaches, and to no other. Groups meet their rows in chunks of about CHUNK, made of
+neighbouring cells or of a part of a large one; a group's queries are copied to
+the chunks that hold a cell whose farthest row reaches the bound, and to no other.
+There each tile of rows, near one another by cell, is scored against those queries
 alone that it can serve. The results of a query are merged.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part; shorter vectors count as filled up with zeros; scores are exact below
-2 ** 53; with fewer than k candidates all are returned; ties go to the smaller
+2 ** 53, those beyond what a long holds count as LONG or -LONG, those that double
+precision can't tell (inf - inf) as -LONG; with fewer than k candidates all are returned; ties go to the smaller
 id; rows that share a query's id count as the query's own; each row counts, as in
 a join of queries and rows: a row that is there n times takes n ranks, and a
 query that is there n times finds each row n times; an empty table gives an
@@ -47,11 +50,14 @@ BLOCK, CHUNK, TILE = 4096, 16_384, 512
 #: Tiles after which a group's least scores rise to what was found.
 RISE = 4
 LEAST_PIVOTS, MOST_PIVOTS, CELL = 16, 256, 256
+#: The greatest double that is a long.
+LONG = float((1 << 63) - 1024)
 
 
 def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [np.floor(np.frombuffer(x, "<f8") * SCALE).tobytes() for x in b.column("v").to_pylist()]
+        with np.errstate(over="ignore"):
+            out = [np.nan_to_num(np.floor(np.frombuffer(x, "<f8") * SCALE)).tobytes() for x in b.column("v").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "v"])
 
 
@@ -73,17 +79,20 @@ def in_cells(pivots: np.ndarray):
         for b in batches:
             x = matrix(b.column("v").to_pylist(), width=pivots.shape[1])
             p = filled(pivots, x.shape[1])
-            squares = (x * x).sum(axis=1)[:, None] - 2 * x @ p.T + (p * p).sum(axis=1)
-            cell = squares.argmin(axis=1) if len(x) else np.zeros(0, np.int64)
-            far = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.sqrt((x * x).sum(axis=1)))], [*b.schema.names, "cell", "far", "size"])
+            with np.errstate(over="ignore", invalid="ignore"):
+                squares = (x * x).sum(axis=1)[:, None] - 2 * x @ p.T + (p * p).sum(axis=1)
+                cell = squares.argmin(axis=1) if len(x) else np.zeros(0, np.int64)
+                far = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
+            far[np.isnan(far)] = np.inf  # what can't be told counts as far: it is pruned nowhere
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(far)], [*b.schema.names, "cell", "far"])
 
     return run
 
 
 def least_scores(queries: np.ndarray, pivots: np.ndarray, nearest: np.ndarray, k: int) -> np.ndarray:
     """A score that the k-th best answer of each query reaches; nearest: pivots x (k + 1) distances, inf where there are fewer rows."""
-    size = np.sqrt((queries * queries).sum(axis=1))
+    with np.errstate(over="ignore"):
+        size = np.sqrt((queries * queries).sum(axis=1))
     every = nearest[np.isfinite(nearest)]
     if len(every) <= k:
         return np.full(len(queries), -np.inf)
@@ -91,26 +100,32 @@ def least_scores(queries: np.ndarray, pivots: np.ndarray, nearest: np.ndarray, k
     out = np.empty(len(queries))
     for lo in range(0, len(queries), 256):
         part = slice(lo, lo + 256)
-        bound = (queries[part] @ pivots.T)[:, cells] - size[part, None] * every
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = (queries[part] @ pivots.T)[:, cells] - size[part, None] * every
+        bound[np.isnan(bound)] = -np.inf
         out[part] = -np.partition(-bound, k, axis=1)[:, k]
-    return out - 1e-6 * (1 + np.abs(out))
+    return np.minimum(out - 1e-6 * (1 + np.abs(out)), LONG)  # scores beyond it are ties
 
 
 def least_distances(queries: np.ndarray, least: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """queries x pivots: rows of the cell that are nearer to its pivot can't reach the query's least score."""
-    size = np.sqrt((queries * queries).sum(axis=1))
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        size = np.sqrt((queries * queries).sum(axis=1))
         d = (least[:, None] - queries @ pivots.T) / size[:, None]
-    return np.where(size[:, None] > 0, d, -np.inf)
+    return np.where((size[:, None] > 0) & ~np.isnan(d), d, -np.inf)
 
 
 def best_of(queries: np.ndarray, query_ids: np.ndarray, query_times: np.ndarray, x: np.ndarray, ids: np.ndarray, times: np.ndarray, k: int, of: np.ndarray) -> pd.DataFrame:
     """The k highest scores of each query; ids ascend; of: the queries' numbers."""
-    scores = queries @ x.T
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = queries @ x.T
     n = len(ids)
+    top = np.abs(scores).max(initial=0)
+    if not top < LONG:
+        scores = np.clip(np.nan_to_num(scores, nan=-LONG, posinf=LONG, neginf=-LONG), -LONG, LONG)
     scores[query_ids[:, None] == ids] = -np.inf
     k = min(k, n)
-    if n and np.abs(scores[np.isfinite(scores)]).max(initial=0) * n < 2**52:
+    if n and top * n < 2**52:
         best = np.argpartition(-(scores * n - np.arange(n)), k - 1, axis=1)[:, :k]  # unlike keys: no ties are left
     else:
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
@@ -166,18 +181,19 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     rows = stored(rows.withColumns({"once": once, "is_query": is_query}), "integers")
     total = rows.count()
     pivots = chosen_pivots(rows, min(MOST_PIVOTS, max(LEAST_PIVOTS, total // CELL)))
-    cells = rows.mapInArrow(in_cells(pivots), SCHEMA + ", times long, once boolean, is_query boolean, cell int, far double, size double")
+    cells = rows.mapInArrow(in_cells(pivots), SCHEMA + ", times long, once boolean, is_query boolean, cell int, far double")
     cells = stored(cells, "cells")
     n = len(pivots)
-    nearest, asked = np.full((n, k + 1), np.inf), np.zeros(n, np.int64)
+    nearest, reach, counts, asked = np.full((n, k + 1), np.inf), np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
     first = F.row_number().over(W.partitionBy("cell").orderBy("far", "vec_id"))
     for r in cells.where("once").select("cell", "far", first.alias("at")).where(F.col("at") <= k + 1).collect():
         nearest[r["cell"], r["at"] - 1] = r["far"]
-    for r in cells.where("is_query").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
-        asked[r["cell"]] = r["n"]
+    for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("asked"), F.max("far").alias("reach")).collect():
+        counts[r["cell"]], asked[r["cell"]], reach[r["cell"]] = r["n"], r["asked"], r["reach"]
     if not asked.any():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    group_of, split = query_groups(pivots, asked)
+    group_of, split = in_order(pivots, asked, BLOCK)
+    chunk_of, parts = in_order(pivots, counts, CHUNK)
     shared = spark.sparkContext.broadcast((pivots, nearest, group_of, split))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,19 +227,29 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     groups = np.unique(table_["to"].to_numpy())
     need = np.full((len(groups), n), np.inf)
     need[np.searchsorted(groups, table_["to"].to_numpy()), table_["cell"].to_numpy()] = table_["need"].to_numpy()
-    routes = spark.sparkContext.broadcast((groups, need))
+    routes = spark.sparkContext.broadcast((groups, need, chunk_of, parts, chunks_asked(need, reach, chunk_of, parts)))
 
     def goes_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row with the groups of queries that may need it."""
-        groups, need = routes.value
+        """Each row with its chunk and the groups of queries that may need it."""
+        groups, need, chunk_of, parts, _ = routes.value
         for b in batches:
-            wanted = b.column("far").to_numpy()[:, None] >= need[:, b.column("cell").to_numpy()].T
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([groups[w].tolist() for w in wanted], pa.list_(pa.int32()))], [*b.schema.names, "to"])
+            cell = b.column("cell").to_numpy()
+            wanted = b.column("far").to_numpy()[:, None] >= need[:, cell].T
+            chunk = chunk_of[cell] + b.column("hash").to_numpy() % parts[cell]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunk.astype(np.int32)), pa.array([groups[w].tolist() for w in wanted], pa.list_(pa.int32()))], [*b.schema.names, "chunk", "to"])
 
-    chunks = max(1, -(-total // CHUNK))
-    data = cells.select("vec_id", "v", "times", "cell", "far").mapInArrow(goes_to, SCHEMA + ", times long, cell int, far double, to array<int>")
-    data = data.select("vec_id", "v", "times", "cell", "far", F.lit(0.0).alias("least"), F.lit(False).alias("is_query"), F.explode("to").alias("to"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), chunks).cast("int").alias("chunk"))
-    asking = queries.select("vec_id", "v", "times", "cell", F.lit(0.0).alias("far"), "least", F.lit(True).alias("is_query"), "to", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query with the chunks that may serve its group."""
+        groups, *_, chunks = routes.value
+        for b in batches:
+            lists = [chunks[g] for g in np.searchsorted(groups, b.column("to").to_numpy()).tolist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int32()))], [*b.schema.names, "chunks"])
+
+    data = cells.select("vec_id", "v", "times", "cell", "far", F.pmod(F.xxhash64(F.lit(1), "vec_id"), 1 << 30).alias("hash"))
+    data = data.mapInArrow(goes_to, SCHEMA + ", times long, cell int, far double, hash long, chunk int, to array<int>")
+    data = data.select("vec_id", "v", "times", "cell", "far", F.lit(0.0).alias("least"), F.lit(False).alias("is_query"), F.explode("to").alias("to"), "chunk")
+    asking = queries.mapInArrow(asks, SCHEMA + ", times long, cell int, to int, least double, chunks array<int>")
+    asking = asking.select("vec_id", "v", "times", "cell", F.lit(0.0).alias("far"), "least", F.lit(True).alias("is_query"), "to", F.explode("chunks").alias("chunk"))
     found = data.unionByName(asking).groupBy("to", "chunk").applyInPandas(lambda g: solve(g, k, shared.value[0])[0], FOUND)
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)  # entries; each has a row at least
@@ -232,10 +258,19 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def query_groups(pivots: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first group of each cell, and over how many groups its queries are dealt.
+def chunks_asked(need: np.ndarray, reach: np.ndarray, chunk_of: np.ndarray, parts: np.ndarray) -> list[list[int]]:
+    """Of each group, the chunks with a cell whose farthest row (reach) may serve one of its queries; need: groups x cells."""
+    found = []
+    for wanted in reach >= need:
+        cells = np.flatnonzero(wanted)
+        found.append(sorted({int(chunk_of[c]) + j for c in cells for j in range(int(parts[c]))}))
+    return found
+
+
+def in_order(pivots: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of neighbouring cells: the first block of each cell, and over how many blocks its members are dealt.
 
-    Cells follow one another from each to the nearest one left; a group takes cells until it has BLOCK queries.
+    Cells follow one another from each to the nearest one left; a block takes cells until it has `most` members.
     """
     left, at, order = set(range(len(pivots))), 0, []
     while left:
@@ -243,15 +278,16 @@ def query_groups(pivots: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.
         left.discard(at)
         if left:
             rest = np.fromiter(left, np.int64)
-            at = int(rest[((pivots[rest] - pivots[at]) ** 2).sum(axis=1).argmin()])
-    first, split, group, size = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64), 0, 0
+            with np.errstate(over="ignore", invalid="ignore"):
+                at = int(rest[((pivots[rest] - pivots[at]) ** 2).sum(axis=1).argmin()])
+    first, split, block, size = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64), 0, 0
     for c in order:
-        if size and size + asked[c] > BLOCK:
-            group, size = group + 1, 0
-        first[c] = group
-        if asked[c] > BLOCK:
-            split[c] = -(-asked[c] // BLOCK)
-            group, size = group + int(split[c]), 0
+        if size and size + sizes[c] > most:
+            block, size = block + 1, 0
+        first[c] = block
+        if sizes[c] > most:
+            split[c] = -(-sizes[c] // most)
+            block, size = block + int(split[c]), 0
         else:
-            size += int(asked[c])
+            size += int(sizes[c])
     return first, split

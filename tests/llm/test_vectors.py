@@ -143,9 +143,8 @@ def test_clustered_vectors_are_pruned():
     print("uniform", share_scored(np.floor(64 * x / np.sqrt((x * x).sum(axis=1))[:, None]), np.arange(0, 4000, 40)))
 
 
-def test_large_cells_of_queries_are_dealt_to_several_groups(monkeypatch):
-    monkeypatch.setattr(exact_topk, "BLOCK", 10)
-    first, split = exact_topk.query_groups(np.arange(10.0).reshape(5, 2), np.array([4, 25, 3, 0, 9]))
+def test_large_cells_are_dealt_to_several_blocks():
+    first, split = exact_topk.in_order(np.arange(10.0).reshape(5, 2), np.array([4, 25, 3, 0, 9]), 10)
     taken = {}
     for c, n in enumerate((4, 25, 3, 0, 9)):
         for j in range(split[c]):
@@ -153,6 +152,53 @@ def test_large_cells_of_queries_are_dealt_to_several_groups(monkeypatch):
     assert all(n <= 10 for n in taken.values()) and split[1] == 3
 
 
+def copies_of_queries(x, block, chunk, k=20):
+    """To how many of all chunks a group's queries go, on average."""
+    pivots = x[np.random.default_rng(2).choice(len(x), 64, replace=False)]
+    d = np.sqrt(((x[:, None] - pivots) ** 2).sum(axis=2))
+    cell, far = d.argmin(axis=1), d.min(axis=1)
+    nearest, reach = np.full((64, k + 1), np.inf), np.full(64, -np.inf)
+    for c in range(64):
+        own = np.sort(far[cell == c])[: k + 1]
+        nearest[c, : len(own)] = own
+        reach[c] = far[cell == c].max()
+    group, _ = exact_topk.in_order(pivots, np.bincount(cell, minlength=64), block)
+    chunk_of, parts = exact_topk.in_order(pivots, np.bincount(cell, minlength=64), chunk)
+    one = exact_topk.least_distances(x, exact_topk.least_scores(x, pivots, nearest, k), pivots)
+    need = np.array([one[group[cell] == g].min(axis=0) for g in np.unique(group)])
+    asked = exact_topk.chunks_asked(need, reach, chunk_of, parts)
+    return np.mean([len(c) for c in asked]) / len({int(chunk_of[c]) + j for c in range(64) for j in range(parts[c])})
+
+
+def test_queries_go_only_to_chunks_that_may_serve_them():
+    x = clustered(8000, 40, 16, 4.0)
+    assert copies_of_queries(x, 200, 400) < 0.5
+    rng = np.random.default_rng(5)
+    assert copies_of_queries(np.floor(64 * rng.standard_normal((4000, 64))), 200, 400) == 1  # nothing to prune
+
+
+def test_small_groups_and_chunks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "BLOCK", 12)
+    monkeypatch.setattr(exact_topk, "CHUNK", 40)
+    x = clustered(600, 12, 8, 3.0) / 64
+    df = spark.createDataFrame([(i, [float(y) for y in v], "x") for i, v in enumerate(x)], SCHEMA).repartition(3)
+    z = np.floor(64 * np.float32(x).astype(float)).astype(np.int64)
+    want = exact(z, np.arange(600), range(0, 600, 20), lambda a, q: -(a @ q), 20)
+    assert by_query(exact_topk.top_k(df, F.col("vec_id") % 20 == 0).collect()) == {q: [(i, -s) for i, s in r] for q, r in want.items()}
+
+
+def test_huge_components_have_results(spark):
+    """Scores beyond a long are its greatest or least double, ties to the smaller id; no query is left without rows."""
+    rows = [(i, [float(i % 7), 1.0], "x") for i in range(100)] + [(120, [1e200, 0.0], "x"), (121, [1e308, 1e308], "x"), (122, [-1e200, 0.0], "x"), (140, [1e308, -1e308], "x")]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double")).repartition(3)
+    got = by_query(exact_topk.top_k(df, F.col("vec_id") % 20 == 0, 5).collect())
+    top = int(exact_topk.LONG)
+    assert {q: len(r) for q, r in got.items()} == {q: 5 for q in (0, 20, 40, 60, 80, 120, 140)}
+    assert got[120] == [(i, top) for i in (1, 2, 3, 4, 5)]  # every positive product with it is beyond a long
+    assert got[20][:3] == [(120, top), (121, top), (140, top)]
+    assert got[0][0] == (121, top) and got[0][1][1] < top
+
+
 def test_repeated_rows_take_ranks_of_their_own(spark):
     """As the query's SQL has it: rows repeated, ids with several vectors, a query repeated."""
     rng = np.random.default_rng(12)
