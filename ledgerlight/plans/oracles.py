@@ -141,6 +141,7 @@ QUERIES = {
     "dim_customers": "SELECT * FROM dim_customers",
     "fact_orders": "SELECT * FROM fact_orders",
     "customer_features": "SELECT * FROM customer_features",
+    "customer_features_bucketed": "SELECT * FROM customer_features",
     "ltv": "SELECT customer_id, channel, segment, arpu, churn_probability, expected_retention_months, ltv FROM ltv",
     "cac_by_channel": "SELECT * FROM cac",
     "unit_economics": """SELECT channel, marketing_spend, customers_acquired, cac, round(avg_arpu, 6) AS avg_arpu, round(ltv_cac_ratio, 6) AS ltv_cac_ratio,
@@ -236,6 +237,7 @@ QUERIES = {
     "executive_report_top": f"SELECT CAST(r - 1 AS INTEGER) AS place, (SELECT count(DISTINCT customer_id) FROM rec) AS customers_in_scope, {REC} FROM (SELECT *, row_number() OVER (ORDER BY strategic_score DESC, customer_id) AS r FROM rec) WHERE r <= 20",
     "bronze_stream": "SELECT order_id, customer_id, order_date, order_value FROM canon_orders",
 }
+QUERIES["churn_watchlist_bucketed"] = QUERIES["churn_watchlist"]
 EXTRA = {
     "referential_checks": {
         "sk": "SELECT CAST(row_number() OVER (ORDER BY channel) AS INTEGER) AS channel_key, channel FROM silver_customers GROUP BY channel",

@@ -11,6 +11,10 @@ from ledgerlight.operators import features, layers, metrics, ml, quality, recomm
 from ledgerlight.sources import files
 
 
+#: Layers that Config.buckets cuts alike, so that customers meet their orders without a shuffle.
+BUCKETED = ("silver/customers", "silver/orders", "gold/dim_customers", "gold/fact_orders")
+
+
 @dataclass
 class Config:
     root: str
@@ -19,6 +23,7 @@ class Config:
     folds: int = ml.MOST_FOLDS
     refuse: tuple[str, ...] = ("repeated_keys",)  # of the gold tables; also null_keys, orphans
     database: str | None = None  # where the star schema's tables are filled, too
+    buckets: int = 0  # of customers and orders by customer_id; as many as tasks that read them, 0 for plain files
 
 
 def run(spark: SparkSession, raw: dict[str, DataFrame], config: Config) -> dict[str, DataFrame]:
@@ -29,7 +34,11 @@ def run(spark: SparkSession, raw: dict[str, DataFrame], config: Config) -> dict[
     at, out = config.root.rstrip("/"), {}
     stamp = F.lit(spark.sql("SELECT current_timestamp()").first()[0])
 
+    even = bool(config.buckets) and files.spreads(raw["orders"], "customer_id", config.buckets)  # else one customer's bucket is one long task
+
     def put(layer: str, name: str, df: DataFrame, month_of: str | None = None) -> DataFrame:
+        if even and f"{layer}/{name}" in BUCKETED:
+            return files.write_bucketed(df, f"{at}/{layer}/{name}", f"{config.database or 'default'}.{layer}_{name}", "customer_id", config.buckets, month_of)
         files.write_layer(df, f"{at}/{layer}/{name}", month_of)
         return spark.read.parquet(f"{at}/{layer}/{name}").drop("month_part")
 

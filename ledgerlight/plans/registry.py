@@ -70,6 +70,28 @@ def churn_watchlist(s, d):
     return warehouse.churn_watchlist(warehouse.dim_customers(T.customers(s, d)), warehouse.order_facts(T.orders(s, d)), AS_OF)
 
 
+#: Buckets of the queries below.
+BUCKETS = 8
+
+
+def bucketed(s, name, df, month_of=None):
+    path = jobs.new_folder(s, name)
+    return files.write_bucketed(df, path, path.rsplit("/", 1)[1].replace("-", "_"), "customer_id", BUCKETS, month_of)
+
+
+@query
+def churn_watchlist_bucketed(s, d):
+    """Over gold tables written in like buckets: no exchange before the last sort."""
+    dims = bucketed(s, "dim_customers", warehouse.dim_customers(T.customers(s, d)))
+    return warehouse.churn_watchlist(dims, bucketed(s, "order_facts", warehouse.order_facts(T.orders(s, d)), "order_date"), AS_OF)
+
+
+@query
+def customer_features_bucketed(s, d):
+    """Over silver tables written in like buckets: orders are not shuffled."""
+    return features.customer_features(bucketed(s, "customers", T.customers(s, d)), bucketed(s, "orders", T.orders(s, d), "order_date"))
+
+
 @query
 def customer_summary_ingest(s, d):
     c = layers.customers_from_summary(T.customer_summary(s, d))

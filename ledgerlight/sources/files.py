@@ -77,6 +77,30 @@ def write_layer(df: DataFrame, path: str, month_of: str | None = None) -> None:
         df.write.mode("overwrite").parquet(path)
 
 
+#: Rows of one key, against the mean rows of a bucket, up to which a table is bucketed: a bucket is read by one task.
+HOT_BUCKET = 4
+
+
+def spreads(df: DataFrame, key: str, buckets: int) -> bool:
+    """Whether buckets by the key stay of like size: no key has more than HOT_BUCKET times the mean rows of a bucket."""
+    each = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    r = each.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    return r["most"] * buckets <= HOT_BUCKET * r["total"]
+
+
+def write_bucketed(df: DataFrame, path: str, table: str, key: str, buckets: int, month_of: str | None = None) -> DataFrame:
+    """The layer as a table over its files, each bucket sorted by the key: joins and aggregates on the key shuffle neither side.
+
+    One task writes a bucket, so it is one file (one for each month, where the layer is split by months). An earlier table of
+    the name is replaced.
+    """
+    if month_of:
+        df = df.withColumn("month_part", F.date_format(month_of, "yyyy-MM"))
+    writer = df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key)
+    (writer.partitionBy("month_part") if month_of else writer).saveAsTable(table)
+    return df.sparkSession.table(table).drop("month_part")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
