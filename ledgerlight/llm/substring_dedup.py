@@ -197,8 +197,8 @@ def unitigs(paths: DataFrame) -> DataFrame:
 
 def spans_of_paths(repeated: DataFrame, paths: DataFrame) -> DataFrame:
     """doc_id, pos, n, source, source_pos of what later documents share with the first ones of repeated paths."""
-    own = paths.join(unitigs(paths), "path").select("path", "source", "source_pos", "unitig", "off")
-    later = repeated.select("doc_id", "path", "pos", "n").join(own, "path").where("doc_id > source").withColumn("pos", F.explode("pos"))
+    own = stored(paths.join(unitigs(paths), "path").select("path", "source", "source_pos", "unitig", "off"), "own")
+    later = attached(repeated.select("doc_id", "path", "pos", "n"), own, "path", "doc_id").where("doc_id > source").withColumn("pos", F.explode("pos"))
     diagonal = [F.col("doc_id"), F.col("unitig"), (F.col("pos") - F.col("off")).alias("d"), F.col("source"), (F.col("source_pos") - F.col("off")).alias("e")]
     runs = later.groupBy(*diagonal).agg(
         F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("n")).alias("hi"), F.sum("n").alias("total"), F.min("source_pos").alias("at"), F.collect_list(F.struct("pos", "n", "source_pos")).alias("parts")
@@ -211,7 +211,8 @@ def spans_of_paths(repeated: DataFrame, paths: DataFrame) -> DataFrame:
 def spans_of_windows(windows: DataFrame) -> DataFrame:
     """The same of single windows: those next to each other in both documents are one span."""
     first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("hi")).where("f.doc_id < hi")
-    again = windows.join(first.select("window", F.col("f.doc_id").alias("source"), F.col("f.pos").alias("source_pos")), "window").where("doc_id > source")
+    first = stored(first.select("window", F.col("f.doc_id").alias("source"), F.col("f.pos").alias("source_pos")), "first")
+    again = attached(windows, first, "window", "doc_id").where("doc_id > source")
     on = ["doc_id", "source", "d"]
     again = again.select("doc_id", "pos", "source", "source_pos", (F.col("pos") - F.col("source_pos")).alias("d"))
     again = again.withColumn("island", F.col("pos") - F.dense_rank().over(W.partitionBy(*on).orderBy("pos")))
@@ -226,8 +227,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     # 1. anchors that several documents have; the graph branches in one if its least and its greatest path differ
     anchors = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("path").alias("p"), F.max("path").alias("q"))
-    anchors = anchors.where("lo < hi").select("anchor", (F.col("p") != F.col("q")).alias("branches"))
-    repeated = stored(found.join(anchors, "anchor").drop("anchor"), "repeated")
+    anchors = stored(anchors.where("lo < hi").select("anchor", (F.col("p") != F.col("q")).alias("branches")), "anchors")
+    repeated = stored(attached(found, anchors, "anchor", "doc_id").drop("anchor"), "repeated")
     paths = repeated.groupBy("path").agg(
         F.min(F.struct("doc_id", F.element_at("pos", 1).alias("pos"))).alias("f"), F.max("doc_id").alias("hi"), F.max("branches").alias("branches"), F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("n").alias("n")
     )
