@@ -83,10 +83,11 @@ class WordTokens:
         self.old = self.index, self.starts, self.flat
 
     @classmethod
-    def of(cls, path: str) -> WordTokens:
+    def of(cls, path: str, limit: int | None = None) -> WordTokens:
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
         REMEMBERED["packing"] = cls._loaded.clear
+        cls._loaded[path].LIMIT = limit or cls.LIMIT
         return cls._loaded[path]
 
     def clear(self) -> None:
@@ -182,12 +183,12 @@ def together(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
-    """The pieces of the documents; nth counts the pieces of a length in a partition, from 0."""
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, store: int | None = None) -> DataFrame:
+    """The pieces of the documents; nth counts the pieces of a length in a partition, from 0. Workers remember about `store` words, twice."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        tokens = WordTokens.of(path)
+        tokens = WordTokens.of(path, store)
         for b in small(batches, owner="packing"):
             rows, texts, ids = [], as_bytes(b.column("text")), b.column("doc_id").to_pylist()
             for lo, hi in together(texts):
@@ -204,10 +205,10 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, store: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
     spark = docs.sparkSession
-    table = stored(pieces(docs, path or tokenizer_path(), capacity, end_id), "pieces")
+    table = stored(pieces(docs, path or tokenizer_path(), capacity, end_id, store), "pieces")
     by_part = table.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = spark.sparkContext.broadcast(plan(histogram, capacity).arrays())
