@@ -4,14 +4,15 @@ Features are byte n-grams (2, 3 and 4 bytes) of the whole text, of whose ASCII
 only letters count: they are lower-cased, and what lies between words becomes
 one blank. They are hashed to DIMS cells; a cell weighs log(1 + tf) * idf and
 the vector has length 1. The document frequencies count all training rows. Each
-language gets CENTROIDS centroids by spherical k-means over at most about SAMPLE
-training rows, drawn by hash (the documented bound of the fit). A text takes the
-language of the centroid with the highest cosine, which is the score.
+language gets CENTROIDS centroids by spherical k-means over all its training
+rows; about SAMPLE of them, drawn by hash, only say where the rounds start. They
+end when no centroid moves by more than MOVED, or after ROUNDS of them. A text
+takes the language of the centroid with the highest cosine, which is the score.
 
 It is rejected where its distance, 1 - cosine, is more than clean texts of its
-language and length have: thresholds are a share of a low quantile of the
-sample's cosines by language and class of length (a doubling each). Classes with
-few sample rows take the quantile over all languages, else that of the next
+language and length have: thresholds are a share of a low quantile of all training
+rows' cosines by language and class of length (a doubling each). Classes with
+few rows take the quantile over all languages, else that of the next
 longer class, less what half the length takes away. Texts with fewer than LEAST
 bytes of letters and blanks are too short to be told apart and are kept.
 
@@ -23,12 +24,14 @@ ties go to the language first in order; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +40,10 @@ from ledgerlight.llm.common import as_bytes, small
 
 DIM_BITS = 14
 DIMS = 1 << DIM_BITS
-CENTROIDS, SAMPLE, ROUNDS = 3, 1000, 8
-#: A threshold is this share of this quantile of the sample's cosines, if as many rows are there, and MOST at most.
+CENTROIDS, SAMPLE, ROUNDS, MOVED = 3, 1000, 8, 1e-3
+#: Vectors are summed in whole numbers of 1 / UNIT, so that their order doesn't matter; cosines are counted in so many bins; tasks whose sums are summed together.
+UNIT, FINE, FAN_IN = 1 << 20, 4096, 64
+#: A threshold is this share of this quantile of the training rows' cosines, if as many rows are there, and MOST at most.
 SHARE, QUANTILE, ENOUGH, MOST = 0.65, 0.005, 20, 0.25
 LEAST, SIZES = 16, 40
 UNKNOWN = "und"
@@ -131,27 +136,84 @@ def cluster(v: np.ndarray) -> np.ndarray:
     return c
 
 
-def thresholds(languages: list[str], samples: list[tuple[str, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least cosine of each language and class of length; samples: language, classes and cosines of its rows."""
+def low_quantile(values: np.ndarray, counts: np.ndarray) -> float:
+    """What np.quantile gives for the values, each as often as counted."""
+    order = np.argsort(values)
+    ends = np.cumsum(counts[order])
+    at = QUANTILE * (ends[-1] - 1)
+    low, high = (float(values[order[np.searchsorted(ends, k, side="right")]]) for k in (np.floor(at), np.ceil(at)))
+    return low + (high - low) * float(at - np.floor(at))
+
+
+def thresholds(languages: list[str], samples: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """The least cosine of each language and class of length; samples: language, classes and cosines of its rows, and how many rows these stand for (one, if not given)."""
     out = np.zeros((len(languages), SIZES))
-    every = np.concatenate([s[1] for s in samples]), np.concatenate([s[2] for s in samples])
+    samples = [(*s, np.ones(len(s[1]), np.int64)) if len(s) == 3 else s for s in samples]
+    every = tuple(np.concatenate([s[k] for s in samples]) for k in (1, 2, 3))
     for i, name in enumerate(languages):
-        own = [s for s in samples if s[0] == name]
-        own = np.concatenate([s[1] for s in own]), np.concatenate([s[2] for s in own])
+        own = tuple(np.concatenate([s[k] for s in samples if s[0] == name]) for k in (1, 2, 3))
         for c in range(SIZES - 1, -1, -1):
-            for classes, cosines in (own, every):
-                near = cosines[np.abs(classes - c) <= (0 if classes is every[0] else 1)]
-                if len(near) >= ENOUGH:
-                    out[i, c] = min(MOST, SHARE * float(np.quantile(near, QUANTILE)))
+            for rows in (own, every):
+                near = np.abs(rows[0] - c) <= (0 if rows is every else 1)
+                if rows[2][near].sum() >= ENOUGH:
+                    out[i, c] = min(MOST, SHARE * low_quantile(rows[1][near], rows[2][near]))
                     break
             else:
                 out[i, c] = out[i, c + 1] / np.sqrt(2) if c + 1 < SIZES and out[i, c + 1] else 0.0
         longest = np.flatnonzero(out[i])
-        if len(longest):  # beyond the sample's lengths cosines only grow
+        if len(longest):  # beyond the rows' lengths cosines only grow
             out[i, longest[-1] :] = out[i, longest[-1]]
     return out
 
 
+SUMS = "lang string, what int, task int, n binary"
+
+
+def summed(group: pa.Table) -> pa.Table:
+    """One row for all of a language's rows of a kind: their sum."""
+    total = sum(np.frombuffer(zlib.decompress(x.as_buffer()), np.int64) for x in group.column("n"))
+    first = [group.column(c)[0].as_py() for c in ("lang", "what", "task")]
+    return pa.table([pa.array([x], t) for x, t in zip((*first, zlib.compress(total.tobytes(), 1)), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [c.split()[0] for c in SUMS.split(", ")])
+
+
+def met(rows: DataFrame, idf: np.ndarray, centres: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """A pass over all rows: where the centroids of each language go, and how many rows have which class of length and cosine."""
+    shared = rows.sparkSession.sparkContext.broadcast((idf, {k: np.ascontiguousarray(c.T) for k, c in centres.items()}))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, across = shared.value
+        sums: dict[str, np.ndarray] = {}
+        counts: dict[str, np.ndarray] = {}
+        for b in small(batches):
+            for text, lang in zip(as_bytes(b.column("text")), b.column("lang").to_pylist(), strict=True):
+                text = letters(text)
+                if lang not in across or not text.strip():
+                    continue
+                if lang not in sums:
+                    sums[lang], counts[lang] = np.zeros(across[lang].T.shape, np.int64), np.zeros((SIZES, FINE), np.int64)
+                cells, v = sparse(text, idf)
+                cosines = v @ across[lang][cells]
+                own = int(cosines.argmax())
+                sums[lang][own][cells] += np.rint(v * UNIT).astype(np.int64)
+                counts[lang][size_class(len(text)), min(FINE - 1, max(0, int(cosines[own] * FINE)))] += 1
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        for lang in sums:
+            for what, n in enumerate((*sums[lang], counts[lang])):
+                row = lang, -1 if n is counts[lang] else what, task, zlib.compress(n.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [c.split()[0] for c in SUMS.split(", ")])
+
+    parts = rows.mapInArrow(apply, SUMS).groupBy("lang", "what", (F.col("task") / FAN_IN).cast("int").alias("_group")).applyInArrow(summed, SUMS)
+    moved, counts = {k: c.copy() for k, c in centres.items()}, {}
+    for r in parts.groupBy("lang", "what").applyInArrow(summed, SUMS).collect():
+        n = np.frombuffer(zlib.decompress(r["n"]), np.int64)
+        if r["what"] < 0:
+            counts[r["lang"]] = n.reshape(SIZES, FINE)
+        elif n.any():
+            moved[r["lang"]][r["what"]] = n / np.linalg.norm(n)
+    shared.destroy()
+    return moved, counts
+
+
 def fit(docs: DataFrame, training: Column) -> LanguageModel:
     """docs: doc_id, text, lang and what the condition needs. Only counts, document frequencies and centroids reach the driver."""
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -194,29 +256,34 @@ def fit(docs: DataFrame, training: Column) -> LanguageModel:
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "size", "order", "v"])
 
     def centroids(group: pa.Table) -> pa.Table:
-        """Of one language's sample; its rows come as one block of numbers, in the order of their hashes."""
+        """Where one language's rounds start; its drawn rows come as one block of numbers, in the order of their hashes."""
         group = group.sort_by([("order", "ascending"), ("size", "ascending")]).combine_chunks()
         block = group.column("v").combine_chunks()
         block = block.chunk(0) if isinstance(block, pa.ChunkedArray) else block
         v = np.frombuffer(block.buffers()[2], np.float16, len(block) * DIMS, 2 * DIMS * block.offset).reshape(-1, DIMS).astype(np.float32)
-        c = cluster(v)
-        cosines = (v @ c.T).max(axis=1).astype(float)
-        columns = [[group.column("lang")[0].as_py()], [c.astype(np.float32).tobytes()], [group.column("size").to_pylist()], [cosines.tolist()]]
-        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64())), strict=True)], ["lang", "c", "sizes", "cosines"])
+        return pa.table([pa.array([group.column("lang")[0].as_py()], pa.string()), pa.array([cluster(v).astype(np.float32).tobytes()], pa.binary())], ["lang", "c"])
 
-    schema = "lang string, c binary, sizes array<int>, cosines array<double>"
     sample = drawn.mapInArrow(vectors, "lang string, size int, order long, v binary")
-    found = sorted(sample.groupBy("lang").applyInArrow(centroids, schema).collect(), key=lambda r: r["lang"])
+    found = sample.groupBy("lang").applyInArrow(centroids, "lang string, c binary").collect()
     if not found:
         return LanguageModel(idf, [], np.zeros((DIMS, 0), np.float32), np.zeros(0, int), np.zeros((0, SIZES)))
-    rows = [np.frombuffer(r["c"], np.float32).reshape(-1, DIMS) for r in found]
-    languages = [r["lang"] for r in found]
+    centres = {r["lang"]: np.frombuffer(r["c"], np.float32).reshape(-1, DIMS) for r in sorted(found, key=lambda r: r["lang"])}
+    for k in range(ROUNDS + 1):
+        moved, counts = met(rows, idf, centres)
+        if k == ROUNDS or min(float((moved[x] * centres[x]).sum(axis=1).min()) for x in centres) > 1 - MOVED:
+            break  # the counts are those of these centroids
+        centres = {x: c.astype(np.float32) for x, c in moved.items()}
+    cosines = []
+    for name, n in counts.items():
+        classes, at = np.nonzero(n)
+        cosines.append((name, classes, (at + 0.5) / FINE, n[classes, at]))
+    languages, parts = [*centres], [*centres.values()]
     return LanguageModel(
         idf,
         languages,
-        np.ascontiguousarray(np.concatenate(rows).T),
-        np.repeat(np.arange(len(found)), [len(x) for x in rows]),
-        thresholds(languages, [(r["lang"], np.array(r["sizes"]), np.array(r["cosines"])) for r in found]),
+        np.ascontiguousarray(np.concatenate(parts).T),
+        np.repeat(np.arange(len(parts)), [len(x) for x in parts]),
+        thresholds(languages, cosines),
     )
 
 
