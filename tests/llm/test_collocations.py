@@ -157,3 +157,24 @@ def test_sums_of_packed_phrases(monkeypatch):
         assert [(*x,) for b in rows for x in zip(*b.values(), strict=True)] == [(4, 9, 1), (5, 7, 2), (5, 8, 1)]
     assert [*C.emitted(iter([(np.zeros(0, np.int64),)]))] == []
     assert C.matrix(pa.RecordBatch.from_pydict({"head": [(7 << 32) | 8], "tail": [9 << 32]})).tolist() == [[7, 8, 9, 0]]
+
+
+def test_workers_get_small_batches_and_settings_are_set_back(spark, monkeypatch):
+    usual, seen, own = {k: spark.conf.get(k) for k in C.BATCHES}, [], C.ranked_phrases
+
+    def watched(docs, least, top):
+        seen.append({k: spark.conf.get(k) for k in C.BATCHES})
+        return own(docs, least, top)
+
+    monkeypatch.setattr(C, "ranked_phrases", watched)
+    rows = [("en", "a b c a b. a b")] * 40
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert found(df) == plain(rows, C.LEAST, C.TOP)
+    assert all(seen[0][k] == small for k, (_, small) in C.BATCHES.items()) and {k: spark.conf.get(k) for k in C.BATCHES} == usual
+    key = next(iter(C.BATCHES))
+    spark.conf.set(key, "77")
+    try:
+        found(df)
+        assert seen[1][key] == "77" == spark.conf.get(key)
+    finally:
+        spark.conf.set(key, usual[key])
