@@ -1,3 +1,4 @@
+import pickle
 import random
 import re
 from collections import Counter
@@ -178,3 +179,32 @@ def test_workers_get_small_batches_and_settings_are_set_back(spark, monkeypatch)
         assert seen[1][key] == "77" == spark.conf.get(key)
     finally:
         spark.conf.set(key, usual[key])
+
+
+def test_tries_pass_the_driver_without_keys_and_pickled_rows(spark, monkeypatch):
+    def refused(self, *args, **kwargs):
+        assert "binary" not in dict(self.dtypes).values(), "rows of large arrays were pickled for the driver"
+        return own(self, *args, **kwargs)
+
+    monkeypatch.setattr(C, "NODES", 300)
+    w = phrases(random.Random(5), 900, range(1, 400)).astype(np.int64)
+    df = spark.createDataFrame([((a << 32) | b, (c << 32) | d) for a, b, c, d in w.tolist()], "head long, tail long")
+    own = type(df).collect
+    monkeypatch.setattr(type(df), "collect", refused)
+    tries, built = C.shared_tries(df)
+    monkeypatch.undo()
+    stored = {r["shard"]: np.frombuffer(r["keys"], np.uint64) for r in built.select("shard", "keys").collect()}
+    assert len(tries) > 3 and stored.keys() == tries.keys()
+    for shard, t in tries.items():
+        assert len(stored[shard]) == len(t.value.check) and not len(t.value.keys)
+        assert len(pickle.dumps(t.value)) < 8 * len(t.value.check) + 8 * len(t.value.alphabet) + 1000
+    C.forget(tries.values())
+
+
+@pytest.mark.parametrize("part, fan_in", [(5, 1), (64, 2)])
+def test_counts_meet_keys_in_parts(spark, monkeypatch, part, fan_in):
+    for name, value in {"PART": part, "FAN_IN": fan_in, "NODES": 9}.items():
+        monkeypatch.setattr(C, name, value)
+    rows = some_rows()
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    assert found(df, 8) == plain(rows, 8, C.TOP)
