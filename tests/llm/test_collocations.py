@@ -194,6 +194,8 @@ def test_tries_pass_the_driver_without_keys_and_pickled_rows(spark, monkeypatch)
     tries, built = C.shared_tries(df)
     monkeypatch.undo()
     stored = {r["shard"]: np.frombuffer(r["keys"], np.uint64) for r in built.select("shard", "keys").collect()}
+    for r in built.select("shard", "base", "check").collect():
+        assert len(r["base"]) + len(r["check"]) < 7 * len(tries[r["shard"]].value.check), "the driver got arrays that aren't compressed"
     assert len(tries) > 3 and stored.keys() == tries.keys()
     for shard, t in tries.items():
         assert len(stored[shard]) == len(t.value.check) and not len(t.value.keys)
