@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,59 @@ def test_defined_cases(spark):
     assert {r["n_known"] for r in none} == {0} and {r["train_tokens"] for r in none} == {0}
     assert all(r["base_score"] == 0 for r in none) and all(math.isfinite(r["score"]) for r in none)
     assert L.score(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_tables_grow_with_the_text_without_a_bound():
+    for size in (1 << 20, 1 << 26, 1 << 31, 1 << 35):
+        assert size <= 128 << M.table_bits(size) and M.hash_bits(M.table_bits(size))[1:] == (M.table_bits(size) - 1, M.table_bits(size))
+    assert M.hash_bits(22)[0] == M.hash_bits(30)[0] == 3 * M.LEAF_BITS
+    code = M.Code(np.arange(256))
+    text = bytes(range(33, 120))
+    rows, before = M.stream_of(code, [[text]], 22).rows[0], b"\n\n\n" + text
+    assert len(set(rows.tolist())) == len({tuple(code.symbol[list(before[i : i + 3])]) for i in range(len(text) + 1)})
+
+
+def some_texts():
+    rng = np.random.default_rng(19)
+    return [None if i == 7 else "" if i == 9 else " ".join(rng.choice(["the", "and", "Haus", "été", "tree", "river", "x\x01y", "of"], 1 + i % 40)) for i in range(150)]
+
+
+def test_tables_in_pieces_give_the_scores_of_whole_tables(spark, monkeypatch):
+    texts = some_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    training, exact = F.col("doc_id") % 3 != 1, ["doc_id", "training", "n_tokens", "n_known", "train_tokens"]
+    whole = {r["doc_id"]: r for r in L.score(docs, training).collect()}
+    monkeypatch.setattr(L, "WHOLE_BITS", 0)
+    got = L.score(docs, training).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = whole[r["doc_id"]]
+        assert all(r[c] == want[c] for c in exact) and [r["base_score"], r["score"]] == pytest.approx([want["base_score"], want["score"]], rel=1e-5)
+    assert L.score(docs.limit(0), training).count() == 0
+    none = L.score(docs, F.lit(False)).collect()
+    assert len(none) == len(texts) and all(math.isfinite(r["score"]) for r in none)
+
+
+def test_chunks_get_the_rows_that_they_meet_from_all_pieces(monkeypatch):
+    for name, value in (("HELD", 300), ("PART_BITS", 4)):
+        monkeypatch.setattr(L, name, value)
+    monkeypatch.setattr(M, "INDEX_BITS", 3)
+    words = [L.tokens_of((t or "").encode()) for t in some_texts()]
+    train = np.arange(len(words)) % 3 != 1
+    seen = np.bincount(np.frombuffer(b"".join(b" ".join(w) + b"\n" for w, t in zip(words, train, strict=True) if t), np.uint8), minlength=256)
+    code, bits = M.Code(seen), 12
+    tables, chunks = M.new_counts(bits), [L.Chunk() for _ in range(4)]
+    M.add_counts(tables, code, [w for w, t in zip(words, train, strict=True) if t], bits)
+    for lo in range(0, len(words), 10):
+        chunks[lo // 10 % 4].add(code, words[lo : lo + 10], train[lo : lo + 10], bits, 1)
+    entries = [(i, *x) for i, c in enumerate(chunks) for x in c.pieces()]
+    sent = []
+    for at in {x[1:3] for x in entries}:
+        own = [x for x in entries if x[1:3] == at]
+        sent += L.answered(pa.table(dict(zip(["chunk", "k", "piece", "entries"], map(list, zip(*own, strict=True)), strict=True)))).to_pylist()
+    want = M.Model.of(code, bits, tables).score(words)
+    for i in range(4):
+        model = L.chunk_model(code, bits, pa.Table.from_pylist([x for x in sent if x["chunk"] == i]))
+        assert len(model.levels[2]) < len(tables[2]) and len(model.places[2].some) == len(set(model.places[2].some.tolist()))
+        own = [j for j in range(len(words)) if j // 10 % 4 == i]
+        assert model.score([words[j] for j in own]) == pytest.approx(want[own], rel=1e-5)
